@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_simhash", "q_suffix", "q_packing")
+_MODULES = ("q_simhash", "q_suffix", "q_packing", "q_substring")
 
 
 def load() -> tuple[dict, dict]:
