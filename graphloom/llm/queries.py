@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_simhash", "q_suffix", "q_packing", "q_substring")
+_MODULES = ("q_simhash", "q_suffix", "q_packing", "q_substring", "q_suffix_tree")
 
 
 def load() -> tuple[dict, dict]:
