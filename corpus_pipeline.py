@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from graphloom.llm.common import Scratch
+from graphloom.llm.mixing import mix
+from graphloom.llm.packing import pack_documents
+from graphloom.llm.quality import classify
+from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.suffix import dedup_substrings
+
+FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier rejects go."""
+    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=docs.columns)
+    return found.where("keep").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays;
+    of repeated rows with that id, one. Documents without an id stay as they are."""
+    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes or more that also stand elsewhere go from the texts; texts left empty go."""
+    found = dedup_substrings(docs, length=400, carry=tuple(docs.columns), as_text=True)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the words, drawn to the target weights of source, language and topic."""
+    return mix(docs, budget=0.9).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048."""
+    return pack_documents(docs, FILES, 2048).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
+#: Fingerprints, the classifier and the suffix order can't be said in SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each stage's result written and read again."""
-    from graphloom.llm.common import Scratch
-
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)

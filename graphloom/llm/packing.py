@@ -125,14 +125,15 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
+def pack(pieces: DataFrame, scratch: Scratch, size: int = 2048, small: int = 500_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (as tokenize() gives them, kept in a table: their numbers must not change)."""
     spark = pieces.sparkSession
-    by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    by_part = scratch.save(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "parts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(counts, size), "length long, lo long, hi long, copies long, base long, at long")
-    numbered = pieces.join(by_part.select("length", "part", before.alias("before")), ["length", "part"])
+    before = by_part.select("length", "part", before.alias("before"))
+    numbered = pieces.join(F.broadcast(before) if by_part.count() <= small else before, ["length", "part"])
     number = F.col("place") + F.col("before")
     met = numbered.join(F.broadcast(slots), "length").where((number >= F.col("lo")) & (number < F.col("hi")))  # a few rows for each of at most `size` lengths
     step = number - F.col("lo")
@@ -141,11 +142,12 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, files: tuple[str | None, ...], size: int = 2048) -> DataFrame:
     """Pieces with ids, sequence_id and offset."""
-    pieces = Scratch(docs.sparkSession, "packing").save(tokenize(docs, files, size), "pieces")
-    return pack(pieces, size)
+    scratch = Scratch(docs.sparkSession, "packing")
+    return pack(scratch.save(tokenize(docs, files, size), "pieces"), scratch, size).drop("part", "place")
 
 
 def pack_digests(docs: DataFrame, files: tuple[str | None, ...], size: int = 2048) -> DataFrame:
     """As pack_documents(), with ids_crc32 in place of the ids, taken before anything is shuffled."""
     pieces = tokenize(docs, files, size).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(Scratch(docs.sparkSession, "packing").save(pieces, "pieces"), size).drop("part", "place")
+    scratch = Scratch(docs.sparkSession, "packing")
+    return pack(scratch.save(pieces, "pieces"), scratch, size).drop("part", "place")

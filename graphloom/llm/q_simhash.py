@@ -10,8 +10,8 @@ from graphloom.llm.simhash import near_duplicates
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4, lanes=1)
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op2_simhash": op2_simhash}

@@ -12,6 +12,7 @@ bytes and lose them; null or equal doc_ids do not matter; extra columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def resolver(length: int):
     return resolve
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, out = batch.column(2), []
         flat, offsets = spans.flatten(), spans.offsets.to_numpy()
@@ -86,20 +87,22 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = merge_spans(los[offsets[i] : offsets[i + 1]], his[offsets[i] : offsets[i + 1]])
             cuts = [0, *np.column_stack((lo, hi)).ravel().tolist(), len(body)]
             kept = b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if len(lo) else body
-            out.append((len(body), len(body) - len(kept), len(lo), kept, np.column_stack((lo, hi)).tolist()))
+            result = kept.decode("utf-8", "ignore") if as_text else kept
+            out.append((len(body), len(body) - len(kept), len(lo), result, np.column_stack((lo, hi)).tolist()))
         n, gone, runs, kept, cut = zip(*out) if out else ([],) * 5
         names = ["row", "n_bytes", "n_removed", "n_spans", "kept", "removed"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.list_(pa.int64())))], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(cut, pa.list_(pa.list_(pa.int64())))], names)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), hot: int = 4096) -> DataFrame:
-    """Per row of docs: the carried columns, n_bytes, n_removed, n_spans, kept (binary), removed (array of [start, end])."""
+def dedup_substrings(docs: DataFrame, length: int = 400, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False, hot: int = 4096) -> DataFrame:
+    """Per row of docs: the carried columns, n_bytes, n_removed, n_spans, kept (binary; as_text: a string without the
+    halves of characters that a cut went through), removed (array of [start, end])."""
     scratch = Scratch(docs.sparkSession, "suffix")
     gram = gram or max(1, length // 4)
     body = keyed(docs, F.struct(*carry).alias("row"))
     spans = repeated(body.select("k1", "k2", "body"), scratch, "bytes", length, gram, resolver(length), hot)
     pairs = with_spans(body, spans).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     row = body.schema["row"].dataType.simpleString()
-    out = pairs.mapInArrow(_apply, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<array<long>>")
+    out = pairs.mapInArrow(partial(_apply, as_text), f"row {row}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, removed array<array<long>>")
     return out.select("row.*", "n_bytes", "n_removed", "n_spans", "kept", "removed")
 
