@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("q_text", "q_extract", "q_graph", "q_review", "q_dataset", "q_audit", "q_sources")
 
 
 def queries() -> dict:
