@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: each stage works on what the one before it kept."""
+"""A training-data pipeline over `documents`: each stage works on what the one before it kept.
+
+Stages take and return the columns of documents; other columns are dropped. Null and empty texts are rejected by the
+first stage; an empty table stays empty through all of them.
+"""
 
 from __future__ import annotations
 
@@ -13,32 +17,33 @@ from graphloom.llm.quality import classify
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.suffix import dedup_substrings
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
-    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=docs.columns)
-    return found.where("keep").select(docs.columns)
+    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=COLUMNS)
+    return found.where("keep").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays;
     of repeated rows with that id, one. Documents without an id stay as they are."""
     found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes or more that also stand elsewhere go from the texts; texts left empty go."""
-    found = dedup_substrings(docs, length=400, carry=tuple(docs.columns), as_text=True)
-    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(docs.columns)
+    found = dedup_substrings(docs, length=400, carry=tuple(COLUMNS), as_text=True)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the words, drawn to the target weights of source, language and topic."""
-    return mix(docs, budget=0.9).select(docs.columns)
+    return mix(docs.select(COLUMNS), budget=0.9).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

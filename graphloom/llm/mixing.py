@@ -7,7 +7,7 @@ over one). All of it is DataFrame operations.
 
 Nulls and odd rows: null source or language is a cell value of its own (empty text); null text has no words and no
 weight and is kept with its cell's probability; the draw is a hash of the doc_id, so repeated rows stay or go together;
-extra columns stay; an empty table gives an empty result.
+extra columns stay, but those named like the new ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,6 +77,7 @@ def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None =
     scratch = Scratch(docs.sparkSession, "mixing")
     alphas = {"source": 0.7, "lang": 0.7, "topic": 0.9} | (alphas or {})
     text = text_of()
+    docs = docs.drop(*(f"mix_{d}" for d in DIMS), "n_tokens", "prob")
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"mix_{c}") for c in DIMS[:2]), topic_of(text, rules).alias("mix_topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
     cells = named.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = scratch.save(cells, "cells")

@@ -100,7 +100,8 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int | None = None,
     (array of [first word, end])."""
     scratch = Scratch(docs.sparkSession, "substring")
     gram = gram or max(1, length // 3)
-    body = keyed(docs, F.struct(*carry).alias("row"))
+    own = ("n_words", "n_removed", "kept", "removed")
+    body = keyed(docs, F.struct(*[c for c in carry if c not in own]).alias("row"))
     spans = repeated(body.select("k1", "k2", "body"), scratch, "words", length, gram, resolver(length), hot)
     pairs = with_spans(body, spans).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     row = body.schema["row"].dataType.simpleString()

@@ -99,7 +99,8 @@ def dedup_substrings(docs: DataFrame, length: int = 400, gram: int | None = None
     halves of characters that a cut went through), removed (array of [start, end])."""
     scratch = Scratch(docs.sparkSession, "suffix")
     gram = gram or max(1, length // 4)
-    body = keyed(docs, F.struct(*carry).alias("row"))
+    own = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
+    body = keyed(docs, F.struct(*[c for c in carry if c not in own]).alias("row"))
     spans = repeated(body.select("k1", "k2", "body"), scratch, "bytes", length, gram, resolver(length), hot)
     pairs = with_spans(body, spans).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     row = body.schema["row"].dataType.simpleString()

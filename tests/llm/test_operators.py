@@ -1,0 +1,283 @@
+"""Operators on small tables with nulls, empty texts, repeated rows and odd columns, against plain definitions."""
+
+import collections
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import ann, langid, mixing, packing, quality, simhash, substring, suffix, suffix_tree, topk
+from graphloom.llm.common import crc_bucket
+from graphloom.llm.q_packing import FILES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, k1 string"
+
+
+def table(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), 0.0, "x") for i, t, lang, src in rows], SCHEMA).repartition(parts)
+
+
+def sample(seed=1, n=60):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "Ünder", "ñandu", "x", "the", "the", "of"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(12)]
+    rows = [(i, rng.choice(base) + "  " + rng.choice(base)[: rng.randint(0, 80)] + "\n" + rng.choice(base), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(n)]
+    return [*rows, (100, None, "en", "a"), (101, "", None, None), (102, " \t ", "en", "a"), (None, "no id here", "en", "b"), (7, rows[7][1], "en", "a"), rows[3], (103, "y" * 5000 + " tail", "de", "b")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, sample())
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substrings(spark, docs, hot):
+    rows = sample()
+    texts, length = [(t or "").encode() for _, t, _, _ in rows], 25
+    count = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    want = collections.Counter()
+    for (i, *_), b in zip(rows, texts):
+        gone = np.zeros(len(b), bool)
+        for at in range(len(b) - length + 1):
+            if count[b[at : at + length]] > 1:
+                gone[at : at + length] = True
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
+    got = suffix.dedup_substrings(docs, length=length, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_passages(spark, docs, hot):
+    rows, length = sample(), 8
+    words = [(t or "").encode().split() for _, t, _, _ in rows]
+    count = collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    want = collections.Counter()
+    for (i, *_), w in zip(rows, words):
+        gone = [False] * len(w)
+        for at in range(len(w) - length + 1):
+            if count[tuple(w[at : at + length])] > 1:
+                gone[at : at + length] = [True] * length
+        want[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()] += 1
+    got = substring.remove_passages(docs, length=length, hot=hot).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_near_duplicates(spark, docs, tile):
+    rows = sample()
+    fp = [int(simhash.fingerprint((t or "").encode(), 4)[0]) for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    low = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(i)].append(r[0])
+    want = collections.Counter((r[0], f, min(low[find(i)], default=None)) for i, (r, f) in enumerate(zip(rows, fp)))
+    got = simhash.near_duplicates(docs, width=4, radius=4, lanes=1, tile=tile).collect()
+    assert collections.Counter((r.doc_id, r.fp[0] % (1 << 64), r.component_id) for r in got) == want
+
+
+def test_wide_fingerprints_link_near_copies_only(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for g in range(15):
+        words = [word() for _ in range(200)]
+        rows.append((2 * g, " ".join(words), "en", "a"))
+        words[rng.randrange(200)] = "changed"
+        rows.append((2 * g + 1, " ".join(words), "en", "a"))
+    got = simhash.near_duplicates(table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(30)}
+
+
+def test_suffix_tree(spark, docs):
+    rows, held = sample(), lambda i: i is not None and i % 4 == 1
+    rule = F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))
+    words = [(t or "").encode().lower().split() for _, t, _, _ in rows]
+    count, ends = collections.Counter(), 0
+    for (i, *_), w in zip(rows, words):
+        if not held(i):
+            count.update(w)
+            ends += 1
+    n, v = sum(count.values()) + ends, len(count) + 1
+    want = collections.Counter((i, held(i), len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, round(sum(math.log10((c + 1) / (n + v + 1)) for c in [ends, *(count[x] for x in w)]), 6)) for (i, *_), w in zip(rows, words))
+    for head in (200_000, 3):
+        got = suffix_tree.score_documents(docs, rule, head=head, context_share=0.01, next_share=1e-6).collect()
+        assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    got = suffix_tree.score_documents(docs, rule, context_share=0.01, next_share=1e-6).collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_tree_states_are_distributions(spark, docs):
+    from graphloom.llm.common import Scratch
+
+    tree, _ = suffix_tree.train(docs, Scratch(spark, "t"), depth=3, context_share=0.001, next_share=1e-6)
+    assert len(tree.levels) == 3
+    every = np.arange(len(tree.words) + 1)
+    for d, level in enumerate(tree.levels, 1):
+        for state in range(0, len(level["words"]), 7):
+            known = suffix_tree._below(tree, d, np.full(len(every), state), np.minimum(every, tree.next_n - 1))[every < tree.next_n].sum()
+            rest, s = 1.0, state
+            for k in range(d, 0, -1):
+                rest *= tree.levels[k - 1]["rest"][s]
+                s = tree.levels[k - 1]["suffix"][s]
+            other = rest * (((tree.root[tree.next_n :] + 1) / tree.denominator).sum() + 1 / tree.denominator)
+            assert abs(known + other - 1) < 1e-9
+
+
+def test_languages(spark):
+    rng = random.Random(6)
+    kinds = {"aa": ["shing", "thew", "oughts", "wharf"], "bb": ["zeño", "ñandú", "cción", "llar"]}
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(40)), k, "s") for i in range(80) for k in [rng.choice(["aa", "bb"])]]
+    rows += [(200, None, "aa", "s"), (201, "12 34 !!", "aa", "s"), (202, "", "bb", "s"), (203, "shing thew wharf oughts", None, "s")]
+    got = {r.doc_id: r for r in langid.identify(table(spark, rows), crc_bucket(F.col("doc_id"), 5) == 0).collect()}
+    assert all(got[i].lang_pred == k for i, _, k, _ in rows[:80])
+    assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["und", "und", "und", "aa"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_quality(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(["a", "mild", "story", "went", "home"]) + rng.choice(["", ","]) for _ in range(40))
+    rows, labels = [], []
+    for i in range(120):
+        kind = i % 4
+        text = plain() if kind < 2 else " ".join(f"{w}***" for w in plain().split()) if kind == 2 else plain() + " you idiot " + plain()
+        rows.append((i, text, "en", "s"))
+        if i % 3 == 0:
+            labels.append((i, 1 if kind != 2 else 0, 1 if kind == 3 else 0))
+    rows += [(500, None, "en", "s"), (501, "", "en", "s")]
+    annotated = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for known in (annotated, None):
+        got = {r.doc_id: r.keep for r in quality.classify(table(spark, rows), known).collect()}
+        assert sum(got[i] == (i % 4 < 2) for i in range(120)) >= 117
+        assert not got[500] and not got[501]
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(FILES[0])
+    got = packing.pack_documents(docs, FILES, 64).collect()
+    fill, back = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        fill[r.sequence_id].append((r.offset, r.length))
+        back[r.doc_id].append((r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for parts in fill.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+    total = sum(r.length for r in got)
+    assert len(fill) <= -(-total // 64) + 1
+    for i, text, _, _ in sample():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        if i not in (3, 7):
+            assert [x for _, _, p in sorted(back[i]) for x in p] == ids
+            assert all(len(p) == 64 for _, _, p in sorted(back[i])[1:])
+
+
+def test_mixing(spark, docs):
+    everything = mixing.mix(docs, budget=1.0, alphas=dict.fromkeys(mixing.DIMS, 1.0)).collect()
+    assert len(everything) == len(sample())
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "a", "b"])) for i in range(3000)]
+    source = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, share double")
+    got = mixing.mix(table(spark, rows), budget=0.3, alphas=dict.fromkeys(mixing.DIMS, 1.0), targets={"source": source}).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    share = {r.source: r.n / sum(x.n for x in got) for r in got}
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    assert abs(share["a"] - 0.5) < 0.04 and abs(sum(r.n for r in got) / total - 0.3) < 0.03
+
+
+def vectors(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:140] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16), (1150, [None] + [1.0] * 15), (1200, [float("inf")] * 16), (1250, [1.0, 2.0]), (None, [1.0] * 16), (0, x[0].tolist())]
+    return x.astype(float), spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int")
+
+
+def test_nearest(spark):
+    x, rows = vectors(spark)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, k=5, block=200).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 50))
+    norm, hits = np.linalg.norm(x, axis=1), 0
+    for q, found in got.items():
+        s = x @ x[q] / (norm * norm[q])
+        s[q] = -9
+        best = np.lexsort((np.arange(600), -s.round(12)))[:5]
+        hits += len({i for i, _ in found} & set(best.tolist()))
+        assert len(found) == 5 and all(abs(score - s[i]) < 1e-12 for i, score in found)
+    assert hits >= 0.9 * 60
+
+
+def test_nearest_codes(spark):
+    x, rows = vectors(spark)
+    code = F.aggregate(F.transform("embedding", lambda v, i: F.when(v > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
+    codes = ((x > 0) * (1 << np.arange(16))).sum(axis=1)
+    plain = rows.where("vec_id < 600")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in topk.nearest_codes(plain, F.col("vec_id") % 20 == 0, k=4, code=code, block=250).collect()}
+    for q in range(0, 600, 20):
+        order = sorted((int(c ^ codes[q]).bit_count(), i) for i, c in enumerate(codes.tolist()) if i != q)
+        assert [got[q, r] for r in (1, 2, 3, 4)] == [(i, d) for d, i in order[:4]]
+    assert topk.nearest_codes(rows, F.col("vec_id") % 50 == 0, code=topk.sign_code()).count() == 0
+
+
+def test_empty_tables(spark, empty):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rule = crc_bucket(F.col("doc_id"), 5) == 0
+    for df in (
+        suffix.dedup_substrings(empty), substring.remove_passages(empty), simhash.near_duplicates(empty), simhash.near_duplicates(empty, lanes=1, radius=4), suffix_tree.score_documents(empty, rule), langid.identify(empty, rule),
+        quality.classify(empty, labels), packing.pack_digests(empty, FILES), mixing.mix(empty), ann.nearest(none, F.col("vec_id") % 5 == 0), topk.nearest_codes(none, F.col("vec_id") % 5 == 0, code=topk.sign_code()),
+    ):
+        assert df.count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = " ".join(word() for _ in range(90))
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(60)]
+        text = " ".join(words) if i % 4 else " ".join(words) + " " + shared + " " + word()
+        rows.append((i, text, "en", "ab"[i % 2]))
+    rows += [(50, rows[1][1], "en", "a"), (51, "junk!! " * 40, "en", "a"), (52, None, "en", "a"), (None, " ".join(word() for _ in range(50)), "en", "b")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(51, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        kept[name] = docs.collect()
+        docs = spark.createDataFrame(kept[name], docs.schema)
+    ids = lambda name: {r.doc_id for r in kept[name]}
+    assert ids("quality") == {*range(40), 50, None}
+    assert ids("near_dedup") == {*range(40), None}
+    assert all((shared[:200] in r.text) is False for r in kept["substring_dedup"])
+    assert ids("mixing") <= ids("substring_dedup") and len(ids("mixing")) > 25
+    assert {r.doc_id for r in kept["packing"]} == ids("mixing")
