@@ -187,8 +187,13 @@ def test_packing(spark, docs):
             assert offset == at
             at += n
         assert at <= 64
-    total = sum(r.length for r in got)
-    assert len(fill) <= -(-total // 64) + 1
+    rooms = []
+    for n in sorted((r.length for r in got), reverse=True):  # best fit, for comparison
+        fits = [x for x in rooms if x >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 64) - n)
+    assert len(fill) <= len(rooms) + 1
     for i, text, _, _ in sample():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         if i not in (3, 7):
