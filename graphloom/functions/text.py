@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ def unescape_all(text: Column | str) -> Column:
     """All named and numeric character entities; only texts with an ampersand go to Python, in batches."""
     import html
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(html.unescape, na_action="ignore")
