@@ -101,27 +101,33 @@ def lexicon_pattern(terms: Iterable[str]) -> str:
     return r"(?iU)(?<!\w)(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in longest) + r")(?!\w)"
 
 
-def lexicon_spans(text: Column | str, lexicon: Iterable[tuple[str, str]] = rules.LEXICON, score: float = rules.LEXICON_SCORE) -> Column:
-    """Array of struct start, end, text, label, confidence: leftmost, longest, not overlapping."""
-    lexicon = tuple(lexicon)
-    labels = F.create_map(*[F.lit(x) for term, label in {a.lower(): b for a, b in lexicon}.items() for x in (term, label)])
-
-    t, pattern = col(text), lexicon_pattern(x for x, _ in lexicon)
+def match_spans(text: Column | str, pattern: str) -> Column:
+    """Array of struct start, end, text of a pattern's matches: matches and the gaps between them are found in one pass
+    each, so a text without a match costs no more than others."""
 
     def spans(g: Column) -> Column:
         def span(before: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
             def of(x: Column, i: Column) -> Column:
                 end = before(i + 1)
-                return F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text"), F.element_at(labels, F.lower(x)).alias("label"), F.lit(score).alias("confidence"))
+                return F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text"))
 
             return of
 
         steps = F.transform(g["found"], lambda x, i: F.length(x) + F.length(F.element_at(g["gaps"], i + 1)))
         return with_offsets(steps, lambda before: F.transform(g["found"], span(before)))
 
+    t = col(text)
     return let(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps")), spans)
 
 
+def lexicon_spans(text: Column | str, lexicon: Iterable[tuple[str, str]] = rules.LEXICON, score: float = rules.LEXICON_SCORE) -> Column:
+    """Array of struct start, end, text, label, confidence: leftmost, longest, not overlapping."""
+    lexicon = tuple(lexicon)
+    labels = F.create_map(*[F.lit(x) for term, label in {a.lower(): b for a, b in lexicon}.items() for x in (term, label)])
+    tag = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.element_at(labels, F.lower(m["text"])).alias("label"), F.lit(score).alias("confidence"))
+    return F.transform(match_spans(text, lexicon_pattern(x for x, _ in lexicon)), tag)
+
+
 def lexicon_ner(docs: DataFrame, lexicon: Iterable[tuple[str, str]] = rules.LEXICON, aliases: dict[str, str] | None = None) -> DataFrame:
     """pmid, start, end, text, label, confidence, normalized_text."""
     spans = docs.select("pmid", F.explode(lexicon_spans("text", lexicon)).alias("m")).select("pmid", "m.*")
@@ -248,9 +254,9 @@ def ner_examples(mentions: DataFrame) -> DataFrame:
 
 def phrase_scan(docs: DataFrame, patterns: Iterable[str] = rules.PROHIBITED, negations: Iterable[str] = rules.NEGATIONS, before: int = 80, notice: str | None = None) -> DataFrame:
     """pmid, finding_type, detail: phrases without a negation in the characters before them; texts without the notice."""
-    hits = [F.regexp_extract_all("text", F.lit(f"(?isu)(.{{0,{before}}})({p})"), F.lit(i)) for p in patterns for i in (1, 2)]
-    pairs = F.concat(*[F.arrays_zip(a.alias("before"), b.alias("phrase")) for a, b in zip(hits[::2], hits[1::2])])
-    found = docs.select("pmid", F.explode(pairs).alias("f"))
+    hits = F.concat(*[match_spans("text", f"(?iu){p}") for p in patterns])
+    window = lambda m: F.substring("text", F.greatest(F.lit(1), m["start"] - before + 1), F.least(F.lit(before), m["start"]))
+    found = docs.select("pmid", F.explode(F.transform(hits, lambda m: F.struct(window(m).alias("before"), m["text"].alias("phrase")))).alias("f"))
     negated = functools.reduce(lambda a, b: a | b, [F.contains(casefold("f.before"), F.lit(n)) for n in negations])
     out = found.where(~negated).select("pmid", F.lit("prohibited_assertion").alias("finding_type"), F.concat(F.lit("Potential scope drift phrase: "), "f.phrase").alias("detail"))
     if notice is None:

@@ -108,8 +108,12 @@ def _cues_sql() -> str:
 
 
 def _phrase_sql() -> str:
-    union = " UNION ALL ".join(f"SELECT doc_id::VARCHAR AS pmid, unnest(regexp_extract_all(text, '(?is)(.{{0,80}})({p})', 1)) AS b, unnest(regexp_extract_all(text, '(?is)(.{{0,80}})({p})', 2)) AS phrase FROM documents" for p in PHRASES)
-    return f"SELECT pmid, 'prohibited_assertion' AS finding_type, 'Potential scope drift phrase: ' || phrase AS detail FROM ({union}) WHERE NOT (" + " OR ".join(f"contains(lower(b), {q(n)})" for n in rules.NEGATIONS) + ")"
+    parts = []
+    for p in PHRASES:
+        g, f = f"regexp_split_to_array(text, '(?i){p}')", f"regexp_extract_all(text, '(?i){p}')"
+        parts.append(f"SELECT doc_id::VARCHAR AS pmid, text, g, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, text, {g} AS g, {f} AS f FROM documents)")
+    start = "CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"SELECT pmid, 'prohibited_assertion' AS finding_type, 'Potential scope drift phrase: ' || phrase AS detail FROM (SELECT pmid, f[i] AS phrase, substr(text, greatest(1, {start} - 79), least(80, {start})) AS b FROM ({' UNION ALL '.join(parts)})) WHERE NOT (" + " OR ".join(f"contains(lower(b), {q(n)})" for n in rules.NEGATIONS) + ")"
 
 
 def _observations(docs: DataFrame) -> DataFrame:
