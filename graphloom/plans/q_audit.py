@@ -84,7 +84,7 @@ def _(spark, sf):
     return G.build_trial_graph(trials).groupBy(F.col("tail_label").alias("label")).agg(F.count("*").alias("relations"), F.count_distinct("tail_key").alias("unique_nodes"), F.count_distinct("record_id").alias("records"))
 
 
-@query("baseline_bundle")
+@query("baseline_bundle", f"{_Q} SELECT * FROM z UNION ALL SELECT 'issue', 'missing_evidence_method', count(*) FROM e UNION ALL SELECT 'issue', 'missing_source_sentence', count(*) FROM e WHERE flag = 'N' UNION ALL SELECT 'load', 'records', count(DISTINCT record_id) FROM e UNION ALL SELECT 'load', 'node_merges', count(*) FROM n UNION ALL SELECT 'load', 'relation_merges', count(*) FROM e")
 def _(spark, sf):
     """Quality, load counts and provenance of one graph in one table."""
     e, n = edges(spark, sf), nodes(spark, sf)

@@ -243,20 +243,24 @@ def _(spark, sf):
     return out.select("id", F.concat(F.lit("t"), F.when(F.col("task") == "evidence", 0).when(F.col("task") == "relation", 1).otherwise(2).cast("string")).alias("task"), "text", F.array_join("labels", ";").alias("labels"))
 
 
-@query("evidence_pack")
+def _groups(rows: str, key: str) -> str:
+    return _split(f"SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY sha256('13|' || {key}), {key}) AS rk FROM (SELECT DISTINCT {key} FROM {rows})", "n")
+
+
+@query("evidence_pack", f"WITH {_X}, {_MAP}, g AS ({_GROUP}) SELECT task, split, label, id, count(*) AS n FROM x JOIN g USING (source_pmid) JOIN m USING (task, label) GROUP BY ALL")
 def evidence_pack(spark, sf):
     """Repair, split by group, map labels, and count by split and label."""
     rows = D.repair_labels(examples(spark, sf).drop("text"), "source")
     return D.apply_label_map(D.split_by_group(rows, "source_pmid"), D.label_map(rows)).groupBy("task", "split", "label", "id").agg(F.count("*").alias("n"))
 
 
-@query("relation_pack")
+@query("relation_pack", f"WITH {_NEG}, k AS (SELECT group_id::VARCHAR AS group_id, 'TARGETS' AS label FROM e UNION ALL SELECT group_id::VARCHAR, label FROM g), h AS ({_groups('k', 'group_id')}) SELECT split, label, count(*) AS n FROM k JOIN h USING (group_id) GROUP BY ALL")
 def _(spark, sf):
     """Positives and negatives, split by group."""
     return D.split_by_group(pack(spark, sf).withColumn("group_id", F.col("group_id").cast("string")), "group_id").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("gold_pack")
+@query("gold_pack", f"WITH {CURATED}, k AS (SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents WHERE doc_id % 4 = 0), h AS ({_groups('k', 'source_pmid')}) SELECT task, split, label, count(*) AS n FROM k JOIN h USING (source_pmid) GROUP BY ALL")
 def _(spark, sf):
     return D.split_by_group(gold(spark, sf), "source_pmid").groupBy("task", "split", "label").agg(F.count("*").alias("n"))
 

@@ -12,6 +12,7 @@ from graphloom.plans.common import q, sql_fold, table
 LEXICON = (("that", "GENE"), ("with", "OUTCOME"), ("for", "BIOMARKER"), ("was", "DISEASE"), ("by", "DRUG"), ("in the", "TREATMENT"), ("in", "PATHWAY"))
 RULES = (("PREDICTS", (r"\bthe\b", r"\ba\b"), 0.62), ("ASSOCIATED_WITH", (r"\band\b",), 0.58), ("TARGETS", (r"\bof\b",), 0.6))
 CUES = ((5, 0.82, (r"\blicense[d]?\b",)), (4, 0.76, (r"\bidiot\b", r"\bclown\b")), (3, 0.68, (r"\bthat\b",)))
+OWN_RULES = (("SHOWS", (r"\bthis\b",), 0.3), ("COMES_FROM", (r"\bfrom\b", r"\bwas\b"), 0.4))
 PHRASES = (r"\bidiot\b", r"\brights reserved\b")
 
 
@@ -47,9 +48,9 @@ def _relations(docs: DataFrame) -> DataFrame:
     return E.extract_relations(docs, _mentions(docs), table=RULES).select("pmid", "relation_index", "head_label", "head_key", "relation", "tail_label", "tail_key", "confidence", "trigger", "sentence_no")
 
 
-def _fired(s: str) -> str:
+def _fired(s: str, table=RULES) -> str:
     parts = []
-    for i, (r, patterns, c) in enumerate(RULES):
+    for i, (r, patterns, c) in enumerate(table):
         hit = "coalesce(" + ", ".join(f"nullif(regexp_extract({s}, '(?i){p}'), '')" for p in patterns) + ")"
         parts.append(f"{{'rule_no': {i}, 'relation': {q(r)}, 'trigger': {hit}, 'c': {c}::DOUBLE}}")
     return "[" + ", ".join(parts) + "]"
@@ -138,9 +139,8 @@ QUERIES = {
     "udf_evidence_classifier": on_papers(lambda d: E.classify_evidence(d, classifier=_classifier).select("pmid", "tier", "confidence")),
     "udf_predictor": on_papers(lambda d: E.predict_with(d, _predictor, checkpoint_name="rule").select("pmid", "prediction", "confidence", "checkpoint_name")),
     "batch_score": on_papers(lambda d: E.predict_with(d, _predictor, checkpoint_name="rule", checkpoint_status="candidate").select("pmid", "prediction", "confidence", "tier", "checkpoint_status")),
-    "udf_rule_table": lambda spark, sf: spark.createDataFrame(E.rule_rows(RULES), "rule_no int, relation string, head_label string, tail_label string, confidence double").join(table(spark, sf, "nation").limit(1).select("n_nationkey"), how="left").drop("n_nationkey"),
+    "udf_rule_table": on_papers(lambda d: E.match_relation_rules(E.split_sentences(d), OWN_RULES).groupBy("relation", "trigger").agg(F.count("*").alias("n"), F.max("rule_confidence").alias("confidence"))),
 }
-_RULE_CONFIDENCE = {i: c for i, (_, _, c) in enumerate(RULES)}
 ORACLE = {
     "split_sentences": f"WITH {_SENTENCES} SELECT * FROM s",
     "chunk_text": f"WITH {_chunks_sql(250, 40)}",
@@ -154,8 +154,9 @@ ORACLE = {
     "top_pairs": f"WITH {_RELATIONS} SELECT head_label, head_key, relation, tail_label, tail_key, count(*) AS n FROM r GROUP BY ALL ORDER BY n DESC, head_label, head_key, relation, tail_label, tail_key LIMIT 10",
     "top_entities": f"WITH {_MENTIONS} SELECT label, text, count(*) AS n FROM n GROUP BY ALL ORDER BY n DESC, label, text LIMIT 10",
     "phrase_scan": _phrase_sql(),
+    "udf_rule_table": f"WITH {_SENTENCES} SELECT r.relation AS relation, r.trigger AS trigger, count(*) AS n, max(r.c) AS confidence FROM (SELECT unnest({_fired('sentence', OWN_RULES)}) AS r FROM s) WHERE r.trigger IS NOT NULL GROUP BY ALL",
+    "udf_tagger": f"WITH {_MENTIONS} SELECT pmid, start, \"end\", text, 'GENE' AS label, 0.9::DOUBLE AS confidence FROM n WHERE text IN ('that', 'with')",
     "udf_evidence_classifier": "SELECT doc_id::VARCHAR AS pmid, CASE WHEN contains(text, 'idiot') THEN 4 ELSE 0 END AS tier, 0.7::DOUBLE AS confidence FROM documents",
     "udf_predictor": "SELECT doc_id::VARCHAR AS pmid, 'LABEL_' || (length(text) % 7)::VARCHAR AS prediction, 0.5 + length(text) % 5 / 10.0 AS confidence, 'rule' AS checkpoint_name FROM documents",
     "batch_score": "SELECT doc_id::VARCHAR AS pmid, 'LABEL_' || (length(text) % 7)::VARCHAR AS prediction, 0.5 + length(text) % 5 / 10.0 AS confidence, CASE WHEN length(text) % 7 < 6 THEN length(text) % 7 END AS tier, 'candidate' AS checkpoint_status FROM documents",
 }
-del QUERIES["udf_rule_table"]

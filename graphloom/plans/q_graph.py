@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
-from graphloom.functions import text as T
 from graphloom.operators import extract as E
 from graphloom.operators import graph as G
 from graphloom.operators import review as R
 from graphloom.plans.base import EDGES, MERGED, NODES, OVERLAY, edges, nodes
 from graphloom.plans.common import q, table
-from graphloom.plans.q_extract import _MENTIONS, _NODE, LEXICON, RULES, papers
+from graphloom.plans.q_extract import _MENTIONS, _NODE, _RELATIONS, LEXICON, RULES, papers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -187,15 +186,11 @@ def _(spark, sf):
     return G.build_trial_graph(trials).select("head_key", "tail_label", "tail_key", "registry_field")
 
 
-@query("literature_pipeline")
+@query("literature_pipeline", f"WITH {_RELATIONS} SELECT head_label, head_key, relation, tail_label, tail_key, count(DISTINCT pmid) AS citations, 0 AS evidence_tier, max(confidence) AS confidence, arg_min(pmid, row(pmid, relation_index)) AS created_from FROM r GROUP BY ALL")
 def _(spark, sf):
     """Papers to a merged graph: mentions and tiers, relations, then one edge a pair."""
     docs = papers(spark, sf)
     mentions = E.lexicon_ner(docs, LEXICON)
     relations = E.extract_relations(docs, mentions, E.classify_evidence(docs), table=RULES).withColumn("record_id", F.col("pmid")).withColumn("source_id", F.col("pmid"))
-    return G.merge_edges(relations)
+    return G.merge_edges(relations).drop("source_ids")
 
-
-@query("casefold_key", "SELECT doc_id, replace(lower(substr(text, 1, 60)), 'ß', 'ss') AS key FROM documents")
-def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.casefold(F.substring("text", 1, 60)).alias("key"))

@@ -242,7 +242,10 @@ def _(spark, sf):
     return met.select("item_id", F.array_join(R.prediction_problems(F.col("review_status"), F.lit("n"), F.col("corrected_tier"), evidence_tier("prediction")), "; ").alias("problems"))
 
 
-@query("curation_workflow")
+_DIFF = "x AS (SELECT CASE WHEN hit AND new_tier > evidence_tier THEN 'increased' WHEN hit THEN 'decreased' ELSE 'unchanged' END AS change, evidence_tier AS before, CASE WHEN hit THEN new_tier ELSE evidence_tier END AS after FROM o)"
+
+
+@query("curation_workflow", f"WITH {OVERLAY}, {_DIFF} SELECT 'change' AS facet, change AS key, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'before', before::VARCHAR, count(*) FROM x GROUP BY ALL UNION ALL SELECT 'after', after::VARCHAR, count(*) FROM x GROUP BY ALL")
 def _(spark, sf):
     """Predictions to an overlay graph and its diff, in one plan."""
     return R.counts_by(R.overlay_diff(edges(spark, sf), overlay(spark, sf)), "change", "before", "after")

@@ -122,7 +122,7 @@ def _(spark, sf):
     path = place(spark, "events")
     line = F.when(F.col("event_id") % 10 == 0, F.lit('{"k": ')).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("pmid"))))
     table(spark, sf, "events").select(line.alias("value")).write.text(path)
-    good, bad = S.read_json_permissive(spark, path, S.T.StructType.fromDDL("pmid string"))
+    good, bad = S.read_json_permissive(spark, path, "pmid string")
     both = good.select(F.lit(True).alias("ok")).unionByName(bad.select(F.lit(False).alias("ok")))
     return both.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("rejected"))
 

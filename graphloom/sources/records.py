@@ -4,31 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.functions.text import clean_text, join_sections, publication_date
 
-PAPER = T.StructType.fromDDL("pmid string, title string, abstract string, journal string, publication_date string, mesh_terms array<string>, query_pack string, query_pack_source string, matched_queries array<string>")
+PAPER = "pmid string, title string, abstract string, journal string, publication_date string, mesh_terms array<string>, query_pack string, query_pack_source string, matched_queries array<string>"
 MENTION = "text string, label string, start int, end int, confidence double, normalized_text string"
-ENTITIES = T.StructType.fromDDL(f"pmid string, entities array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>")
-CLAIM = T.StructType.fromDDL("claim string, source_pmid string, evidence_level int, confidence double, classification_method string, evidence_cues array<string>")
+ENTITIES = "pmid string, entities array<struct<" + ",".join(x.strip().replace(" ", ":") for x in MENTION.split(",")) + ">>"
+CLAIM = "claim string, source_pmid string, evidence_level int, confidence double, classification_method string, evidence_cues array<string>"
 _NODE = "struct<label:string,key_value:string,properties:map<string,string>>"
-RECORD = T.StructType.fromDDL(
+RECORD = (
     f"pmid string, nct_id string, paper_properties map<string,string>, trial_properties map<string,string>, nodes array<{_NODE}>, relations array<struct<head:{_NODE},relation:string,tail:{_NODE},source_pmid:string,source_id:string,evidence_tier:int,confidence:double,qualifiers:map<string,string>,properties:map<string,string>>>"
 )
-TRIAL = T.StructType.fromDDL("nct_id string, brief_title string, official_title string, overall_status string, phases array<string>, study_type string, conditions array<string>, interventions array<string>, start_date string, primary_completion_date string, completion_date string, enrollment_count int, sponsor string, has_results boolean, last_update_posted string, source_url string, query string")
+TRIAL = "nct_id string, brief_title string, official_title string, overall_status string, phases array<string>, study_type string, conditions array<string>, interventions array<string>, start_date string, primary_completion_date string, completion_date string, enrollment_count int, sponsor string, has_results boolean, last_update_posted string, source_url string, query string"
 
 
-def read_json(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Strict: a line that isn't valid fails the job. Several paths are one table."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
-def read_json_permissive(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_json_permissive(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows; and rejected lines with their file."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-    rows = lines.withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    rows = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("r._corrupt_record").isNotNull()
     return rows.where(~bad).select("r.*").drop("_corrupt_record"), rows.where(bad).select("file", F.col("value").alias("line"))
 
@@ -71,7 +69,7 @@ def read_review_csv(spark: SparkSession, paths: str | list[str], columns: list[s
     """Reviewed rows: reasons as an array, tiers and confidences as numbers (null where they aren't), blanks as null."""
     from graphloom.functions.text import blank_to_null, evidence_tier, split_reasons
 
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.schema(schema).option("header", True).csv(paths)
     out = rows.select(*[blank_to_null(c).alias(c) for c in columns])
     for c in columns:
