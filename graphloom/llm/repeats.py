@@ -241,7 +241,7 @@ def _resolve(resolver: Resolver, length: int, block: int):
     return run
 
 
-def repeated(docs: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 4096, block: int = 4 << 20) -> DataFrame:
+def repeated(docs: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 4096, block: int = 2 << 20) -> DataFrame:
     """docs: k1, k2, body -> spans k1, k2, lo, hi (end) whose symbols are covered by a repeated window."""
     rows = scratch.save(docs.mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long"), "anchors")
     one = rows.where("n > 0")
