@@ -6,10 +6,10 @@ test against the number of its next words). Distributions are discounted and the
 down to add-one counts of single words, so every state's distribution sums to one.
 Scoring: each token by the state of the longest context that stayed.
 
-The tree's contexts and next words have minimum shares of all training tokens, so its size is bounded by those shares
-(contexts of a length: 1 / context_share, next words of a length: 1 / next_share) while the counts behind it cover the
-whole corpus. Single words have no bound: the most frequent `head` words travel with the tree, the others' counts are
-joined word by word.
+A context needs ten occurrences and a next word `least` after it, at any size of the corpus; beyond that only the test
+decides. Contexts and next words are Spark tables, keyed by 64-bit hashes of their words: what a run of words adds to a
+score is joined to the texts that hold it. Of fixed size are only the most frequent words and runs, which travel with
+the scorer and need no join, and bitmaps that let through every key of a table and few others.
 
 Nulls and odd rows: null text is empty and is scored as its end token; null doc_id counts as the empty text in the
 training rule; repeated rows count and are scored each; no training rows: every token is unknown; extra columns are
@@ -18,12 +18,14 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,24 +212,37 @@ def _longer(tree: Tree, key: np.ndarray, n: np.ndarray, least: int) -> bool:
     return True
 
 
-def train(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000, context_share: float = 1e-4, next_share: float = 5e-7, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> tuple[Tree, DataFrame]:
-    """The tree, and all training words with their counts (word, n)."""
-    spark = docs.sparkSession
-    bodies = docs.select(text_of().cast("binary").alias("body"))
-    counts = scratch.save(bodies.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    ends = docs.count()
-    sized = counts.groupBy(F.floor(F.log2("n") * 8).alias("octave")).agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.min("n").alias("low")).orderBy(F.desc("octave")).collect()  # at most 8 * 63 rows
-    room, floor = head, None
-    for r in sized:
+def _floor(table: DataFrame, n: str, room: int) -> int | None:
+    """The least count such that at most `room` rows have it or more, by eighths of powers of two."""
+    floor = None
+    for r in table.groupBy(F.floor(F.log2(n) * 8).alias("octave")).agg(F.count("*").alias("k"), F.min(n).alias("low")).orderBy(F.desc("octave")).collect():  # at most 8 * 63 rows
         room -= r.k
         if room < 0:
             break
         floor = r.low
+    return floor
+
+
+def _words(docs: DataFrame, scratch: Scratch, head: int, context_share: float, next_share: float, least: int) -> tuple[Tree, DataFrame, int, int]:
+    """A tree of single words, all words with their counts (word, n), the least counts of a context and of a next word."""
+    bodies = docs.select(text_of().cast("binary").alias("body"))
+    counts = scratch.save(bodies.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    ends = docs.count()
+    floor = _floor(counts, "n", head)
     frequent = counts.where(F.col("n") >= (floor if floor is not None else 1 << 62)).toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most `head` rows
-    total = sum(r.s for r in sized) + ends
+    said = counts.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
+    total = said.s + ends
     context_least = max(10, int(context_share * total))
     next_least = max(least, int(next_share * total))
-    tree = Tree(frequent.word.tolist(), frequent.n.to_numpy(np.int64), ends, total, sum(r.k for r in sized) + (ends > 0), next_least, context_least)
+    return Tree(frequent.word.tolist(), frequent.n.to_numpy(np.int64), ends, total, said.k + (ends > 0), next_least, context_least), counts, context_least, next_least
+
+
+def train(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000, context_share: float = 0.0, next_share: float = 0.0, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> tuple[Tree, DataFrame]:
+    """The tree of a small table as a whole on the driver, and all training words with their counts (word, n). It is what
+    `learn` is compared with; no query uses it."""
+    spark = docs.sparkSession
+    bodies = docs.select(text_of().cast("binary").alias("body"))
+    tree, counts, context_least, next_least = _words(docs, scratch, head, context_share, next_share, least)
     if tree.contexts:
         tree.levels.append({"d": 1, "words": np.arange(1, tree.contexts + 1)[:, None], "count": tree.root[1 : tree.contexts + 1], "suffix": np.zeros(tree.contexts, np.int64)})
     for d in range(1, depth + 1):
@@ -242,33 +257,169 @@ def train(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000
     return tree, counts
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>"
+_BITS = 1 << 26
+_BATCH = 1 << 20
+_PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two columns of longs."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = (h + p5 + np.uint64(8)) ^ (_turn(x.view(np.uint64) * p2, 31) * p1)
+        h = _turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
 
+class _Ids(dict):
+    """Word to id: the end 0, words of the head by rank, others by hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        h -= (h >> 63) << 64
+        if len(self) < 1_000_000:
+            self[word] = h
+        return h
+
+
+_IDS: dict[int, _Ids] = {}
+
+
+def _ids(shared: _Shared, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    if shared.id not in _IDS:
+        _IDS.clear()
+        _IDS[shared.id] = _Ids({w.encode(): i for i, w in enumerate(shared.value[0].words, 1)} | {_END: 0})
+    n = np.array([len(x) + 1 for x in words])
+    flat = itertools.chain.from_iterable(itertools.chain(x, (_END,)) for x in words)
+    return np.fromiter(map(_IDS[shared.id].__getitem__, flat), np.int64, int(n.sum())), n
+
+
+def _grams(ids: np.ndarray, n: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the key of the words that end at each token, and whether they stand in one text."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    key = ids
+    for d in range(1, longest + 1):
+        yield key, place >= d - 1
+        key = _pair(np.concatenate((key[:1], key[:-1])), key)
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """False where a key is surely not in the set; of other keys a few are let through, and go with the next join."""
+    at = key & (_BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The set of keys as bits of fixed number, whatever the number of keys."""
+    at = F.col("key").bitwiseAND(F.lit(_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    found = keys.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most _BITS / 64 rows
+    out = np.zeros(_BITS >> 6, np.uint64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _followed(words: _Shared, sets: _Shared, d: int):
+    """Counts of (context of d words, the d words that end one token later)."""
+
+    def out(held: list) -> pa.RecordBatch:
+        key, first, inverse = np.unique(np.concatenate([_pair(*x) for x in held]), return_index=True, return_inverse=True)
+        before, now = (np.concatenate(x)[first] for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(before), pa.array(now), pa.array(np.bincount(inverse, minlength=len(key)))], ["s", "low", "n"])
 
-def _score(shared: _Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, index = _index(shared)
+        contexts, lows = sets.value
+        held, size = [], 0
+        for batch in batches:
+            for part in _chunks(blobs(batch.column(0))):
+                *_, (key, _), (_, whole) = _grams(*_ids(words, part), d + 1)
+                at = np.flatnonzero(whole & _has(lows, key))
+                at = at[_has(contexts, key[at - 1])]
+                held.append((key[at - 1], key[at]))
+                size += len(at)
+                if size > _BATCH:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def learn(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000, context_share: float = 0.0, next_share: float = 0.0, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> tuple[Tree, DataFrame, DataFrame, int]:
+    """The single words of the head, all training words with their counts (word, n), what every run of words adds to the
+    score of a text it stands in (key, w: its count, delta), and the length of the longest run.
+
+    A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
+    probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
+    """
+    spark = docs.sparkSession
+    bodies = docs.select(text_of().cast("binary").alias("body"))
+    tree, counts, context_least, next_least = _words(docs, scratch, head, context_share, next_share, least)
+    shared = _Shared(spark, (tree,), hash((scratch.base, "ids")))
+    ranks = spark.createDataFrame(pa.table({"word": pa.array(tree.words, pa.string()), "rank": pa.array(range(1, tree.other), _LONG)}))
+    ids = counts.join(F.broadcast(ranks), "word", "left").select(F.coalesce("rank", F.xxhash64("word")).alias("key"), "n")
+    ids = scratch.save(ids.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(tree.ends).cast("long").alias("n"))), "ids")
+    lower = ids.select("key", "n", ((F.col("n") + 1) / F.lit(tree.denominator)).alias("p"))
+    parts = []
+    for d in range(1, depth + 1):
+        contexts = lower.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
+        sets = _Shared(spark, (_bitmap(contexts), _bitmap(lower.where(F.col("n") >= next_least))), 0)
+        found = bodies.mapInArrow(_followed(shared, sets, d), "s long, low long, n long").groupBy("s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= next_least)
+        rows = scratch.save(found.join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low").select(F.xxhash64("s", "low").alias("key"), "s", "n", "below"), f"rows{d}")
+        left = F.greatest(F.col("count") - F.col("seen"), F.lit(0))
+        gain = F.col("gain") - F.col("seen") * F.log("count") + F.when(left > 0, left * F.log(left / F.col("count") / F.greatest(1 - F.col("seen_p"), F.lit(1e-12)))).otherwise(0.0)
+        taken = F.greatest(F.col("n") - F.lit(discount), F.lit(0.0))
+        sums = rows.groupBy("s").agg(F.sum(taken).alias("taken"), F.sum("n").alias("seen"), F.sum("below").alias("seen_p"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below"))).alias("gain"))
+        states = sums.join(contexts.withColumnRenamed("key", "s"), "s").select("s", "count", (1 - F.col("taken") / F.col("count")).alias("rest"), (2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).alias("kept"))
+        states = scratch.save(states, f"states{d}")
+        given = F.col("rest") * F.col("below")
+        p = F.when(F.col("kept"), taken / F.col("count") + given).otherwise(F.col("below"))
+        lower = scratch.save(rows.join(states, "s").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / given)).otherwise(0.0).alias("delta")), f"entries{d}")
+        parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta")]
+    deltas = functools.reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "key long, w long, delta double"))
+    deltas = scratch.save(deltas.groupBy("key").agg(F.max("w").alias("w"), F.sum("delta").alias("delta")).where("delta <> 0"), "deltas")
+    return tree, counts, deltas, depth + 1
+
+
+_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>, runs array<long>"
+
+
+def _score(shared: _Shared, longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, bits, often, delta = shared.value
         rid = TaskContext.get().partitionId() << 36
         rows = 0
         for batch in batches:
-            base, score, size, known, tails = [], [], [], [], []
+            base, score, size, known, tails, runs = [], [], [], [], [], []
             for words in _chunks(blobs(batch.column(2))):
-                ids, n = _encode(index, tree.other, words)
-                rare = ids == tree.other
-                log = np.append(tree.log0, 0.0)[ids]
-                p = np.where(rare, 1.0, 10.0**log)
-                for d, state in enumerate(tree.states(ids, len(tree.levels)), 1):
-                    if d > len(tree.levels):
-                        break
-                    level = tree.levels[d - 1]
-                    before = np.concatenate(([-1], state[:-1]))
-                    at = np.flatnonzero((before >= 0) & level["kept"][before])
-                    s = before[at]
-                    near = np.where(ids[at] < tree.next_n, s * tree.next_n + ids[at], -1)
-                    p[at] = np.where(near >= 0, _lookup(level, near), 0) + level["rest"][s] * p[at]
+                ids, n = _ids(shared, words)
+                rare = (ids < 0) | (ids >= tree.other)
+                log = np.where(rare, 0.0, tree.log0[np.where(rare, 0, ids)])
                 starts = np.cumsum(n) - n
+                text = np.repeat(np.arange(len(n)), n)
+                more, loose = np.zeros(len(n)), []
+                for key, whole in _grams(ids, n, longest):
+                    at = np.flatnonzero(whole & _has(bits, key))
+                    key, owner = key[at], text[at]
+                    if len(often):
+                        near = np.minimum(np.searchsorted(often, key), len(often) - 1)
+                        hit = often[near] == key
+                        more += np.bincount(owner[hit], delta[near[hit]], len(n))
+                        key, owner = key[~hit], owner[~hit]
+                    loose.append((owner, key))
+                owner, key = (np.concatenate(x) for x in zip(*loose))
+                key = key[np.argsort(owner, kind="stable")]
                 base.append(np.add.reduceat(log, starts))
-                score.append(np.add.reduceat(np.log10(p), starts))
+                score.append(base[-1] + more)
                 size.append(n)
                 known.append(np.add.reduceat((~rare).astype(np.int64), starts) - (0 if tree.ends else 1))
                 where = np.flatnonzero(rare)
@@ -276,33 +427,39 @@ def _score(shared: _Shared):
                 offsets = where - np.repeat(starts, np.diff(cuts))
                 for i, x in enumerate(words):
                     tails.append([x[j] for j in offsets[cuts[i] : cuts[i + 1]].tolist()])
+                runs.append((np.bincount(owner, minlength=len(n)), key))
             if not size:
                 continue
             m = batch.num_rows
-            columns = [pa.array(np.arange(rows, rows + m) + rid), batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (size, known, base, score)), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate([x for x, _ in runs])))).astype(np.int32)), pa.array(np.concatenate([x for _, x in runs])))
+            columns = [pa.array(np.arange(rows, rows + m) + rid), batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (size, known, base, score)), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), lists]
             rows += m
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 20, **settings) -> DataFrame:
     """Learns from the rows where held_out is false and scores all: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score (single words), score (the tree), both log10 of the whole text."""
+    base_score (single words), score (the tree), both log10 of the whole text. The `often` most frequent runs of words
+    travel with the scorer, all others are joined."""
     scratch = Scratch(docs.sparkSession, "suffix-tree")
-    tree, counts = train(docs.where(~held_out), scratch, **settings)
-    shared = _Shared(docs.sparkSession, tree, hash((scratch.base, "score")))
+    tree, counts, deltas, longest = learn(docs.where(~held_out), scratch, **settings)
+    floor = _floor(deltas, "w", often)
+    travels = deltas.where(F.col("w") >= (floor if floor is not None else 1 << 62)).select("key", "delta").orderBy("key").toArrow()  # at most `often` rows
+    shared = _Shared(docs.sparkSession, (tree, _bitmap(deltas), travels["key"].to_numpy(), travels["delta"].to_numpy()), hash((scratch.base, "score")))
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().cast("binary").alias("body"))
-    scored = scratch.save(rows.mapInArrow(_score(shared), _SCORED), "scored")
+    scored = scratch.save(rows.mapInArrow(_score(shared, longest), _SCORED), "scored")
     tails = scored.select("rid", F.explode("tail").alias("word"))
     rare = tails.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("logs"), F.count("*").alias("tokens"), F.count("n").alias("found"))
+    runs = scored.select("rid", F.explode("runs").alias("key")).join(deltas, "key").groupBy("rid").agg(F.sum("delta").alias("more"))
     extra = F.coalesce(F.col("logs") - F.col("tokens") * F.log10(F.lit(float(tree.denominator))), F.lit(0.0))
-    return scored.drop("tail").join(rare, "rid", "left").select(
+    return scored.drop("tail", "runs").join(rare, "rid", "left").join(runs, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
+        (F.col("score") + extra + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

@@ -286,3 +286,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert all((shared[:200] in r.text) is False for r in kept["substring_dedup"])
     assert ids("mixing") <= ids("substring_dedup") and len(ids("mixing")) > 25
     assert {r.doc_id for r in kept["packing"]} == ids("mixing")
+
+
+def test_rare_contexts_count_in_large_tables(spark):
+    """Against the whole tree of the same counts; a context of 12 occurrences among 200,000 tokens has a state."""
+    from graphloom.llm.common import Scratch
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(1000)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, "seldom seen pairs", "en", "a") for i in range(12)]
+    rows += [(2000 + i, "seldom seen others", "en", "a") for i in range(12)]
+    docs, rule = table(spark, rows), F.col("doc_id") % 7 == 2
+    tree, _ = suffix_tree.train(docs.where(~rule), Scratch(spark, "t"), head=1_000_000)
+    index = {w: i for i, w in enumerate(tree.words, 1)}
+    assert len(tree.words) < tree.next_n + 3000 and len(tree.levels) == 2
+    first, second = tree.levels
+    pairs = {tuple(w): i for i, w in enumerate(second["words"].tolist())}
+    want = {}
+    for i, text, *_ in rows:
+        ids = [index.get(w, tree.other) for w in text.split()] + [0]
+        logs = 0.0
+        for at, c in enumerate(ids):
+            root = (tree.root[c] + 1) / tree.denominator if c < tree.other else 1 / tree.denominator
+            p = root
+            for d, level in ((1, first), (2, second)):
+                if at < d:
+                    break
+                s = ids[at - 1] - 1 if d == 1 else pairs.get((ids[at - 2], ids[at - 1]), -1)
+                if 0 <= s < len(level["kept"]) and level["kept"][s]:
+                    term = suffix_tree._lookup(level, np.array([s * tree.next_n + c]))[0] if c < tree.next_n else 0.0
+                    p = term + level["rest"][s] * p
+            logs += math.log10(p)
+        want[i] = logs
+    for head, often in ((200_000, 1 << 20), (50, 100)):
+        got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, head=head, often=often).collect()}
+        assert max(abs(got[i].score - want[i]) for i in want) < 1e-6
+    assert got[1000].score - got[1000].base_score > 2
