@@ -1,9 +1,9 @@
 """Quality of documents from weak labels.
 
 Overlapping heuristic labellers vote bad (-1), good (1) or abstain (0) on each text; rows that somebody has annotated may
-bring one more vote, which anchors the class of such rows. Expectation-maximisation over the counts of vote patterns (at most 3 to the number of labellers,
-whatever the corpus) estimates how each labeller votes on good and on bad texts. The posterior labels of a bounded sample
-train a hashed linear scorer, which scores every text whole.
+bring one more vote, which anchors the class of such rows while the labellers are estimated. Expectation-maximisation over the counts of vote patterns (at most 3 to the number of labellers,
+whatever the corpus) estimates how each labeller votes on good and on bad texts. The posterior labels, of which
+an annotation is one vote, of a bounded sample of all rows that teach train a hashed linear scorer, which scores every text whole.
 
 Nulls and odd rows: null and empty text have no words and get score 0 (rejected); repeated rows get equal results; null
 annotations abstain; extra columns are ignored; an empty table gives an empty result; without any vote pattern of both
@@ -84,11 +84,10 @@ class WeakLabels:
             self.table = np.stack([[np.bincount(votes[:, j], w[k], 3) + smooth for j in range(labellers)] for k in (0, 1)])
             self.table /= self.table.sum(axis=2, keepdims=True)
             bad = self._bad(votes)
-        bad = self._anchored(votes, bad)
         self.bad = dict(zip(codes.tolist(), bad.tolist()))
 
     def _anchored(self, votes: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        """The last labeller is a person: whose vote holds but for a hundredth."""
+        """The last labeller is a person: while the others are estimated, whose vote holds but for a hundredth."""
         return np.where(votes[:, -1] == 0, 0.99, np.where(votes[:, -1] == 2, 0.01, bad))
 
     def votes(self, codes: np.ndarray) -> np.ndarray:
@@ -148,32 +147,32 @@ def fit_linear(sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, good: np.
 
 def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...] = ABUSE) -> tuple[WeakLabels | None, np.ndarray, float]:
     """docs: text and what `vote` needs. Vote patterns are counted over all rows; the scorer sees about `sample` rows (by
-    a hash of the text): annotated ones if there are any, then half of them bad."""
+    a hash of the text; never over twice as many), annotated or not, half of them bad by their posterior."""
     words = frozenset(x.encode() for x in abuse)
     rows = docs.select(text_of().cast("binary").alias("body"), F.coalesce(vote, F.lit(0)).cast("int").alias("vote"))
     counts = {r.code: r.n for r in rows.mapInArrow(_patterns(words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return None, np.zeros(DIM), 0.0
     model = WeakLabels(counts, 7)
-    annotated = sum(n for c, n in counts.items() if c % 3 != 1)
-    pool = rows.where("vote <> 0") if annotated else rows
-    low = sum(n for c, n in counts.items() if c % 3 == 0)
-    half = sample / 2
-    share = F.when(F.col("vote") < 0, min(1.0, half / max(low, 1))).otherwise(min(1.0, half / max((annotated or sum(counts.values())) - low, 1)))
-    drawn = pool.where(F.pmod(F.xxhash64("body", F.lit(29)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample)
+    low = sum(n for c, n in counts.items() if model.bad[c] >= 0.5)
+    shares = [int(1_000_000 * min(1.0, sample / 2 / max(n, 1))) for n in (sum(counts.values()) - low, low)]
+    drawn = rows.withColumn("at", F.pmod(F.xxhash64("body", F.lit(29)), F.lit(1_000_000))).where(F.col("at") < max(shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, v in zip(blobs(batch.column(0)), batch.column(1).to_pylist()):
+            for body, v, at in zip(blobs(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 split = body.split()
+                bad = model.bad[_code(measures(body, split, words), v)]
+                if at >= shares[bad >= 0.5]:
+                    continue
                 ids, values = features(split)
-                out.append((model.bad[_code(measures(body, split, words), v)], ids.astype(np.int32), values.astype(np.float32)))
+                out.append((bad, ids.astype(np.int32), values.astype(np.float32)))
             if out:
                 bad, ids, values = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(bad, pa.float64()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["bad", "ids", "values"])
 
-    table = drawn.mapInArrow(run, "bad double, ids array<int>, values array<float>").toArrow().combine_chunks()
+    table = drawn.mapInArrow(run, "bad double, ids array<int>, values array<float>").limit(2 * sample).toArrow().combine_chunks()
     if not table.num_rows:
         return model, np.zeros(DIM), 0.0
     ids, values = (table.column(c).combine_chunks() for c in ("ids", "values"))

@@ -322,3 +322,20 @@ def test_rare_contexts_count_in_large_tables(spark):
         got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, head=head, often=often).collect()}
         assert max(abs(got[i].score - want[i]) for i in want) < 1e-6
     assert got[1000].score - got[1000].base_score > 2
+
+
+def test_unannotated_rows_teach_the_scorer(spark):
+    """Nobody has annotated the kind of junk that only a heuristic labeller sees."""
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice(["a", "mild", "story", "went", "home"]) + rng.choice(["", ","]) for _ in range(40))
+    rows = [(i, plain() if i % 3 == 0 else plain() + " you idiot " + plain() if i % 3 == 1 else " ".join(f"{w}***" for w in plain().split()), "en", "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, i % 3) for i in range(60) if i % 3 < 2], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.classify(table(spark, rows), labels).collect()}
+    assert sum(got[i] == (i % 3 == 0) for i in range(150)) >= 147
+
+
+def test_annotation_is_one_vote_among_others():
+    code = lambda *votes: quality._code(votes[:-1], votes[-1])
+    model = quality.WeakLabels({code(-1, -1, -1, -1, -1, 0, 0): 500, code(0, 0, 0, 0, 0, 1, 1): 500, code(-1, -1, -1, -1, -1, 0, 1): 5}, 7)
+    assert model.bad[code(-1, -1, -1, -1, -1, 0, 1)] != 0.01
+    assert model.bad[code(-1, -1, -1, -1, -1, 0, 0)] > 0.99
