@@ -36,8 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that also stand elsewhere go from the texts; texts left empty go."""
-    found = dedup_substrings(docs, length=400, carry=tuple(COLUMNS), as_text=True)
+    """Strings of 200 bytes or more, which 51 words of prose exceed, that also stand elsewhere go from the texts; texts left
+    empty go."""
+    found = dedup_substrings(docs, length=200, carry=tuple(COLUMNS), as_text=True)
     return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(COLUMNS)
 
 

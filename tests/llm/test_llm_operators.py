@@ -339,3 +339,16 @@ def test_annotation_is_one_vote_among_others():
     model = quality.WeakLabels({code(-1, -1, -1, -1, -1, 0, 0): 500, code(0, 0, 0, 0, 0, 1, 1): 500, code(-1, -1, -1, -1, -1, 0, 1): 5}, 7)
     assert model.bad[code(-1, -1, -1, -1, -1, 0, 1)] != 0.01
     assert model.bad[code(-1, -1, -1, -1, -1, 0, 0)] > 0.99
+
+
+def test_pipeline_removes_passages_of_51_words(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = " ".join(word() for _ in range(51))
+    assert len(shared) < 400
+    rows = [(i, " ".join([*(word() for _ in range(60)), *([shared] if i % 3 == 0 else []), *(word() for _ in range(60))]), "en", "a") for i in range(12)]
+    got = {r.doc_id: r.text for r in P.substring_dedup(spark, table(spark, rows).select(P.COLUMNS), "").collect()}
+    assert len(got) == 12 and not any(shared[20:-20] in t for t in got.values())
+    assert all(got[i] == t for i, t, *_ in rows if i % 3)
