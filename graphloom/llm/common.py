@@ -82,3 +82,21 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[1:] = lo[1:] > reach[:-1]
     last = np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)
     return lo[first], reach[last]
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], part: int = 2048, most: int = 10_000) -> DataFrame:
+    """Of counts (keys, n) the keys of over `part` rows, with `salts`, the number of parts to deal them out to; never more
+    than the `most` largest, so that they can be broadcast."""
+    large = counts.where(F.col("n") > part).orderBy(F.desc("n"), *keys).limit(most)
+    return large.select(*keys, F.ceil(F.col("n") / part).cast("int").alias("salts"))
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], heavy: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """many joined with few, the rows of heavy keys dealt out by the hash `by` of a row and met by as many copies of
+    `few`'s rows: no row is lost, only the way it takes is another."""
+    heavy = F.broadcast(heavy)  # at most `most` rows, see heavy_keys()
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(by, F.col("salts"))).cast("int")
+    dealt = many.join(heavy, keys, "left").withColumn("salt", salt).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
+    met = few.join(heavy, keys, "left").withColumn("salt", copies).drop("salts")
+    return dealt.join(met, [*keys, "salt"], how).drop("salt")

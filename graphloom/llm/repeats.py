@@ -11,16 +11,16 @@ Texts are known by two hashes of their content, so null or repeated ids do no ha
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, blobs, concat_ranges
+from graphloom.llm.common import Scratch, blobs, concat_ranges, heavy_keys, salted_join
 
 _CHUNK, _BITS = 1 << 18, 24
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -74,7 +74,7 @@ class Words:
 
     def symbols(self, body: bytes) -> np.ndarray:
         words, seen = body.split(), self.seen
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = xxhash.xxh3_64_intdigest(w)
@@ -120,160 +120,162 @@ def segments(pieces: list[np.ndarray], length: int, gram: int) -> tuple[np.ndarr
 
 
 def _anchors(unit: str, length: int, gram: int):
+    """Segments of texts (k1, k2, body), about a megabyte of symbols at a time; a text that a batch holds n times is read
+    once and its segments count n times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = UNITS[unit]()
         for batch in batches:
-            found, doc, offset, pieces, size = [], [], [], [], 0
-
-            def flush():
-                if pieces:
-                    piece, lo, hi, h, seg = segments(pieces, length, gram)
-                    shift = np.array(offset)[piece]
-                    found.append((np.array(doc)[piece], lo + shift, hi + shift, h.view(np.int64), seg.view(np.int64)))
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            order = np.lexsort((k2, k1))
+            new = np.ones(len(order), bool)
+            new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+            copies = np.diff(np.append(np.flatnonzero(new), len(order)))
+            texts = order[new]
+            doc, offset, pieces, size = [], [], [], 0
+
+            def cut() -> pa.RecordBatch:
+                piece, lo, hi, h, seg = segments(pieces, length, gram)
+                at, shift = np.array(doc)[piece], np.array(offset)[piece]
+                columns = (k1[texts[at]], k2[texts[at]], (lo + shift).astype(np.int32), (hi + shift).astype(np.int32), h.view(np.int64), seg.view(np.int64), copies[at])
                 doc.clear(), offset.clear(), pieces.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "lo", "hi", "h", "seg", "n"])
 
-            for i, body in enumerate(blobs(batch.column(2))):
-                s = kind.symbols(body)
+            for i, row in enumerate(texts.tolist()):
+                s = kind.symbols(batch.column(2)[row].as_py() or b"")
                 for at in range(0, max(len(s) - length + 1, 0), _CHUNK):
                     doc.append(i)
                     offset.append(at)
                     pieces.append(s[at : at + _CHUNK + length - 1])
                     size += len(pieces[-1])
                     if size >= _CHUNK:
-                        flush()
+                        yield cut()
                         size = 0
-            flush()
-            if not found:
-                continue
-            doc, lo, hi, h, seg = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((seg, h))
-            first = np.ones(len(order), bool)
-            first[1:] = (h[order][1:] != h[order][:-1]) | (seg[order][1:] != seg[order][:-1])
-            at = np.flatnonzero(first)
-            n = np.diff(np.append(at, len(order)))
-            one, more = order[at], order[np.repeat(n, n) > 1]
-            pick = np.concatenate((one, more))
-            zero = np.zeros(len(more), np.int64)
-            ids = [batch.column(i).take(pa.array(doc[pick])) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array(lo[pick].astype(np.int32)), pa.array(np.concatenate((hi[one], hi[more] + length)).astype(np.int32)), pa.array(np.concatenate((h[one], zero))), pa.array(np.concatenate((seg[one], zero))), pa.array(np.concatenate((n, zero)).astype(np.int64))],
-                ["k1", "k2", "lo", "hi", "h", "seg", "n"],
-            )
+            if pieces:
+                yield cut()
 
     return run
 
 
-_CUT = "k1 long, k2 long, lo int, hi int, h long, seg long, n long, body binary"
+_CUT = "h long, seg long, n long, off int, wa long, wb long, body binary"
 
 
 def _cut(unit: str, length: int):
-    """Cuts the wanted segments out of a text; of a hot anchor's segment, a row of two hashes for each window."""
+    """Cuts the wanted segments out of texts; of a hot anchor's segment, a row for each window with two hashes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, seen = UNITS[unit](), set()
+        kind, last = UNITS[unit](), None
         for batch in batches:
-            k1, k2, want = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            k1, k2, bodies, want = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             rows: list[tuple] = []
-            for i, body in enumerate(blobs(batch.column(2))):
-                if (k1[i], k2[i]) in seen:
+            size = 0
+            for i, key in enumerate(zip(k1, k2)):
+                if key == last:  # a copy of the text before
                     continue
-                seen.add((k1[i], k2[i]))
-                parts = kind.parts(body)
+                last, parts = key, kind.parts(bodies[i].as_py() or b"")
                 for x in want[i].as_py():
                     if not x["hot"]:
-                        rows.append((k1[i], k2[i], x["lo"], x["hi"], x["h"], x["seg"], x["n"], kind.cut(parts, x["lo"], x["hi"] + length)))
-                        continue
-                    for p in range(x["lo"], x["hi"] + 1):
-                        d = xxhash.xxh3_128_digest(kind.cut(parts, p, p + length))
-                        a, b = (int.from_bytes(d[j : j + 8], "little", signed=True) for j in (0, 8))
-                        rows.append((k1[i], k2[i], p, p, a, b, x["n"], None))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
+                        rows.append((x["h"], x["seg"], x["n"], 0, 0, 0, kind.cut(parts, x["lo"], x["hi"] + length)))
+                        size += len(rows[-1][-1])
+                    else:
+                        for p in range(x["lo"], x["hi"] + 1):
+                            d = xxhash.xxh3_128_digest(kind.cut(parts, p, p + length))
+                            a, b = (int.from_bytes(d[j : j + 8], "little", signed=True) for j in (0, 8))
+                            rows.append((x["h"], x["seg"], x["n"], p - x["lo"], a, b, None))
+                    if len(rows) > 20_000 or size > _BLOCK:
+                        yield _batch(rows)
+                        rows, size = [], 0
             if rows:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k1", "k2", "lo", "hi", "h", "seg", "n", "body"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["h", "seg", "n", "off", "wa", "wb", "body"])
 
     return run
 
 
-#: A resolver gets the bodies, their anchors' numbers and whether a body's own windows are asked for; it returns (body, first window, end) arrays of windows, counted in the body, that also start elsewhere.
+#: A resolver gets bodies and how many places each stands at; it returns (body, first window, end) arrays of windows, counted in the body, that start at two places or more.
 Resolver = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _resolve(resolver: Resolver, length: int, block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def work() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            h, seg, n = (t.column(c).to_numpy() for c in ("h", "seg", "n"))
-            order = np.lexsort((seg, h))
-            keep = np.ones(len(order), bool)
-            keep[1:] = (h[order][1:] != h[order][:-1]) | (seg[order][1:] != seg[order][:-1])
-            pick = np.sort(order[keep])
-            t, single = t.take(pa.array(pick)), n[pick] == 1
-            at, lo, hi = resolver(blobs(t.column("body").combine_chunks()), single)
-            base = t.column("lo").to_numpy()[at]
-            return pa.RecordBatch.from_arrays([*(t.column(c).take(pa.array(at)).combine_chunks() for c in ("k1", "k2")), pa.array((base + lo).astype(np.int32)), pa.array((base + hi - 1 + length).astype(np.int32))], ["k1", "k2", "lo", "hi"])
+    """Classes sorted by anchor -> their repeated spans (h, seg, lo, hi). Whole anchors make up blocks of about `block` bytes."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        h, seg, n = (t.column(c).to_numpy() for c in ("h", "seg", "n"))
+        order = np.lexsort((seg, h))
+        keep = np.ones(len(order), bool)
+        keep[1:] = (h[order][1:] != h[order][:-1]) | (seg[order][1:] != seg[order][:-1])
+        pick = order[keep]
+        bodies = blobs(t.column("body").take(pa.array(pick)).combine_chunks())
+        at, lo, hi = resolver(bodies, n[pick])
+        return pa.RecordBatch.from_arrays([pa.array(h[pick][at]), pa.array(seg[pick][at]), pa.array(lo.astype(np.int32)), pa.array((hi - 1 + length).astype(np.int32))], ["h", "seg", "lo", "hi"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
                 continue
-            held.append(batch)
-            size += batch.nbytes
-            if size >= block:
-                t = pa.Table.from_batches(held).combine_chunks()
-                h = t.column("h").to_numpy()
-                whole = int(np.searchsorted(h, h[-1]))
-                if whole:
-                    rest = t.slice(whole)
-                    held = t.slice(0, whole).to_batches()
-                    yield work()
-                    held, size = rest.to_batches(), rest.nbytes
-        if held:
-            yield work()
+            h, sizes = t.column("h").to_numpy(), pc.binary_length(t.column("body")).to_numpy().astype(np.int64)
+            ends = np.flatnonzero(h[1:] != h[:-1]) + 1
+            full = np.cumsum(sizes)[ends - 1] // block
+            start = 0
+            for end in ends[np.flatnonzero(np.diff(np.concatenate(([0], full))))].tolist():
+                yield work(t.slice(start, end - start))
+                start = end
+            held = t.slice(start).combine_chunks()
+        if held is not None and held.num_rows:
+            yield work(held)
 
     return run
 
 
-def repeated(docs: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 4096, block: int = 2 << 20) -> DataFrame:
-    """docs: k1, k2, body -> spans k1, k2, lo, hi (end) whose symbols are covered by a repeated window."""
-    rows = scratch.save(docs.mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long"), "anchors")
-    one = rows.where("n > 0")
-    classes = one.groupBy("h", "seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")))
-    groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("singles")).where("total > 1").drop("total")
+_BLOCK = 1 << 20
+
+
+def repeated(docs: DataFrame, heavy: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 2048, block: int = _BLOCK) -> DataFrame:
+    """docs: k1, k2, body, mark -> spans k1, k2, lo, hi (end) whose symbols are covered by a repeated window. heavy: see heavy_keys()."""
+    rows = scratch.save(docs.select("k1", "k2", "body").mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long"), "anchors")
+    classes = rows.groupBy("h", "seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")))
+    groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("total > 1").drop("total")
     met = scratch.save(classes.join(groups, "h"), "classes")
-    equal = one.where("n = 1").join(met.where("n > 1").select("h", "seg"), ["h", "seg"]).select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
-    mixed = met.where("classes > 1 and singles > 0")
-    wanted = mixed.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "h", "seg", "n", (F.col("classes") > hot).alias("hot"))).alias("want"))
-    parts = scratch.save(docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "body", "want").mapInArrow(_cut(unit, length), _CUT), "segments")
-    found = parts.where("body is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(resolver, length, block), "k1 long, k2 long, lo int, hi int")
-    window = parts.where("body is null")
-    twice = window.groupBy("h", "seg").agg(F.sum("n").alias("total")).where("total > 1")
-    dealt = window.where("n = 1").join(twice, ["h", "seg"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
-    local = rows.where("n = 0").select("k1", "k2", "lo", "hi")
-    return local.unionByName(equal).unionByName(found).unionByName(dealt)
+    wanted = met.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "h", "seg", "n", (F.col("classes") > hot).alias("hot"))).alias("want"))
+    parts = scratch.save(salted_join(docs, wanted, ["k1", "k2"], heavy, F.col("mark")).select("k1", "k2", "body", "want").mapInArrow(_cut(unit, length), _CUT), "segments")
+    found = parts.where("body is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(resolver, length, block), "h long, seg long, lo int, hi int")
+    window = parts.where("body is null").dropDuplicates(["h", "seg", "off"])
+    twice = window.groupBy("wa", "wb").agg(F.sum("n").alias("total")).where("total > 1")
+    dealt = window.join(twice, ["wa", "wb"]).select("h", "seg", F.col("off").alias("lo"), (F.col("off") + length).alias("hi"))
+    spans = found.unionByName(dealt).withColumnsRenamed({"lo": "from", "hi": "to"})
+    common = heavy_keys(met.select("h", "seg", "n"), ["h", "seg"])
+    members = salted_join(rows.select("k1", "k2", "lo", "h", "seg"), spans, ["h", "seg"], common, F.xxhash64("k1", "lo"))
+    return members.select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, heavy: DataFrame) -> DataFrame:
+    """docs (k1, k2, mark, ...) with `spans`, an array of struct lo, hi; null if a text has none."""
+    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return salted_join(docs, lists, ["k1", "k2"], heavy, F.col("mark"), "left")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (k1, k2, ...) with `spans`, an array of struct lo, hi; null if a text has none."""
-    lists = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left")
+def copied(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The texts (k1, k2) that stand in most rows of docs, see heavy_keys()."""
+    return scratch.save(heavy_keys(docs.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"]), "heavy")
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """columns, k1, k2, body of documents; null text is empty."""
+    """columns, k1, k2, body, mark (a hash of the columns) of documents; null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*columns, F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"), text.cast("binary").alias("body"))
+    hashes = (F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"))
+    return docs.select(*columns, *hashes, text.cast("binary").alias("body"), F.xxhash64(*columns).alias("mark"))
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of integers, in order by at least the first `depth` symbols (prefix doubling)."""
+    """Suffix array of integers, in order by at least the first `depth` symbols: prefix doubling, each time only over the
+    suffixes that still tie with another."""
     n = len(s)
     bits = max(int(s.max()).bit_length(), 1)
     width = max(1, 62 // bits)
@@ -281,15 +283,22 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(width):
         key = (key << bits) | padded[j : j + n]
+    del padded
+    order = np.argsort(key).astype(np.int32)
+    slots, ties = np.arange(n, dtype=np.int32), key[order]
+    rank = np.zeros(n + 1, np.int32)  # how many suffixes are smaller, from 1; 0 beyond the end
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        step = np.concatenate(([1], (ranked[1:] != ranked[:-1]).astype(np.int64)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        if width >= depth or rank[order[-1]] == n:
+        new = np.ones(len(ties), bool)
+        new[1:] = ties[1:] != ties[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(ties)))
+        at = order[slots]
+        rank[at] = np.repeat(slots[first], size) + 1
+        open_ = np.repeat(size > 1, size)
+        slots, at = slots[open_], at[open_]
+        if width >= depth or not len(slots):
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(n - width, 0)] = rank[width:]
-        key = rank * (n + 1) + after
+        key = rank[at].astype(np.int64) * (n + 1) + rank[np.minimum(at.astype(np.int64) + width, n)]
+        by = np.argsort(key)
+        order[slots], ties = at[by], key[by]
         width *= 2

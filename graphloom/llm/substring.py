@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, blobs, concat_ranges, merge_spans
-from graphloom.llm.repeats import keyed, repeated, suffix_order, with_spans
+from graphloom.llm.repeats import copied, keyed, repeated, suffix_order, with_spans
 
 
 def match_lengths(text: np.ndarray, most: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def parse(match: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
 
 
 def resolver(length: int, most: int = 512):
-    def resolve(bodies: list[bytes], single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def resolve(bodies: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = [x.split(b" ") for x in bodies]
         ids: dict[bytes, int] = {}
         sizes = np.array([len(x) for x in words], np.int64)
@@ -70,7 +70,10 @@ def resolver(length: int, most: int = 512):
         for s, x in zip(starts.tolist(), words):
             text[s : s + len(x)] = [ids.setdefault(w, len(ids) + 1) for w in x]
         match = match_lengths(text, min(most, int(sizes.max())))
-        p = parse(match, starts[single], (starts + sizes)[single], length)
+        again = np.flatnonzero(places > 1)  # the other place of such a body matches to its end
+        copied = concat_ranges(starts[again], sizes[again])
+        match[copied] = np.maximum(match[copied], np.repeat((starts + sizes)[again], sizes[again]) - copied)
+        p = parse(match, starts, starts + sizes, length)
         at = np.searchsorted(starts, p, side="right") - 1
         inside = p - starts[at] <= sizes[at] - length
         p, at = p[inside], at[inside]
@@ -95,15 +98,16 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.list_(pa.int64())))], ["row", "n_words", "n_removed", "kept", "removed"])
 
 
-def remove_passages(docs: DataFrame, length: int = 50, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), hot: int = 4096) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = 50, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), hot: int = 2048) -> DataFrame:
     """Per row of docs: the carried columns, n_words, n_removed, kept (binary: kept words, one space between), removed
     (array of [first word, end])."""
     scratch = Scratch(docs.sparkSession, "substring")
     gram = gram or max(1, length // 3)
     own = ("n_words", "n_removed", "kept", "removed")
     body = keyed(docs, F.struct(*[c for c in carry if c not in own]).alias("row"))
-    spans = repeated(body.select("k1", "k2", "body"), scratch, "words", length, gram, resolver(length), hot)
-    pairs = with_spans(body, spans).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    heavy = copied(body, scratch)
+    spans = repeated(body, heavy, scratch, "words", length, gram, resolver(length), hot)
+    pairs = with_spans(body, spans, heavy).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     row = body.schema["row"].dataType.simpleString()
     out = pairs.mapInArrow(_apply, f"row {row}, n_words long, n_removed long, kept binary, removed array<array<long>>")
     return out.select("row.*", "n_words", "n_removed", "kept", "removed")

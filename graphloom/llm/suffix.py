@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, blobs, concat_ranges, merge_spans
-from graphloom.llm.repeats import keyed, repeated, suffix_order, with_spans
+from graphloom.llm.repeats import copied, keyed, repeated, suffix_order, with_spans
 
 
 def shared_prefixes(text: np.ndarray, length: int) -> np.ndarray:
@@ -29,8 +29,9 @@ def shared_prefixes(text: np.ndarray, length: int) -> np.ndarray:
     sa = suffix_order(text, length)
     bwt = text[sa - 1]
     by = np.argsort(bwt, kind="stable")
-    lf, before, after = np.empty(n, np.int64), np.full(n, -1), np.full(n, n)
-    lf[by] = np.arange(n)
+    by = by.astype(np.int32)
+    lf, before, after = np.empty(n, np.int32), np.full(n, -1, np.int32), np.full(n, n, np.int32)
+    lf[by] = np.arange(n, dtype=np.int32)
     same = bwt[by][1:] == bwt[by][:-1]
     before[by[1:][same]] = by[:-1][same]
     after[by[:-1][same]] = by[1:][same]
@@ -45,29 +46,35 @@ def shared_prefixes(text: np.ndarray, length: int) -> np.ndarray:
         first = before[at] < np.repeat(lb[~alone], size)
         last = after[at] >= np.repeat(rb[~alone], size)
         lb = np.concatenate((start, np.sort(lf[at[first]])))
-        rb = np.concatenate((start, np.sort(lf[at[last]]))) + 1
+        rb = np.concatenate((start, np.sort(lf[at[last]]))).astype(np.int64) + 1
         new = ~known[rb]
         lb, rb = lb[new], rb[new]
         known[rb] = True
         if not len(lb):
             break
-    joined = np.flatnonzero(~known)
-    return np.unique(np.concatenate((sa[joined - 1], sa[joined])))
+    joined, found = np.flatnonzero(~known), np.zeros(n, bool)
+    found[sa[joined - 1]] = found[sa[joined]] = True
+    return np.flatnonzero(found)
 
 
 def resolver(length: int):
-    def resolve(bodies: list[bytes], single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def resolve(bodies: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A body of several places is one run of equal suffixes in the order: its windows need no neighbour."""
         sizes = np.array([len(x) for x in bodies], np.int64)
-        joined = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-        text = joined.astype(np.uint16) + 2
+        text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
+        dense = np.zeros(256, np.uint16)
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        dense[used] = np.arange(2, len(used) + 2)
+        text = dense[text]
         ends = np.cumsum(sizes + 1) - 1
         text[ends] = 1
         text = np.append(text, np.uint16(0))
         starts = ends - sizes
-        p = shared_prefixes(text, length)
+        again = np.flatnonzero(places > 1)
+        p = np.concatenate((shared_prefixes(text, length), concat_ranges(starts[again], np.maximum(sizes[again] - length + 1, 0))))
+        at = np.searchsorted(starts, p, side="right") - 1
+        p = np.unique(p[p - starts[at] <= sizes[at] - length])
         at = np.searchsorted(starts, p, side="right") - 1
-        own = (p - starts[at] <= sizes[at] - length) & single[at]
-        p, at = p[own], at[own]
         first = np.ones(len(p), bool)
         first[1:] = (p[1:] != p[:-1] + 1) | (at[1:] != at[:-1])
         f = np.flatnonzero(first)
@@ -94,15 +101,16 @@ def _apply(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(cut, pa.list_(pa.list_(pa.int64())))], names)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False, hot: int = 4096) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 400, gram: int | None = None, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False, hot: int = 2048) -> DataFrame:
     """Per row of docs: the carried columns, n_bytes, n_removed, n_spans, kept (binary; as_text: a string without the
     halves of characters that a cut went through), removed (array of [start, end])."""
     scratch = Scratch(docs.sparkSession, "suffix")
     gram = gram or max(1, length // 4)
     own = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
     body = keyed(docs, F.struct(*[c for c in carry if c not in own]).alias("row"))
-    spans = repeated(body.select("k1", "k2", "body"), scratch, "bytes", length, gram, resolver(length), hot)
-    pairs = with_spans(body, spans).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    heavy = copied(body, scratch)
+    spans = repeated(body, heavy, scratch, "bytes", length, gram, resolver(length), hot)
+    pairs = with_spans(body, spans, heavy).select("row", "body", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     row = body.schema["row"].dataType.simpleString()
     out = pairs.mapInArrow(partial(_apply, as_text), f"row {row}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, removed array<array<long>>")
     return out.select("row.*", "n_bytes", "n_removed", "n_spans", "kept", "removed")
