@@ -6,10 +6,11 @@ test against the number of its next words). Distributions are discounted and the
 down to add-one counts of single words, so every state's distribution sums to one.
 Scoring: each token by the state of the longest context that stayed.
 
-A context needs ten occurrences and a next word `least` after it, at any size of the corpus; beyond that only the test
-decides. Contexts and next words are Spark tables, keyed by 64-bit hashes of their words: what a run of words adds to a
-score is joined to the texts that hold it. Of fixed size are only the most frequent words and runs, which travel with
-the scorer and need no join, and bitmaps that let through every key of a table and few others.
+A context needs `context_least` occurrences and a next word `least` after it, the same numbers at any size of the corpus;
+beyond that only the test decides, so contexts and next words grow with the corpus. They are Spark tables, keyed by
+64-bit hashes of their words: what a run of words adds to a score is joined to the texts that hold it. Of fixed size are
+only the most frequent words and runs, which travel with the scorer and need no join, and bitmaps that let through every
+key of a table and few others.
 
 Nulls and odd rows: null text is empty and is scored as its end token; null doc_id counts as the empty text in the
 training rule; repeated rows count and are scored each; no training rows: every token is unknown; extra columns are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, blobs, text_of
 
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 _LONG = pa.int64()
 _END = b" "  # no word is equal to it
 
@@ -67,53 +68,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-class Tree:
-    """Words by rank (0: the end; then by count; `other`: not in the head) and the contexts of each length."""
+class Words:
+    """Words of the head by rank (0: the end; then by count; from `other` on or below 0: not in the head), add-one counts."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, ends: int, total: int, distinct: int, next_least: int, context_least: int):
-        self.words, self.total, self.distinct, self.ends = words, total, distinct, ends
-        self.other = len(words) + 1
-        self.root = np.concatenate(([ends], counts)).astype(np.float64)
-        self.log0 = np.log10((self.root + 1) / self.denominator)
-        self.next_n = min(1 + int((counts >= next_least).sum()), 1 << 20)
-        self.contexts = int((counts >= context_least).sum())
-        self.levels: list[dict] = []
-
-    @property
-    def denominator(self) -> float:
-        return self.total + self.distinct + 1
-
-    def index(self) -> dict[bytes, int]:
-        return {w.encode(): i for i, w in enumerate(self.words, 1)}
-
-    def states(self, ids: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-        """For each length, the number of the candidate context that ends at each token, or -1."""
-        state = np.where((ids > 0) & (ids <= self.contexts), ids.astype(np.int64) - 1, -1)
-        yield state
-        for level in self.levels[1:depth]:
-            left = np.roll(ids.astype(np.int64), len(level["words"][0]) - 1)
-            left[: len(level["words"][0]) - 1] = 0
-            key = np.where((state >= 0) & (left > 0) & (left <= self.contexts), left * (len(self.levels[level["d"] - 2]["words"]) + 1) + state, -1)
-            at = np.minimum(np.searchsorted(level["keys"], key), len(level["keys"]) - 1)
-            state = np.where(level["keys"][at] == key, at, -1)
-            yield state
-
-
-def _encode(index: dict[bytes, int], other: int, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """ids of texts one after the other, each with its end; lengths."""
-    n = np.array([len(x) + 1 for x in words])
-    flat = itertools.chain.from_iterable(itertools.chain(x, (_END,)) for x in words)
-    return np.fromiter(map(index.get, flat, itertools.repeat(other)), np.int64, int(n.sum())), n
-
-
-_INDEX: dict[int, dict[bytes, int]] = {}
-
-
-def _index(shared) -> tuple[Tree, dict[bytes, int]]:
-    if shared.id not in _INDEX:
-        _INDEX.clear()
-        _INDEX[shared.id] = shared.value.index() | {_END: 0}
-    return shared.value, _INDEX[shared.id]
+    def __init__(self, words: list[str], counts: np.ndarray, ends: int, total: int, distinct: int):
+        self.words, self.total, self.ends, self.other = words, total, ends, len(words) + 1
+        self.denominator = float(total + distinct + 1)
+        self.log0 = np.log10((np.concatenate(([ends], counts)).astype(np.float64) + 1) / self.denominator)
 
 
 class _Shared:
@@ -127,91 +88,6 @@ class _Shared:
         return self._b.value
 
 
-def _nexts(shared: _Shared, depth: int):
-    """Counts of (context of that length, next word), as one number each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, index = _index(shared)
-        for batch in batches:
-            held = []
-            for words in _chunks(blobs(batch.column(0))):
-                ids, _ = _encode(index, tree.other, words)
-                *_, state = tree.states(ids, depth)
-                state, after = state[:-1], ids[1:]
-                good = (state >= 0) & (after < tree.next_n)
-                held.append(np.unique(state[good] * tree.next_n + after[good], return_counts=True))
-            if not held:
-                continue
-            key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-
-    return run
-
-
-def _add_level(tree: Tree, key: np.ndarray, n: np.ndarray, discount: float, strictness: float) -> None:
-    """Smooths and tests the contexts of the deepest length from counts of (context, next word)."""
-    level, d = tree.levels[-1], len(tree.levels)
-    order = np.argsort(key)
-    key, n = key[order], n[order].astype(np.float64)
-    state, after = key // tree.next_n, key % tree.next_n
-    size = len(level["count"])
-    count = level["count"]
-    term = np.maximum(n - discount, 0) / count[state]
-    rest = 1 - np.bincount(state, term, size)
-    lower = _below(tree, d - 1, level["suffix"][state] if d > 1 else state * 0, after)
-    seen_n, seen_p = np.bincount(state, n, size), np.bincount(state, lower, size)
-    kinds = np.bincount(state, minlength=size)
-    gain = np.bincount(state, n * np.log(n / count[state] / lower), size)
-    left = np.maximum(count - seen_n, 0)
-    gain += np.where(left > 0, left * np.log(np.maximum(left, 1e-9) / count / np.maximum(1 - seen_p, 1e-12)), 0)
-    level["kept"] = (kinds > 0) & (2 * gain > kinds + strictness * np.sqrt(2 * kinds))
-    level["rest"] = np.where(level["kept"], rest, 1.0)
-    own = level["kept"][state]
-    level["entry"], level["term"] = key[own], term[own]
-
-
-def _lookup(level: dict, key: np.ndarray) -> np.ndarray:
-    if not len(level["entry"]):
-        return np.zeros(len(key))
-    at = np.minimum(np.searchsorted(level["entry"], key), len(level["entry"]) - 1)
-    return np.where(level["entry"][at] == key, level["term"][at], 0.0)
-
-
-def _below(tree: Tree, d: int, state: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Smoothed probability of next words after contexts of length d."""
-    if d == 0:
-        return (tree.root[after] + 1) / tree.denominator
-    level = tree.levels[d - 1]
-    lower = _below(tree, d - 1, level["suffix"][state] if d > 1 else state * 0, after)
-    return np.where(level["kept"][state], _lookup(level, state * tree.next_n + after), 0) + level["rest"][state] * lower
-
-
-def _longer(tree: Tree, key: np.ndarray, n: np.ndarray, least: int) -> bool:
-    """The frequent contexts that are one word longer; False if there are none."""
-    level, d = tree.levels[-1], len(tree.levels) + 1
-    after = key % tree.next_n
-    pick = (n >= least) & (after > 0) & (after <= tree.contexts)
-    words = np.column_stack((level["words"][key[pick] // tree.next_n], after[pick]))
-    if not len(words):
-        return False
-    suffix = words[:, 1] - 1
-    for i in range(2, d):
-        deeper = tree.levels[i - 1]
-        k = words[:, d - i] * (len(tree.levels[i - 2]["words"]) + 1) + suffix if i > 2 else words[:, d - 2] * (tree.contexts + 1) + words[:, d - 1] - 1
-        at = np.minimum(np.searchsorted(deeper["keys"], k), len(deeper["keys"]) - 1)
-        suffix = np.where(deeper["keys"][at] == k, at, -1)
-    if d == 2:
-        suffix = words[:, 1] - 1
-    good = suffix >= 0
-    keys = words[good, 0] * (len(level["words"]) + 1) + suffix[good]
-    order = np.argsort(keys)
-    if not len(order):
-        return False
-    tree.levels.append({"d": d, "words": words[good][order], "keys": keys[order], "suffix": suffix[good][order], "count": n[pick][good][order].astype(np.float64)})
-    return True
-
-
 def _floor(table: DataFrame, n: str, room: int) -> int | None:
     """The least count such that at most `room` rows have it or more, by eighths of powers of two."""
     floor = None
@@ -223,42 +99,19 @@ def _floor(table: DataFrame, n: str, room: int) -> int | None:
     return floor
 
 
-def _words(docs: DataFrame, scratch: Scratch, head: int, context_share: float, next_share: float, least: int) -> tuple[Tree, DataFrame, int, int]:
-    """A tree of single words, all words with their counts (word, n), the least counts of a context and of a next word."""
+def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFrame]:
+    """The words of the head, and all words with their counts (word, n)."""
     bodies = docs.select(text_of().cast("binary").alias("body"))
     counts = scratch.save(bodies.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = docs.count()
     floor = _floor(counts, "n", head)
-    frequent = counts.where(F.col("n") >= (floor if floor is not None else 1 << 62)).toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most `head` rows
+    frequent = counts.where(F.col("n") >= (floor if floor is not None else 1 << 62)).orderBy(F.desc("n"), "word").toArrow()  # at most `head` rows
     said = counts.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
-    total = said.s + ends
-    context_least = max(10, int(context_share * total))
-    next_least = max(least, int(next_share * total))
-    return Tree(frequent.word.tolist(), frequent.n.to_numpy(np.int64), ends, total, said.k + (ends > 0), next_least, context_least), counts, context_least, next_least
-
-
-def train(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000, context_share: float = 0.0, next_share: float = 0.0, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> tuple[Tree, DataFrame]:
-    """The tree of a small table as a whole on the driver, and all training words with their counts (word, n). It is what
-    `learn` is compared with; no query uses it."""
-    spark = docs.sparkSession
-    bodies = docs.select(text_of().cast("binary").alias("body"))
-    tree, counts, context_least, next_least = _words(docs, scratch, head, context_share, next_share, least)
-    if tree.contexts:
-        tree.levels.append({"d": 1, "words": np.arange(1, tree.contexts + 1)[:, None], "count": tree.root[1 : tree.contexts + 1], "suffix": np.zeros(tree.contexts, np.int64)})
-    for d in range(1, depth + 1):
-        if len(tree.levels) < d:
-            break
-        shared = _Shared(spark, tree, hash((scratch.base, d)))
-        found = bodies.mapInArrow(_nexts(shared, d), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= next_least).toPandas()  # at most 1 / next_share rows
-        key, n = found.key.to_numpy(np.int64), found.n.to_numpy(np.int64)
-        _add_level(tree, key, n, discount, strictness)
-        if d < depth:
-            _longer(tree, key, n, context_least)
-    return tree, counts
+    return Words(frequent["word"].to_pylist(), frequent["n"].to_numpy(), ends, said.s + ends, said.k + (ends > 0)), counts
 
 
 _BITS = 1 << 26
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -285,7 +138,7 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 42)
         h -= (h >> 63) << 64
-        if len(self) < 1_000_000:
+        if len(self) < 400_000:
             self[word] = h
         return h
 
@@ -354,16 +207,16 @@ def _followed(words: _Shared, sets: _Shared, d: int):
     return run
 
 
-def learn(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000, context_share: float = 0.0, next_share: float = 0.0, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> tuple[Tree, DataFrame, DataFrame, int]:
-    """The single words of the head, all training words with their counts (word, n), what every run of words adds to the
-    score of a text it stands in (key, w: its count, delta), and the length of the longest run.
+def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 50, least: int = 10, discount: float = 0.5, strictness: float = 3.0) -> tuple[Words, DataFrame, DataFrame, int]:
+    """The words of the head, all training words with their counts (word, n), what every run of words adds to the score of
+    a text it stands in (key, w: its count, delta), and the length of the longest run.
 
     A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
     probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
     """
     spark = docs.sparkSession
     bodies = docs.select(text_of().cast("binary").alias("body"))
-    tree, counts, context_least, next_least = _words(docs, scratch, head, context_share, next_share, least)
+    tree, counts = _words(docs, scratch, head)
     shared = _Shared(spark, (tree,), hash((scratch.base, "ids")))
     ranks = spark.createDataFrame(pa.table({"word": pa.array(tree.words, pa.string()), "rank": pa.array(range(1, tree.other), _LONG)}))
     ids = counts.join(F.broadcast(ranks), "word", "left").select(F.coalesce("rank", F.xxhash64("word")).alias("key"), "n")
@@ -372,8 +225,8 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000
     parts = []
     for d in range(1, depth + 1):
         contexts = lower.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
-        sets = _Shared(spark, (_bitmap(contexts), _bitmap(lower.where(F.col("n") >= next_least))), 0)
-        found = bodies.mapInArrow(_followed(shared, sets, d), "s long, low long, n long").groupBy("s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= next_least)
+        sets = _Shared(spark, (_bitmap(contexts), _bitmap(lower.where(F.col("n") >= least))), 0)
+        found = bodies.mapInArrow(_followed(shared, sets, d), "s long, low long, n long").groupBy("s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         rows = scratch.save(found.join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low").select(F.xxhash64("s", "low").alias("key"), "s", "n", "below"), f"rows{d}")
         left = F.greatest(F.col("count") - F.col("seen"), F.lit(0))
         gain = F.col("gain") - F.col("seen") * F.log("count") + F.when(left > 0, left * F.log(left / F.col("count") / F.greatest(1 - F.col("seen_p"), F.lit(1e-12)))).otherwise(0.0)
@@ -384,6 +237,7 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 2, head: int = 200_000
         given = F.col("rest") * F.col("below")
         p = F.when(F.col("kept"), taken / F.col("count") + given).otherwise(F.col("below"))
         lower = scratch.save(rows.join(states, "s").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / given)).otherwise(0.0).alias("delta")), f"entries{d}")
+        scratch.drop(f"rows{d}")
         parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta")]
     deltas = functools.reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "key long, w long, delta double"))
     deltas = scratch.save(deltas.groupBy("key").agg(F.max("w").alias("w"), F.sum("delta").alias("delta")).where("delta <> 0"), "deltas")
@@ -439,7 +293,7 @@ def _score(shared: _Shared, longest: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 20, **settings) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, **settings) -> DataFrame:
     """Learns from the rows where held_out is false and scores all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (single words), score (the tree), both log10 of the whole text. The `often` most frequent runs of words
     travel with the scorer, all others are joined."""

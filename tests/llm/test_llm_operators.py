@@ -120,27 +120,51 @@ def test_suffix_tree(spark, docs):
     n, v = sum(count.values()) + ends, len(count) + 1
     want = collections.Counter((i, held(i), len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, round(sum(math.log10((c + 1) / (n + v + 1)) for c in [ends, *(count[x] for x in w)]), 6)) for (i, *_), w in zip(rows, words))
     for head in (200_000, 3):
-        got = suffix_tree.score_documents(docs, rule, head=head, context_share=0.01, next_share=1e-6).collect()
+        got = suffix_tree.score_documents(docs, rule, head=head, context_least=10, least=2).collect()
         assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    got = suffix_tree.score_documents(docs, rule, context_share=0.01, next_share=1e-6).collect()
+    got = suffix_tree.score_documents(docs, rule, context_least=10, least=2).collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_tree_states_are_distributions(spark, docs):
-    from graphloom.llm.common import Scratch
-
-    tree, _ = suffix_tree.train(docs, Scratch(spark, "t"), depth=3, context_share=0.001, next_share=1e-6)
-    assert len(tree.levels) == 3
-    every = np.arange(len(tree.words) + 1)
-    for d, level in enumerate(tree.levels, 1):
-        for state in range(0, len(level["words"]), 7):
-            known = suffix_tree._below(tree, d, np.full(len(every), state), np.minimum(every, tree.next_n - 1))[every < tree.next_n].sum()
-            rest, s = 1.0, state
-            for k in range(d, 0, -1):
-                rest *= tree.levels[k - 1]["rest"][s]
-                s = tree.levels[k - 1]["suffix"][s]
-            other = rest * (((tree.root[tree.next_n :] + 1) / tree.denominator).sum() + 1 / tree.denominator)
-            assert abs(known + other - 1) < 1e-9
+def suffix_tree_by_definition(texts, depth, context_least, least, discount=0.5, strictness=3.0):
+    """Plain dictionaries of the same tree: a function from a context (tuple of words) to the probability of a next word."""
+    sequences = [[*t.lower().split(), None] for t in texts]
+    count = collections.Counter(tuple(q[i : i + d]) for q in sequences for d in range(1, depth + 2) for i in range(len(q) - d + 1))
+    total, distinct = sum(len(q) for q in sequences), len({w for q in sequences for w in q})
+    states = {}
+
+    def p(context, word):
+        if not context:
+            return (count[(word,)] + 1) / (total + distinct + 1)
+        lower = p(context[1:], word)
+        if context not in states:
+            return lower
+        rest, entries = states[context]
+        return (max(entries[word] - discount, 0) / count[context] if word in entries else 0.0) + rest * lower
+
+    for d in range(1, depth + 1):
+        nexts = collections.defaultdict(dict)
+        for run, n in count.items():
+            if len(run) == d + 1 and n >= least and count[run[:-1]] >= context_least:
+                nexts[run[:-1]][run[-1]] = n
+        kept = {}
+        for context, entries in nexts.items():
+            n, lower = count[context], {w: p(context[1:], w) for w in entries}
+            gain = sum(c * math.log(c / n / lower[w]) for w, c in entries.items())
+            left = n - sum(entries.values())
+            if left > 0:
+                gain += left * math.log(left / n / max(1 - sum(lower.values()), 1e-12))
+            if 2 * gain > len(entries) + strictness * math.sqrt(2 * len(entries)):
+                kept[context] = (1 - sum(max(c - discount, 0) for c in entries.values()) / n, entries)
+        states |= kept
+    return p, states, {w for q in sequences for w in q}
+
+
+def test_tree_states_are_distributions(spark):
+    p, states, words = suffix_tree_by_definition([t or "" for _, t, *_ in sample()], 3, 5, 2)
+    assert {len(c) for c in states} == {1, 2, 3}
+    for context in states:
+        assert abs(sum(p(context, w) for w in [*words, "never said"]) - 1) < 1e-9
 
 
 def test_languages(spark):
@@ -288,39 +312,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in kept["packing"]} == ids("mixing")
 
 
-def test_rare_contexts_count_in_large_tables(spark):
-    """Against the whole tree of the same counts; a context of 12 occurrences among 200,000 tokens has a state."""
-    from graphloom.llm.common import Scratch
-
+@pytest.mark.parametrize("settings", [{}, {"head": 50, "often": 100}])
+def test_suffix_tree_scores_by_definition(spark, settings):
+    """Whole scores against plain dictionaries, with nearly everything broadcast and nearly everything joined; a context of
+    12 occurrences among 100,000 tokens has a state, a repeated text of five words scores by contexts of four."""
     rng = random.Random(3)
-    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(1000)), "en", "a") for i in range(200)]
-    rows += [(1000 + i, "seldom seen pairs", "en", "a") for i in range(12)]
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(500)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, "seldom seen pairs of words", "en", "a") for i in range(12)]
     rows += [(2000 + i, "seldom seen others", "en", "a") for i in range(12)]
     docs, rule = table(spark, rows), F.col("doc_id") % 7 == 2
-    tree, _ = suffix_tree.train(docs.where(~rule), Scratch(spark, "t"), head=1_000_000)
-    index = {w: i for i, w in enumerate(tree.words, 1)}
-    assert len(tree.words) < tree.next_n + 3000 and len(tree.levels) == 2
-    first, second = tree.levels
-    pairs = {tuple(w): i for i, w in enumerate(second["words"].tolist())}
-    want = {}
+    p, states, _ = suffix_tree_by_definition([t for i, t, *_ in rows if i % 7 != 2], 4, 10, 2)
+    assert {len(c) for c in states} == {1, 2, 3, 4}
+    got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, context_least=10, least=2, **settings).collect()}
     for i, text, *_ in rows:
-        ids = [index.get(w, tree.other) for w in text.split()] + [0]
-        logs = 0.0
-        for at, c in enumerate(ids):
-            root = (tree.root[c] + 1) / tree.denominator if c < tree.other else 1 / tree.denominator
-            p = root
-            for d, level in ((1, first), (2, second)):
-                if at < d:
-                    break
-                s = ids[at - 1] - 1 if d == 1 else pairs.get((ids[at - 2], ids[at - 1]), -1)
-                if 0 <= s < len(level["kept"]) and level["kept"][s]:
-                    term = suffix_tree._lookup(level, np.array([s * tree.next_n + c]))[0] if c < tree.next_n else 0.0
-                    p = term + level["rest"][s] * p
-            logs += math.log10(p)
-        want[i] = logs
-    for head, often in ((200_000, 1 << 20), (50, 100)):
-        got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, head=head, often=often).collect()}
-        assert max(abs(got[i].score - want[i]) for i in want) < 1e-6
+        words = [*text.split(), None]
+        want = 0.0
+        for at, w in enumerate(words):
+            context = tuple(words[max(0, at - 4) : at])
+            while context and context not in states:
+                context = context[1:]
+            want += math.log10(p(context, w))
+        assert abs(got[i].score - want) < 1e-6
     assert got[1000].score - got[1000].base_score > 2
 
 
