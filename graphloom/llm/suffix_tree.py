@@ -23,6 +23,7 @@ import functools
 import itertools
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,14 @@ class _Shared:
         return self._b.value
 
 
+class Model(NamedTuple):
+    words: Words  #: the words of the head
+    counts: DataFrame  #: all training words (word, n)
+    deltas: DataFrame  #: what a run of words adds to the score of a text it stands in (key, w: its count, delta)
+    runs: np.ndarray  #: bitmap of all frequent runs
+    longest: int  #: words in the longest run
+
+
 def _floor(table: DataFrame, n: str, room: int) -> int | None:
     """The least count such that at most `room` rows have it or more, by eighths of powers of two."""
     floor = None
@@ -111,7 +120,7 @@ def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFra
 
 
 _BITS = 1 << 26
-_BATCH = 1 << 19
+_BATCH = 1 << 21
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -180,38 +189,48 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _followed(words: _Shared, sets: _Shared, d: int):
-    """Counts of (context of d words, the d words that end one token later)."""
+def _followed(words: _Shared, sets: _Shared, levels: list[int]):
+    """Counts of (d, context of d words, the d words that end one token later) for each d of the levels. The sets know the
+    frequent runs of the first level; a longer run is a candidate if all of its runs of that length are frequent."""
 
     def out(held: list) -> pa.RecordBatch:
-        key, first, inverse = np.unique(np.concatenate([_pair(*x) for x in held]), return_index=True, return_inverse=True)
-        before, now = (np.concatenate(x)[first] for x in zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array(before), pa.array(now), pa.array(np.bincount(inverse, minlength=len(key)))], ["s", "low", "n"])
+        parts = []
+        for d, found in zip(levels, held):
+            if found:
+                key, first, inverse = np.unique(np.concatenate([_pair(*x) for x in found]), return_index=True, return_inverse=True)
+                before, now = (np.concatenate(x)[first] for x in zip(*found))
+                parts.append((np.full(len(key), d, np.int32), before, now, np.bincount(inverse, minlength=len(key))))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["d", "s", "low", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, lows = sets.value
-        held, size = [], 0
+        held, size, first = [[] for _ in levels], 0, levels[0]
         for batch in batches:
             for part in _chunks(blobs(batch.column(0))):
-                *_, (key, _), (_, whole) = _grams(*_ids(words, part), d + 1)
-                at = np.flatnonzero(whole & _has(lows, key))
-                at = at[_has(contexts, key[at - 1])]
-                held.append((key[at - 1], key[at]))
-                size += len(at)
+                grams = list(_grams(*_ids(words, part), levels[-1] + 1))
+                key, whole = grams[first - 1]
+                context = whole & _has(contexts, key)
+                good = whole & _has(lows, key)
+                for d, found in zip(levels, held):
+                    step = d - first + 1
+                    good[step:] &= context[:-step] if step < len(context) else False
+                    good[:step] = False
+                    at = np.flatnonzero(good & grams[d][1])
+                    if len(at):
+                        key = grams[d - 1][0]
+                        found.append((key[at - 1], key[at]))
+                        size += len(at)
                 if size > _BATCH:
                     yield out(held)
-                    held, size = [], 0
+                    held, size = [[] for _ in levels], 0
         if size:
             yield out(held)
 
     return run
 
 
-def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 50, least: int = 10, discount: float = 0.5, strictness: float = 3.0) -> tuple[Words, DataFrame, DataFrame, int]:
-    """The words of the head, all training words with their counts (word, n), what every run of words adds to the score of
-    a text it stands in (key, w: its count, delta), and the length of the longest run.
-
-    A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
+def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 50, least: int = 10, discount: float = 0.5, strictness: float = 3.0) -> Model:
+    """The tree as tables. A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
     probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
     """
     spark = docs.sparkSession
@@ -221,27 +240,32 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000
     ranks = spark.createDataFrame(pa.table({"word": pa.array(tree.words, pa.string()), "rank": pa.array(range(1, tree.other), _LONG)}))
     ids = counts.join(F.broadcast(ranks), "word", "left").select(F.coalesce("rank", F.xxhash64("word")).alias("key"), "n")
     ids = scratch.save(ids.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(tree.ends).cast("long").alias("n"))), "ids")
-    lower = ids.select("key", "n", ((F.col("n") + 1) / F.lit(tree.denominator)).alias("p"))
-    parts = []
-    for d in range(1, depth + 1):
-        contexts = lower.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
-        sets = _Shared(spark, (_bitmap(contexts), _bitmap(lower.where(F.col("n") >= least))), 0)
-        found = bodies.mapInArrow(_followed(shared, sets, d), "s long, low long, n long").groupBy("s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        rows = scratch.save(found.join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low").select(F.xxhash64("s", "low").alias("key"), "s", "n", "below"), f"rows{d}")
-        left = F.greatest(F.col("count") - F.col("seen"), F.lit(0))
-        gain = F.col("gain") - F.col("seen") * F.log("count") + F.when(left > 0, left * F.log(left / F.col("count") / F.greatest(1 - F.col("seen_p"), F.lit(1e-12)))).otherwise(0.0)
-        taken = F.greatest(F.col("n") - F.lit(discount), F.lit(0.0))
-        sums = rows.groupBy("s").agg(F.sum(taken).alias("taken"), F.sum("n").alias("seen"), F.sum("below").alias("seen_p"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below"))).alias("gain"))
-        states = sums.join(contexts.withColumnRenamed("key", "s"), "s").select("s", "count", (1 - F.col("taken") / F.col("count")).alias("rest"), (2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).alias("kept"))
-        states = scratch.save(states, f"states{d}")
-        given = F.col("rest") * F.col("below")
-        p = F.when(F.col("kept"), taken / F.col("count") + given).otherwise(F.col("below"))
-        lower = scratch.save(rows.join(states, "s").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / given)).otherwise(0.0).alias("delta")), f"entries{d}")
-        scratch.drop(f"rows{d}")
-        parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta")]
+    lower = ids.where(F.col("n") >= least).select("key", "n", ((F.col("n") + 1) / F.lit(tree.denominator)).alias("p"))
+    parts, runs = [], [lower.select("key")]
+    for levels in [[d] for d in range(1, min(depth, 2) + 1)] + [list(range(3, depth + 1))] * (depth > 2):
+        frequent = lambda table: table.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
+        sets = _Shared(spark, (_bitmap(frequent(lower)), _bitmap(lower)), 0)
+        counted = bodies.mapInArrow(_followed(shared, sets, levels), "d int, s long, low long, n long").groupBy("d", "s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counted = scratch.save(counted, f"counted{levels[0]}")
+        for d in levels:
+            contexts = frequent(lower)
+            found = counted.where(F.col("d") == d).join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low")
+            rows = scratch.save(found.select(F.xxhash64("s", "low").alias("key"), "s", "n", "below"), f"rows{d}")
+            left = F.greatest(F.col("count") - F.col("seen"), F.lit(0))
+            gain = F.col("gain") - F.col("seen") * F.log("count") + F.when(left > 0, left * F.log(left / F.col("count") / F.greatest(1 - F.col("seen_p"), F.lit(1e-12)))).otherwise(0.0)
+            taken = F.greatest(F.col("n") - F.lit(discount), F.lit(0.0))
+            sums = rows.groupBy("s").agg(F.sum(taken).alias("taken"), F.sum("n").alias("seen"), F.sum("below").alias("seen_p"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below"))).alias("gain"))
+            states = sums.join(contexts.withColumnRenamed("key", "s"), "s").select("s", "count", (1 - F.col("taken") / F.col("count")).alias("rest"), (2 * gain > F.col("kinds") + strictness * F.sqrt(2 * F.col("kinds"))).alias("kept"))
+            states = scratch.save(states, f"states{d}")
+            given = F.col("rest") * F.col("below")
+            p = F.when(F.col("kept"), taken / F.col("count") + given).otherwise(F.col("below"))
+            lower = scratch.save(rows.join(states, "s").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / given)).otherwise(0.0).alias("delta")), f"entries{d}")
+            scratch.drop(f"rows{d}")
+            runs.append(lower.select("key"))
+            parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta")]
     deltas = functools.reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "key long, w long, delta double"))
     deltas = scratch.save(deltas.groupBy("key").agg(F.max("w").alias("w"), F.sum("delta").alias("delta")).where("delta <> 0"), "deltas")
-    return tree, counts, deltas, depth + 1
+    return Model(tree, counts, deltas, _bitmap(functools.reduce(DataFrame.unionByName, runs)), depth + 1)
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>, runs array<long>"
@@ -249,7 +273,7 @@ _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _score(shared: _Shared, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bits, often, delta = shared.value
+        tree, bits, often, delta, joined = shared.value
         rid = TaskContext.get().partitionId() << 36
         rows = 0
         for batch in batches:
@@ -260,17 +284,21 @@ def _score(shared: _Shared, longest: int):
                 log = np.where(rare, 0.0, tree.log0[np.where(rare, 0, ids)])
                 starts = np.cumsum(n) - n
                 text = np.repeat(np.arange(len(n)), n)
-                more, loose = np.zeros(len(n)), []
+                more, loose, alive = np.zeros(len(n)), [], True
                 for key, whole in _grams(ids, n, longest):
-                    at = np.flatnonzero(whole & _has(bits, key))
+                    now = whole & _has(bits, key) & alive  # frequent, as far as its own shorter runs tell
+                    alive = now & np.concatenate(([False], now[:-1]))
+                    at = np.flatnonzero(now)
                     key, owner = key[at], text[at]
+                    hit = np.zeros(len(key), bool)
                     if len(often):
                         near = np.minimum(np.searchsorted(often, key), len(often) - 1)
                         hit = often[near] == key
                         more += np.bincount(owner[hit], delta[near[hit]], len(n))
-                        key, owner = key[~hit], owner[~hit]
-                    loose.append((owner, key))
-                owner, key = (np.concatenate(x) for x in zip(*loose))
+                    if joined is not None:
+                        open_ = ~hit & _has(joined, key)
+                        loose.append((owner[open_], key[open_]))
+                owner, key = (np.concatenate(x) for x in zip(*loose)) if loose else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 key = key[np.argsort(owner, kind="stable")]
                 base.append(np.add.reduceat(log, starts))
                 score.append(base[-1] + more)
@@ -298,15 +326,18 @@ def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, **s
     base_score (single words), score (the tree), both log10 of the whole text. The `often` most frequent runs of words
     travel with the scorer, all others are joined."""
     scratch = Scratch(docs.sparkSession, "suffix-tree")
-    tree, counts, deltas, longest = learn(docs.where(~held_out), scratch, **settings)
+    tree, counts, deltas, bits, longest = learn(docs.where(~held_out), scratch, **settings)
     floor = _floor(deltas, "w", often)
-    travels = deltas.where(F.col("w") >= (floor if floor is not None else 1 << 62)).select("key", "delta").orderBy("key").toArrow()  # at most `often` rows
-    shared = _Shared(docs.sparkSession, (tree, _bitmap(deltas), travels["key"].to_numpy(), travels["delta"].to_numpy()), hash((scratch.base, "score")))
+    near = (F.col("w") >= (floor if floor is not None else 1 << 62)) | F.col("key").between(0, tree.other - 1)
+    travels = deltas.where(near).select("key", "delta").orderBy("key").toArrow()  # at most `often` rows and the head
+    rest = deltas.where(~near)
+    joined = _bitmap(rest) if rest.take(1) else None
+    shared = _Shared(docs.sparkSession, (tree, bits, travels["key"].to_numpy(), travels["delta"].to_numpy(), joined), hash((scratch.base, "score")))
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().cast("binary").alias("body"))
     scored = scratch.save(rows.mapInArrow(_score(shared, longest), _SCORED), "scored")
     tails = scored.select("rid", F.explode("tail").alias("word"))
     rare = tails.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("logs"), F.count("*").alias("tokens"), F.count("n").alias("found"))
-    runs = scored.select("rid", F.explode("runs").alias("key")).join(deltas, "key").groupBy("rid").agg(F.sum("delta").alias("more"))
+    runs = scored.select("rid", F.explode("runs").alias("key")).join(rest, "key").groupBy("rid").agg(F.sum("delta").alias("more"))
     extra = F.coalesce(F.col("logs") - F.col("tokens") * F.log10(F.lit(float(tree.denominator))), F.lit(0.0))
     return scored.drop("tail", "runs").join(rare, "rid", "left").join(runs, "rid", "left").select(
         "doc_id",
