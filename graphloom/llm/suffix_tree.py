@@ -120,7 +120,7 @@ def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFra
 
 
 _BITS = 1 << 26
-_BATCH = 1 << 21
+_BATCH = 1 << 19
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -147,7 +147,7 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 42)
         h -= (h >> 63) << 64
-        if len(self) < 400_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
@@ -229,7 +229,7 @@ def _followed(words: _Shared, sets: _Shared, levels: list[int]):
     return run
 
 
-def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 50, least: int = 10, discount: float = 0.5, strictness: float = 3.0) -> Model:
+def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 100, least: int = 20, discount: float = 0.5, strictness: float = 3.0) -> Model:
     """The tree as tables. A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
     probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
     """
