@@ -1,11 +1,11 @@
 """Near-duplicate groups by SimHash fingerprints.
 
-Fingerprints are split into blocks, documents meet where a block's bits are equal, and every link is verified by its
-Hamming distance. With one lane of 64 bits the blocks are combined: if two fingerprints differ in at most `radius` bits,
-at least `blocks - radius` of the blocks agree, so no close pair can miss every combination. For looser similarities a
-fingerprint has several lanes; then each block of `block_bits` bits is a key of its own, a pair within the radius shares
-one with high probability (8 lanes, 16 bits: 0.89 at a Jaccard similarity of 0.8, 0.97 at 0.85, above 0.99 from 0.9), and
-the distance over all lanes tells related texts from unrelated ones.
+Fingerprints are split into blocks, documents meet where blocks are equal, and every link is verified by its Hamming
+distance. With one lane of 64 bits the blocks are combined: if two fingerprints differ in at most `radius` bits, at least
+`blocks - radius` of the blocks agree, so no close pair can miss every combination. For looser similarities a fingerprint
+has several lanes, too many for every combination; then a key is a choice of four-bit blocks, as many as tell the number
+of fingerprints apart, and there are as many keys as a pair of the wanted similarity needs to share one but for a
+fiftieth. Both numbers follow from the table's size, none of the pairs that meet is left out.
 
 Copies are one fingerprint; of a dense bucket only links of a spanning forest leave it, so that no group is expanded into
 all pairs and no link between groups is lost.
@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, blobs, text_of
+from graphloom.llm.common import Scratch, blobs, heavy_keys, salted_join, text_of
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _SMALL = 8
 
 
@@ -46,17 +46,16 @@ def fingerprint(text: bytes, width: int, lanes: int = 1) -> np.ndarray:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
         hashes = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64, len(starts))
-    n, out = len(hashes), []
-    for lane in range(lanes):
-        h = hashes
-        if lane:
-            h = h * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = h ^ (h >> np.uint64(29))
-        octets = h.view(np.uint8).reshape(n, 8)
-        ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
-        out.append(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64)
+    n, counts = len(hashes), np.zeros(256 * 8 * lanes, np.int64)
+    for at in range(0, n, 4096):
+        h = np.repeat(hashes[at : at + 4096, None], lanes, axis=1)
+        more = h[:, 1:] * (np.uint64(0x9E3779B97F4A7C15) + np.arange(2, 2 * lanes, 2, dtype=np.uint64))
+        more = (more ^ (more >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h[:, 1:] = more ^ (more >> np.uint64(29))
+        octets = h.view(np.uint8).reshape(len(h), 8 * lanes) + np.arange(0, 256 * 8 * lanes, 256, dtype=np.int64)
+        counts += np.bincount(octets.ravel(), minlength=len(counts))
+    ones = counts.reshape(-1, 256).astype(np.float64) @ _BITS
+    return np.packbits(2 * ones.ravel() > n, bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1) -> DataFrame:
@@ -141,9 +140,41 @@ def blocks_for(n: int, radius: int) -> int:
     return next(b for b in range(radius + 1, 17) if 64 * (b - radius) // b >= need or b == 16)
 
 
+def keys_for(n: int, similarity: float, missed: float = 0.02) -> tuple[int, int]:
+    """(four-bit blocks a key, keys): keys have two bits more than the number of fingerprints needs, and of pairs of that
+    Jaccard similarity a share of `missed` shares no key. Bits of two fingerprints differ in proportion to the angle
+    between their shingle sets."""
+    blocks = math.ceil((math.log2(max(n, 2)) + 2) / 4)
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return blocks, math.ceil(math.log(missed) / math.log(1 - same ** (4 * blocks)))
+
+
+def _keys(blocks: int, keys: int, lanes: int):
+    """Rows (node, fp) -> (key, node), a row for each choice of blocks."""
+    rng = np.random.default_rng(11)
+    choices = [np.sort(rng.choice(16 * lanes, blocks, replace=False)) for _ in range(keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(np.uint8).reshape(-1, 8 * lanes)
+            for at in range(0, len(node), 1000):
+                octets = fp[at : at + 1000]
+                parts = np.stack((octets & 15, octets >> 4), axis=2).reshape(len(octets), -1).astype(np.uint64)
+                out = np.empty((keys, len(octets)), np.uint64)
+                for i, choice in enumerate(choices):
+                    value = np.full(len(octets), i, np.uint64)
+                    for c in choice:
+                        value = value << np.uint64(4) | parts[:, c]
+                    out[i] = value
+                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.tile(node[at : at + 1000], keys))], ["key", "node"])
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): node, root (smallest node). Alternating large-star and small-star steps;
-    each round is written to the shared folder, only a count and a checksum reach the driver."""
+    each round is written to the shared folder, only a count and a checksum reach the driver. Rounds grow with the logarithm
+    of the longest chain; should `rounds` not do, it raises an error rather than return half-joined components."""
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
     seen = None
     for i in range(1, rounds + 1):
@@ -161,24 +192,27 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int | None = None, lanes: int = 8, blocks: int | None = None, block_bits: int = 16, tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int | None = None, lanes: int = 16, blocks: int | None = None, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
     """Per document: doc_id, fp (array of long, one a lane), component_id (smallest doc_id reachable over links of at most
-    `radius` bits). The default radius, 0.17 of the bits, goes with a Jaccard similarity of 0.8 between shingle sets.
+    `radius` bits). The default radius is where the fingerprints of two texts of that Jaccard similarity differ, with two
+    standard deviations to spare.
 
     A bucket of over `tile` fingerprints is dealt out as pairs of tiles.
     """
-    radius = int(0.17 * 64 * lanes) if radius is None else radius
+    if radius is None:
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        radius = int(64 * lanes * differ + 2 * math.sqrt(64 * lanes * differ * (1 - differ)))
     scratch = Scratch(docs.sparkSession, "simhash")
     marks = scratch.save(fingerprints(docs, width, lanes).withColumn("node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")), "marks")
-    groups = scratch.save(marks.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "groups")
+    groups = scratch.save(marks.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.count("*").alias("n")), "groups")
     if lanes == 1:
-        specs = [(0, m) for m in block_masks(blocks or blocks_for(groups.count(), radius), radius)]
+        masks = block_masks(blocks or blocks_for(groups.count(), radius), radius)
+        parts = [F.xxhash64(F.lit(i), F.col("fp")[0].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)]
+        keys = groups.select(F.explode(F.array(*parts)).alias("key"), "node")
     else:
-        specs = [(lane, ((1 << block_bits) - 1) << at) for lane in range(lanes) for at in range(0, 64 - block_bits + 1, block_bits)]
-    parts = [F.xxhash64(F.lit(i), F.col("fp")[lane].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, (lane, m) in enumerate(specs)]
-    keys = groups.select("node", "fp", F.explode(F.array(*parts)).alias("key"))
+        keys = groups.select("node", "fp").mapInArrow(_keys(*keys_for(groups.count(), similarity), lanes), "key long, node long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(sizes, "key")
+    met = keys.join(sizes, "key").join(groups.select("node", "fp"), "node")
     tiles = F.ceil(F.col("n") / tile)
     mine = F.pmod(F.xxhash64("node"), tiles)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
@@ -188,4 +222,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int | None = None,
     low = found.join(groups, found["node"] == groups["node"]).groupBy("root").agg(F.min("low").alias("component_id"))
     named = found.join(low, "root").select("node", "component_id")
     reach = groups.join(named, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return marks.join(reach, "node").select("doc_id", "fp", "component_id")
+    copies = scratch.save(heavy_keys(groups.select("node", "n"), ["node"]), "heavy")
+    return salted_join(marks, reach, ["node"], copies, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
