@@ -28,10 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays;
-    of repeated rows with that id, one. Documents without an id stay as they are."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays; of
+    several rows with that id the one whose text, then language, source and length, comes first. Documents without an
+    id stay as they are."""
     found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct("text", "lang", "source", "n_chars")
+    kept = docs.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
     return kept.unionByName(docs.where("doc_id is null")).select(COLUMNS)
 
 
