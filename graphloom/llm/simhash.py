@@ -141,18 +141,19 @@ def blocks_for(n: int, radius: int) -> int:
 
 
 def keys_for(n: int, similarity: float, missed: float = 0.02) -> tuple[int, int]:
-    """(four-bit blocks a key, keys): keys have two bits more than the number of fingerprints needs, and of pairs of that
-    Jaccard similarity a share of `missed` shares no key. Bits of two fingerprints differ in proportion to the angle
-    between their shingle sets."""
-    blocks = math.ceil((math.log2(max(n, 2)) + 2) / 4)
+    """(bits a key, keys): keys have three bits more than the number of fingerprints needs, and of pairs of that Jaccard
+    similarity a share of `missed` shares no key. Bits of two fingerprints differ in proportion to the angle between
+    their shingle sets."""
+    bits = math.ceil(math.log2(max(n, 2))) + 3
     same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return blocks, math.ceil(math.log(missed) / math.log(1 - same ** (4 * blocks)))
+    return bits, math.ceil(math.log(missed) / math.log(1 - same**bits))
 
 
-def _keys(blocks: int, keys: int, lanes: int):
-    """Rows (node, fp) -> (key, node), a row for each choice of blocks."""
+def _keys(bits: int, keys: int, lanes: int):
+    """Rows (node, fp) -> (key, node), a row for each choice of four-bit blocks, the last of them cut to what is left."""
     rng = np.random.default_rng(11)
-    choices = [np.sort(rng.choice(16 * lanes, blocks, replace=False)) for _ in range(keys)]
+    choices = [np.sort(rng.choice(16 * lanes, -(-bits // 4), replace=False)) for _ in range(keys)]
+    spare = np.uint64(-bits % 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +166,7 @@ def _keys(blocks: int, keys: int, lanes: int):
                     value = np.full(len(octets), i, np.uint64)
                     for c in choice:
                         value = value << np.uint64(4) | parts[:, c]
-                    out[i] = value
+                    out[i] = value >> spare
                 yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.tile(node[at : at + 1000], keys))], ["key", "node"])
 
     return run
