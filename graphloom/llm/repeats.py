@@ -238,7 +238,7 @@ _BLOCK = 1 << 20
 
 
 def repeated(docs: DataFrame, heavy: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 2048, block: int = _BLOCK) -> DataFrame:
-    """docs: k1, k2, body, mark -> spans k1, k2, lo, hi (end) whose symbols are covered by a repeated window. heavy: see heavy_keys()."""
+    """docs: k1, k2, body, mark -> k1, k2, spans (lo, end) whose symbols are covered by a repeated window, several rows a text. heavy: see heavy_keys()."""
     rows = scratch.save(docs.select("k1", "k2", "body").mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long"), "anchors")
     classes = rows.groupBy("h", "seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")))
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("total > 1").drop("total")
@@ -249,15 +249,16 @@ def repeated(docs: DataFrame, heavy: DataFrame, scratch: Scratch, unit: str, len
     window = parts.where("body is null").dropDuplicates(["h", "seg", "off"])
     twice = window.groupBy("wa", "wb").agg(F.sum("n").alias("total")).where("total > 1")
     dealt = window.join(twice, ["wa", "wb"]).select("h", "seg", F.col("off").alias("lo"), (F.col("off") + length).alias("hi"))
-    spans = found.unionByName(dealt).withColumnsRenamed({"lo": "from", "hi": "to"})
+    spans = found.unionByName(dealt).groupBy("h", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     common = heavy_keys(met.select("h", "seg", "n"), ["h", "seg"])
     members = salted_join(rows.select("k1", "k2", "lo", "h", "seg"), spans, ["h", "seg"], common, F.xxhash64("k1", "lo"))
-    return members.select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
+    moved = F.transform("parts", lambda x: F.struct((F.col("lo") + x["lo"]).alias("lo"), (F.col("lo") + x["hi"]).alias("hi")))
+    return members.select("k1", "k2", moved.alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, heavy: DataFrame) -> DataFrame:
     """docs (k1, k2, mark, ...) with `spans`, an array of struct lo, hi; null if a text has none."""
-    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    lists = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return salted_join(docs, lists, ["k1", "k2"], heavy, F.col("mark"), "left")
 
 
