@@ -1,9 +1,10 @@
 """Mixing sources, languages and topics to target weights: iterative proportional fitting, then calibrated sampling.
 
-Documents are summed by cell (source, language, topic) before anything moves. The cells' token weights are raked to the
-target share of each source, language and topic in turn; a document is kept with a probability in proportion to its
-cell's raked over its own tokens, calibrated so that the expected tokens are the wanted share of all (no probability is
-over one). All of it is DataFrame operations.
+Documents are summed by cell (source, language, topic) before anything moves. Targets are the wanted tokens of each source,
+language and topic, none above what there is, all together the budget. The cells' token weights are raked to them in
+turn, and no weight may exceed its cell's tokens, so that weight over tokens is a probability and the expected sample
+meets the targets as far as the raking has come (rounds go on until the largest error is under a tolerance). A document
+is kept with its cell's probability. All of it is DataFrame operations.
 
 Nulls and odd rows: null source or language is a cell value of its own (empty text); null text has no words and no
 weight and is kept with its cell's probability; the draw is a hash of the doc_id, so repeated rows stay or go together;
@@ -20,14 +21,24 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Scratch, WORD, text_of
 
 DIMS = ("source", "lang", "topic")
-#: Topics by what a text holds, first match; a parameter.
-TOPICS = (("licence", ("license", "rights reserved")), ("contact", ("@", "tel")))
+#: Topics by the words (or signs) a text holds, first match; a parameter.
+TOPICS = (
+    ("licence", ("license", "licence", "copyright", "rights reserved")),
+    ("secret", ("password", "secret", "api key")),
+    ("contact", ("@", "tel", "phone", "call")),
+)
+
+
+def bounded(word: str) -> str:
+    """Pattern of a word that no ASCII letter touches."""
+    return f"(^|[^a-z]){word}([^a-z]|$)"
 
 
 def topic_of(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = TOPICS) -> Column:
     low, found = F.lower(text), F
+    holds = lambda w: F.contains(low, F.lit(w)) & low.rlike(bounded(w)) if w[0].isalpha() else F.contains(low, F.lit(w))
     for name, words in rules:
-        found = found.when(functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), name)
+        found = found.when(functools.reduce(lambda a, b: a | b, [holds(w) for w in words]), name)
     return found.otherwise("other")
 
 
@@ -37,43 +48,53 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(digest, 16, 10).cast("double") / float(1 << 48)
 
 
-def rake(cells: DataFrame, alphas: dict[str, float], targets: dict[str, DataFrame], rounds: int, scratch: Scratch) -> DataFrame:
-    """cells: source, lang, topic, tokens -> with `weight`. A target share is tokens to the power alpha, or given as a
-    DataFrame (value, share) for a dimension; values without a given share keep none."""
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    out = cells.withColumn("all", total.cast("double")).withColumn("weight", F.col("tokens").cast("double"))
+def targets_of(cells: DataFrame, d: str, wanted: float, alpha: float, shares: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Tokens that each value of a dimension is to have (d, target): in proportion to tokens to the power alpha, or to given
+    shares (value, share), never above its tokens; what that leaves over goes to the others. The factor of proportion
+    rises as values turn out to be full, which takes a few sums of the dimension's table."""
+    own = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens"))
+    if shares is None:
+        own = own.withColumn("p", F.pow("tokens", F.lit(alpha)))
+    else:
+        own = own.join(shares.select(F.col("value").alias(d), F.col("share").cast("double").alias("p")), d, "left").fillna({"p": 0.0})
+    own, factor = scratch.save(own, f"own_{d}"), 0.0
+    while True:
+        full = F.col("tokens") <= F.lit(factor) * F.col("p")
+        r = own.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(~full, F.col("p"))), F.lit(0.0)).alias("free")).first()
+        new = (wanted - r.full) / r.free if r.free > 0 else factor
+        if new <= factor:
+            return own.select(d, F.least("tokens", F.lit(factor) * F.col("p")).alias(f"target_{d}"))
+        factor = new
+
+
+def rake(cells: DataFrame, budget: float, alphas: dict[str, float], shares: dict[str, DataFrame], scratch: Scratch, rounds: int = 60, tolerance: float | None = 5e-4) -> DataFrame:
+    """cells: source, lang, topic, tokens -> with `weight`, expected tokens, none above tokens. Ends after `rounds`, or
+    when no marginal is farther than `tolerance` of all tokens from its target; targets that contradict each other, or ask
+    for what the cells do not have, are met as nearly as the last round does."""
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    out = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for d in DIMS:
-        if d in targets:
-            out = out.join(targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"share_{d}")), d, "left").fillna({f"share_{d}": 0.0})
-        else:
-            own = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alphas[d])).alias("p"))
-            share = own.select(d, (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(1)))).alias(f"share_{d}"))
-            out = out.join(share, d)
+        out = out.join(targets_of(cells, d, budget * total, alphas[d], shares.get(d), scratch), d)
     out = scratch.save(out, "start")
     for i in range(rounds):
         for d in DIMS:
             now = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * (F.col(f"share_{d}") * F.col("all") / now)).otherwise(0.0))
+            out = out.withColumn("weight", F.when(now > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col(f"target_{d}") / now))).otherwise(0.0))
         if i % 3 == 2:
             out = scratch.save(out, f"round{i}")
+            if tolerance is not None and all(_error(out, d) <= tolerance * total for d in DIMS):
+                break
     return out.select(*DIMS, "tokens", "weight")
 
 
-def calibrate(cells: DataFrame, budget: float) -> DataFrame:
-    """Adds `prob`: expected tokens are `budget` of all, in proportion to weight / tokens, none over 1. The scale is the
-    largest of those that hold when the k cells of highest ratio are certain, over all k."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    by = Window.partitionBy(F.lit(1)).orderBy(F.desc("ratio"), *DIMS)
-    everything = Window.partitionBy(F.lit(1))
-    before = F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    scale = F.max(F.when(F.col("after") > 0, (F.lit(budget) * F.col("all") - F.col("before")) / F.col("after"))).over(everything)
-    ranked = cells.withColumn("ratio", ratio).withColumn("all", F.sum("tokens").over(everything)).withColumn("before", before).withColumn("after", after)
-    return ranked.withColumn("prob", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(scale, F.lit(0.0)) * F.col("ratio")))).select(*DIMS, "tokens", "weight", "prob")
+def _error(cells: DataFrame, d: str) -> float:
+    met = cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("e"))
+    return met.agg(F.coalesce(F.max("e"), F.lit(0.0))).first()[0]
 
 
-def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = 9, seed: str = "mix", rules: tuple = TOPICS, small: int = 100_000) -> DataFrame:
-    """The documents drawn, with source, lang and topic (no nulls) as mix_source, mix_lang, mix_topic, n_tokens, prob."""
+def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: str = "mix", rules: tuple = TOPICS, small: int = 100_000, **raking) -> DataFrame:
+    """The documents drawn, with source, lang and topic (no nulls) as mix_source, mix_lang, mix_topic, n_tokens, prob; their
+    expected tokens are `budget` of all. Cells without tokens are kept with probability `budget`."""
     scratch = Scratch(docs.sparkSession, "mixing")
     alphas = {"source": 0.7, "lang": 0.7, "topic": 0.9} | (alphas or {})
     text = text_of()
@@ -81,7 +102,8 @@ def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None =
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"mix_{c}") for c in DIMS[:2]), topic_of(text, rules).alias("mix_topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
     cells = named.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = scratch.save(cells, "cells")
-    fitted = scratch.save(calibrate(rake(cells, alphas, targets or {}, rounds, scratch), budget), "fitted")
+    prob = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(float(budget)))
+    fitted = scratch.save(rake(cells, budget, alphas, targets or {}, scratch, **raking).withColumn("prob", prob), "fitted")
     probs = fitted.select(*(F.col(d).alias(f"mix_{d}") for d in DIMS), "prob")
     if fitted.count() <= small:
         probs = F.broadcast(probs)

@@ -6,37 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
-from graphloom.llm.mixing import DIMS, TOPICS, mix
+from graphloom.llm.mixing import DIMS, TOPICS, bounded, mix
 
-BUDGET, ALPHAS, ROUNDS = 0.8, {"source": 0.7, "lang": 0.7, "topic": 0.9}, 9
+BUDGET, ALPHAS, ROUNDS = 0.8, {"source": 0.7, "lang": 0.7, "topic": 0.9}, 12
 
 
 def op3_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = mix(docs, BUDGET, ALPHAS, rounds=ROUNDS)
+    found = mix(docs, BUDGET, ALPHAS, rounds=ROUNDS, tolerance=None)
     return found.select("doc_id", *(F.col(f"mix_{d}").alias(d) for d in DIMS), "n_tokens", F.round("prob", 6).alias("prob"))
 
 
 def _sql() -> str:
-    topic = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + f" THEN '{name}'" for name, words in TOPICS) + " ELSE 'other' END"
+    holds = lambda w: f"regexp_matches(lower(t), '{bounded(w)}')" if w[0].isalpha() else f"contains(lower(t), '{w}')"
+    topic = "CASE " + " ".join("WHEN " + " OR ".join(holds(w) for w in words) + f" THEN '{name}'" for name, words in TOPICS) + " ELSE 'other' END"
     parts = [
         "d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)",
-        rf"n AS (SELECT doc_id, source, lang, {topic} AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens FROM d)",
-        "c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY ALL)",
-        *(f"s_{x} AS (SELECT {x}, p / sum(p) OVER () AS share FROM (SELECT {x}, pow(sum(tokens)::DOUBLE, {ALPHAS[x]}) AS p FROM c GROUP BY {x}))" for x in DIMS),
-        "w0 AS (SELECT source, lang, topic, tokens, tokens::DOUBLE AS weight, sum(tokens) OVER ()::DOUBLE AS total FROM c)",
+        rf"n AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens FROM d)",
+        "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY ALL)",
+        f"b AS MATERIALIZED (SELECT {BUDGET} * sum(tokens)::DOUBLE AS wanted FROM c)",
     ]
+    for x in DIMS:  # the factor is the largest of those that hold when the k values of least room are full, over all k
+        parts += [
+            f"m_{x} AS MATERIALIZED (SELECT {x}, sum(tokens)::DOUBLE AS m, pow(sum(tokens)::DOUBLE, {ALPHAS[x]}) AS p FROM c GROUP BY {x})",
+            f"f_{x} AS MATERIALIZED (SELECT max((wanted - full_) / free_) AS factor FROM (SELECT coalesce(sum(m) OVER (ORDER BY m / p, {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(p) OVER (ORDER BY m / p, {x} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free_ FROM m_{x} WHERE p > 0), b WHERE free_ > 0)",
+            f"t_{x} AS MATERIALIZED (SELECT {x}, least(m, coalesce(factor, 0) * p) AS target FROM m_{x}, f_{x})",
+        ]
+    parts.append(f"w0 AS (SELECT source, lang, topic, tokens, tokens * {BUDGET}::DOUBLE AS weight FROM c)")
     i = 0
     for _ in range(ROUNDS):
         for x in DIMS:
             now = f"sum(w{i}.weight) OVER (PARTITION BY {x})"
-            parts.append(f"w{i + 1} AS (SELECT source, lang, topic, tokens, CASE WHEN {now} > 0 THEN weight * (share * total / {now}) ELSE 0 END AS weight, total FROM w{i} JOIN s_{x} USING ({x}))")
+            parts.append(f"w{i + 1} AS (SELECT source, lang, topic, tokens, CASE WHEN {now} > 0 THEN least(tokens::DOUBLE, weight * (target / {now})) ELSE 0 END AS weight FROM w{i} JOIN t_{x} USING ({x}))")
             i += 1
-    parts += [
-        f"r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{i})",
-        "k AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM r)",
-        f"f AS (SELECT source, lang, topic, least(1.0, greatest(0.0, coalesce(max(CASE WHEN after > 0 THEN ({BUDGET} * total - before) / after END) OVER (), 0) * ratio)) AS prob FROM k)",
-    ]
+    parts.append(f"f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE {BUDGET} END AS prob FROM w{i})")
     u = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0"
     return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 6) AS prob FROM n JOIN f USING (source, lang, topic) WHERE {u} < prob"
 

@@ -237,6 +237,27 @@ def test_mixing(spark, docs):
     assert abs(share["a"] - 0.5) < 0.04 and abs(sum(r.n for r in got) / total - 0.3) < 0.03
 
 
+def test_raking_meets_its_targets_within_what_cells_hold(spark):
+    from graphloom.llm.common import Scratch
+
+    rng = random.Random(4)
+    rows = [(s, l, t, int(10 ** rng.uniform(1, 5))) for s in "abcdefgh" for l in ("en", "de") for t in ("x", "y", "z")]
+    cells, total = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), sum(r[3] for r in rows)
+    alphas = {"source": 0.5, "lang": 0.7, "topic": 0.9}
+    got = mixing.rake(cells, 0.7, alphas, {}, Scratch(spark, "t")).collect()
+    assert all(0 <= r.weight <= r.tokens for r in got)
+    for d in mixing.DIMS:
+        have, now = collections.Counter(), collections.Counter()
+        for r in got:
+            have[r[d]] += r.tokens
+            now[r[d]] += r.weight
+        low, high = 0.0, 1e9
+        for _ in range(200):  # by halving
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(n, mid * n ** alphas[d]) for n in have.values()) < 0.7 * total else (low, mid)
+        assert all(abs(now[k] - min(n, low * n ** alphas[d])) < 1e-3 * total for k, n in have.items())
+
+
 def vectors(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(600, 16)).astype(np.float32)
