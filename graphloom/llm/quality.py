@@ -147,7 +147,8 @@ def fit_linear(sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, good: np.
 
 def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...] = ABUSE) -> tuple[WeakLabels | None, np.ndarray, float]:
     """docs: text and what `vote` needs. Vote patterns are counted over all rows; the scorer sees about `sample` rows (by
-    a hash of the text; never over twice as many), annotated or not, half of them bad by their posterior."""
+    a hash of the text, of equal rows one; never over twice as many, which chance alone does not reach), annotated or not,
+    half of them bad by their posterior."""
     words = frozenset(x.encode() for x in abuse)
     rows = docs.select(text_of().cast("binary").alias("body"), F.coalesce(vote, F.lit(0)).cast("int").alias("vote"))
     counts = {r.code: r.n for r in rows.mapInArrow(_patterns(words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...
     model = WeakLabels(counts, 7)
     low = sum(n for c, n in counts.items() if model.bad[c] >= 0.5)
     shares = [int(1_000_000 * min(1.0, sample / 2 / max(n, 1))) for n in (sum(counts.values()) - low, low)]
-    drawn = rows.withColumn("at", F.pmod(F.xxhash64("body", F.lit(29)), F.lit(1_000_000))).where(F.col("at") < max(shares))
+    drawn = rows.withColumn("at", F.pmod(F.xxhash64("body", F.lit(29)), F.lit(1_000_000))).where(F.col("at") < max(shares)).dropDuplicates(["body", "vote"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,13 +199,14 @@ class _Weights(dict):
 def score(docs: DataFrame, columns: list[str], w: np.ndarray, b: float) -> DataFrame:
     """columns and score (0 to 1, high is good) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), b))
+    carried = columns.index("text") + 1 if "text" in columns and docs.schema["text"].dataType.simpleString() == "string" else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         known, again = _Weights(w), float(w[AGAIN])
         for batch in batches:
             out = []
-            for body in blobs(batch.column(1)):
+            for body in blobs(batch.column(0).field(carried - 1) if carried else batch.column(1)):
                 words = body.split()
                 if not words:
                     out.append(0.0)
@@ -214,11 +216,11 @@ def score(docs: DataFrame, columns: list[str], w: np.ndarray, b: float) -> DataF
                 weights = np.fromiter(map(known.__getitem__, seen), np.float64, len(seen))
                 z = b + roots @ weights / len(words) ** 0.5 + again * sum(map(operator.eq, words, words[1:])) / len(words)
                 out.append(1 / (1 + np.exp(-min(max(z, -50), 50))))
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct(*columns).alias("row"), text_of().cast("binary").alias("body"))
+    rows = docs.select(F.struct(*columns).alias("row"), *([] if carried else [text_of().cast("binary").alias("body")]))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {kind}, score double").select("row.*", "score")
 
