@@ -215,33 +215,53 @@ def node_label(label: Column | str) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in rules.NODE_OF_ENTITY.items() for x in kv]), col(label))
 
 
+def in_sentences(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Mentions with sentence_no, a row for each sentence that they overlap. The first and the last one come from running
+    counts of sentence ends and starts before the mention's own, so a text costs its sorting, not sentences by mentions."""
+    columns = mentions.columns
+
+    def counted(rows: DataFrame, edge: str, at: str, name: str, before: bool) -> DataFrame:
+        kept = [c for c in rows.columns if c != "pmid"]
+        mine = rows.select("pmid", F.col(at).alias("at"), F.lit(1).alias("kind"), F.struct(*kept).alias("row"))
+        marks = sentences.select("pmid", F.col(edge).alias("at"), F.lit(0 if before else 2).alias("kind"), F.lit(None).cast(mine.schema["row"].dataType).alias("row"))
+        order = Window.partitionBy("pmid").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = mine.unionByName(marks).withColumn(name, F.count_if(F.col("kind") != 1).over(order))
+        return both.where("kind = 1").select("pmid", "row.*", name)
+
+    first = counted(mentions, "end", "m_start", "first_no", True)
+    both = counted(first, "start", "m_end", "ends", False)
+    return both.where("first_no < ends").select(*columns, F.explode(F.sequence(F.col("first_no").cast("int"), F.col("ends").cast("int") - 1)).alias("sentence_no"))
+
+
 def extract_relations(docs: DataFrame, mentions: DataFrame, tiers: DataFrame | None = None, table=rules.RELATION_RULES, pairs: dict | None = None) -> DataFrame:
     """Relations between mentions of a sentence, at most one per (pmid, head, relation, tail): the last one found wins.
 
-    Sentences are those with two mentions or more; mention pairs meet on (pmid, sentence_no). tiers: pmid, tier.
+    Sentences are those with two mentions or more; each is matched with the rules once, and mention pairs meet on
+    (pmid, sentence_no) and the node labels that a fired rule takes. tiers: pmid, tier.
     """
     spark = docs.sparkSession
     sentences = split_sentences(docs)
-    nodes = mentions.withColumn("node", node_label("label")).select("pmid", F.col("start").alias("m_start"), F.col("end").alias("m_end"), "node", F.col("confidence").alias("m_confidence"), F.coalesce(F.when(F.trim("normalized_text") != "", F.trim("normalized_text")), F.trim("text")).alias("key"))
-    here = sentences.join(nodes, "pmid").where((F.col("m_start") < F.col("end")) & (F.col("m_end") > F.col("start")))
+    nodes = mentions.select("pmid", F.col("start").alias("m_start"), F.col("end").alias("m_end"), node_label("label").alias("node"), F.col("confidence").alias("m_confidence"), F.coalesce(F.when(F.trim("normalized_text") != "", F.trim("normalized_text")), F.trim("text")).alias("key"))
     per = Window.partitionBy("pmid", "sentence_no")
-    here = here.withColumn("n", F.count("*").over(per)).where("n >= 2").withColumn("pos", F.row_number().over(per.orderBy("m_start", "m_end", "key"))).where("node is not null")
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("node", "key", "m_confidence", "m_start", "pos")]
-    left = here.select("pmid", "sentence_no", "sentence", *side("a"))
-    right = here.select("pmid", "sentence_no", *side("b"))
-    met = left.join(right, ["pmid", "sentence_no"]).where("a_pos <> b_pos")
-    forward = F.col("a_pos") < F.col("b_pos")
-    met = met.where(forward | ~((F.col("a_node") == F.col("b_node")) & (F.col("b_m_start") <= F.col("a_m_start"))))
-    fired = match_relation_rules(met, table)
+    here = in_sentences(nodes, sentences.select("pmid", "start", "end")).withColumn("n", F.count("*").over(per)).where("n >= 2")
+    here = here.withColumn("pos", F.row_number().over(per.orderBy("m_start", "m_end", "key"))).where("node is not null")
     allowed = F.broadcast(spark.createDataFrame(rule_rows(table, pairs), "rule_no int, relation string, a_node string, b_node string, c double").drop("relation", "c"))  # the rule table
-    good = fired.join(allowed, ["rule_no", "a_node", "b_node"])
+    fired = match_relation_rules(sentences.join(here.select("pmid", "sentence_no").distinct(), ["pmid", "sentence_no"], "left_semi"), table)
+    fired = fired.select("pmid", "sentence_no", "rule_no", "relation", "trigger", "rule_confidence").join(allowed, "rule_no")
+    side = lambda p: here.select("pmid", "sentence_no", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "key", "m_confidence", "m_start", "pos")])
+    met = fired.join(side("a"), ["pmid", "sentence_no", "a_node"]).join(side("b"), ["pmid", "sentence_no", "b_node"]).where("a_pos <> b_pos")
+    forward = F.col("a_pos") < F.col("b_pos")
+    good = met.where(forward | ~((F.col("a_node") == F.col("b_node")) & (F.col("b_m_start") <= F.col("a_m_start"))))
     order = F.struct("sentence_no", "rule_no", F.least("a_pos", "b_pos"), F.greatest("a_pos", "b_pos"), ~forward)
     best = good.groupBy("pmid", "a_node", casefold("a_key").alias("hk"), "relation", "b_node", casefold("b_key").alias("tk")).agg(
-        F.max_by(F.struct(F.col("a_key").alias("head_key"), F.col("b_key").alias("tail_key"), F.least("a_m_confidence", "b_m_confidence", "rule_confidence").alias("confidence"), "trigger", "sentence", "sentence_no"), order).alias("last"),
+        F.max_by(F.struct(F.col("a_key").alias("head_key"), F.col("b_key").alias("tail_key"), F.least("a_m_confidence", "b_m_confidence", "rule_confidence").alias("confidence"), "trigger", "sentence_no"), order).alias("last"),
         F.min(order).alias("first"),
     )
     index = F.row_number().over(Window.partitionBy("pmid").orderBy("first"))
-    out = best.select("pmid", index.alias("relation_index"), F.col("a_node").alias("head_label"), "last.head_key", "relation", F.col("b_node").alias("tail_label"), "last.tail_key", "last.confidence", "last.trigger", "last.sentence", "last.sentence_no", qualifiers(F.col("relation"), F.col("last.sentence")).alias("qualifiers"))
+    found = best.select("pmid", index.alias("relation_index"), F.col("a_node").alias("head_label"), "last.head_key", "relation", F.col("b_node").alias("tail_label"), "last.tail_key", "last.confidence", "last.trigger", "last.sentence_no")
+    out = found.join(sentences.select("pmid", "sentence_no", "sentence"), ["pmid", "sentence_no"]).select(
+        "pmid", "relation_index", "head_label", "head_key", "relation", "tail_label", "tail_key", "confidence", "trigger", "sentence", "sentence_no", qualifiers(F.col("relation"), F.col("sentence")).alias("qualifiers")
+    )
     if tiers is None:
         return out.withColumn("evidence_tier", F.lit(0))
     return out.join(tiers.select("pmid", F.col("tier").alias("evidence_tier")), "pmid", "left").fillna({"evidence_tier": 0})
