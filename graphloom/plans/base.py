@@ -54,13 +54,13 @@ def predictions(spark, sf_dir) -> DataFrame:
     """Documents as scored predictions."""
     c = F.col
     return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("prediction:"), c("doc_id").cast("string")).alias("item_id"), c("doc_id").cast("string").alias("source_pmid"), F.substring("text", 1, 40).alias("text"),
+        F.concat(F.lit("prediction:"), c("doc_id").cast("string")).alias("item_id"), c("doc_id").cast("string").alias("source_pmid"), "text",
         F.concat(F.lit("LABEL_"), (c("doc_id") % 7).cast("string")).alias("prediction"), (c("n_chars") % 101 / 100.0).alias("confidence"), c("source").alias("checkpoint_name"),
         F.when(c("doc_id") % 4 == 0, "candidate").when(c("doc_id") % 4 == 1, "smoke").otherwise("").alias("checkpoint_status"), F.when(c("doc_id") % 5 > 0, rules.NOTICE).alias("warning"),
     )
 
 
-PREDICTIONS = f"""p AS (SELECT 'prediction:' || doc_id::VARCHAR AS item_id, doc_id::VARCHAR AS source_pmid, substr(text, 1, 40) AS text, 'LABEL_' || (doc_id % 7)::VARCHAR AS prediction, CASE WHEN doc_id % 7 < 6 THEN CAST(doc_id % 7 AS INTEGER) END AS tier, n_chars % 101 / 100.0 AS confidence, source AS checkpoint_name,
+PREDICTIONS = f"""p AS (SELECT 'prediction:' || doc_id::VARCHAR AS item_id, doc_id::VARCHAR AS source_pmid, text, 'LABEL_' || (doc_id % 7)::VARCHAR AS prediction, CASE WHEN doc_id % 7 < 6 THEN CAST(doc_id % 7 AS INTEGER) END AS tier, n_chars % 101 / 100.0 AS confidence, source AS checkpoint_name,
  CASE doc_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'smoke' ELSE '' END AS checkpoint_status, CASE WHEN doc_id % 5 > 0 THEN {q(rules.NOTICE)} END AS warning FROM documents)"""
 
 

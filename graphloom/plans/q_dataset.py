@@ -206,9 +206,9 @@ def export(spark, sf):
     return curated(spark, sf).where("review_status in ('accepted', 'corrected') and curated_evidence_tier is not null").select("source_pmid", F.lit("evidence").alias("task"), F.col("curated_evidence_tier").cast("string").alias("label"), "review_status")
 
 
-@query("gold_seed", f"WITH {CURATED} SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents WHERE doc_id % 4 = 0")
+@query("gold_seed", f"WITH {CURATED} SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents")
 def gold(spark, sf):
-    ner = table(spark, sf, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("source_pmid"), F.lit("ner").alias("task"), F.col("lang").alias("label"))
+    ner = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_pmid"), F.lit("ner").alias("task"), F.col("lang").alias("label"))
     return export(spark, sf).drop("review_status").unionByName(ner)
 
 
@@ -260,7 +260,7 @@ def _(spark, sf):
     return D.split_by_group(pack(spark, sf).withColumn("group_id", F.col("group_id").cast("string")), "group_id").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("gold_pack", f"WITH {CURATED}, k AS (SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents WHERE doc_id % 4 = 0), h AS ({_groups('k', 'source_pmid')}) SELECT task, split, label, count(*) AS n FROM k JOIN h USING (source_pmid) GROUP BY ALL")
+@query("gold_pack", f"WITH {CURATED}, k AS (SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents), h AS ({_groups('k', 'source_pmid')}) SELECT task, split, label, count(*) AS n FROM k JOIN h USING (source_pmid) GROUP BY ALL")
 def _(spark, sf):
     return D.split_by_group(gold(spark, sf), "source_pmid").groupBy("task", "split", "label").agg(F.count("*").alias("n"))
 

@@ -64,13 +64,13 @@ def _(spark, sf):
     return G.neighborhood(merged(spark, sf), labels=("Drug",), relations=("TARGETS",), min_tier=3, min_citations=2, limit=200).select(*G.ENDS, "citations", "evidence_tier")
 
 
-_STRONG = "s AS (SELECT DISTINCT 'Drug:' || head_key AS h, 'Gene:' || tail_key AS t, concat_ws('|', head_label, head_key, relation, tail_label, tail_key) AS edge FROM m WHERE evidence_tier >= 5 AND citations >= 1 AND relation = 'TARGETS' AND confidence >= 0.9), b AS (SELECT h AS a, edge, t AS z FROM s UNION ALL SELECT t, edge, h FROM s)"
+_STRONG = "s AS (SELECT DISTINCT 'Drug:' || head_key AS h, 'Gene:' || tail_key AS t, concat_ws('|', head_label, head_key, relation, tail_label, tail_key) AS edge FROM m WHERE evidence_tier >= 5 AND citations >= 1 AND relation = 'TARGETS'), b AS (SELECT h AS a, edge, t AS z FROM s UNION ALL SELECT t, edge, h FROM s)"
 
 
-@query("neighborhood_khop", f"{_M}, {_STRONG}, p1 AS (SELECT a AS start, z AS \"end\", edge AS e1 FROM b WHERE a LIKE 'Gene:%1'), p2 AS (SELECT start, b.z AS \"end\", e1 || '>' || edge AS path FROM p1 JOIN b ON p1.\"end\" = b.a WHERE edge <> e1) SELECT start, \"end\", CAST(1 AS INTEGER) AS hops, e1 AS path FROM p1 UNION ALL SELECT start, \"end\", CAST(2 AS INTEGER), path FROM p2")
+@query("neighborhood_khop", f"{_M}, {_STRONG}, p1 AS (SELECT a AS start, z AS \"end\", edge AS e1 FROM b WHERE a LIKE 'Gene:%'), p2 AS (SELECT start, b.z AS \"end\", e1 || '>' || edge AS path FROM p1 JOIN b ON p1.\"end\" = b.a WHERE edge <> e1) SELECT start, \"end\", CAST(1 AS INTEGER) AS hops, e1 AS path FROM p1 UNION ALL SELECT start, \"end\", CAST(2 AS INTEGER), path FROM p2")
 def _(spark, sf):
-    strong = G.neighborhood(merged(spark, sf), relations=("TARGETS",), min_tier=5).where("confidence >= 0.9")
-    seeds = G.nodes_of(strong).where("label = 'Gene' and key like '%1'")
+    strong = G.neighborhood(merged(spark, sf), relations=("TARGETS",), min_tier=5)
+    seeds = G.nodes_of(strong).where("label = 'Gene'")
     return G.neighborhood_khop(strong, seeds, 2).withColumn("path", F.array_join("path", ">"))
 
 
@@ -142,12 +142,11 @@ def _(spark, sf):
     return G.entities_to_nodes(_mentions(spark, sf)).withColumn("aliases", F.array_join("aliases", ";"))
 
 
-@query("build_graph_records", f"WITH {_ENTITY_NODES}, en2 AS (SELECT pmid, count(*) AS nodes FROM en WHERE pmid::BIGINT % 3 > 0 GROUP BY pmid) SELECT doc_id::VARCHAR AS pmid, coalesce(nodes, 0) AS nodes, 0::BIGINT AS relations, coalesce(quality, 0) AS evidence_tier FROM documents LEFT JOIN en2 ON en2.pmid = doc_id::VARCHAR LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
+@query("build_graph_records", f"WITH {_ENTITY_NODES}, en2 AS (SELECT pmid, count(*) AS nodes FROM en GROUP BY pmid) SELECT doc_id::VARCHAR AS pmid, coalesce(nodes, 0) AS nodes, 0::BIGINT AS relations, coalesce(quality, 0) AS evidence_tier FROM documents LEFT JOIN en2 ON en2.pmid = doc_id::VARCHAR LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
 def _(spark, sf):
     claims = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("pmid"), F.col("quality").alias("tier"), F.col("quality").alias("ord"))
-    some = _mentions(spark, sf).where(F.col("pmid").cast("long") % 3 > 0)
     none = spark.createDataFrame([], "pmid string")
-    return G.build_records(papers(spark, sf), some, none, claims)
+    return G.build_records(papers(spark, sf), _mentions(spark, sf), none, claims)
 
 
 @query("annotate_query_provenance", "SELECT c_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ';') AS matched_queries, 'pack' AS query_pack FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")

@@ -220,37 +220,6 @@ def _(spark, sf):
     return FI.corpus_manifest(spark, path)
 
 
-@query("file_inventory")
-def _(spark, sf):
-    return FI.inventory(spark, sf).groupBy("category", "suffix").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
-
-
-@query("file_inventory_search")
-def _(spark, sf):
-    return FI.search(FI.inventory(spark, sf), "ORDERS").select("path", "bytes")
-
-
-@query("file_policy_scan")
-def _(spark, sf):
-    required = table(spark, sf, "region").select("r_name").limit(1).select(F.lit(f"{sf}/missing.parquet").alias("path"))
-    return FI.policy_findings(FI.inventory(spark, sf), required, most=1 << 20)
-
-
-@query("bundle_select")
-def _(spark, sf):
-    return FI.inventory(spark, sf).where("suffix = '.parquet'").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
-
-
-@query("bundle_manifest")
-def _(spark, sf):
-    return FI.bundle_manifest(spark, sf)
-
-
-@query("bundle_verify")
-def _(spark, sf):
-    return FI.bundle_verify(spark, FI.bundle_manifest(spark, sf).withColumn("sha256", F.when(F.contains("name", F.lit("orders")), "x").otherwise(F.col("sha256"))), sf)
-
-
 @query("round_discovery", "SELECT CAST(n_nationkey AS INTEGER) AS round FROM nation WHERE n_nationkey % 2 = 0")
 def _(spark, sf):
     kinds = F.when(F.col("n_nationkey") % 2 == 0, F.array(*map(F.lit, ("evidence", "entities", "queue")))).otherwise(F.array(F.lit("evidence")))
