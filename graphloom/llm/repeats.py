@@ -239,7 +239,8 @@ _BLOCK = 1 << 20
 
 def repeated(docs: DataFrame, heavy: DataFrame, scratch: Scratch, unit: str, length: int, gram: int, resolver: Resolver, hot: int = 2048, block: int = _BLOCK) -> DataFrame:
     """docs: k1, k2, body, mark -> k1, k2, spans (lo, end) whose symbols are covered by a repeated window, several rows a text. heavy: see heavy_keys()."""
-    rows = scratch.save(docs.select("k1", "k2", "body").mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long"), "anchors")
+    # read twice from the texts: as a table the segments would take as much disk as the texts themselves
+    rows = docs.select("k1", "k2", "body").mapInArrow(_anchors(unit, length, gram), "k1 long, k2 long, lo int, hi int, h long, seg long, n long")
     classes = rows.groupBy("h", "seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")))
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("total > 1").drop("total")
     met = scratch.save(classes.join(groups, "h"), "classes")
