@@ -3,10 +3,12 @@
 Each of a block's projections is one sorted array of its vectors' values. A query's own values stand in the middle of a
 window in every array; the windows widen step by step (virtual rehashing: no table is built again). A vector that falls
 into the windows of at least a share of the projections is verified by its exact cosine. A query ends when its k-th
-verified distance is one that windows of that width find with the wanted probability.
+verified distance is one that windows of that width find with the wanted probability; windows grow to that width and
+no further, so that few vectors beyond it collide.
 
 Nulls and odd rows: vectors that are null, zero, or hold null or non-finite components take no part, as query or as
-candidate; vectors are compared with those of their own length; rows with one id are one row; null ids take no part;
+candidate; vectors are compared with those of their own length; of rows with one id one stays, chosen by its content;
+null ids take no part;
 extra columns are ignored; an empty table gives an empty result; a query with fewer than k candidates gets them all.
 """
 
@@ -18,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.blocks import search
-from graphloom.llm.common import concat_ranges
 
 
 def _ratio(projections: int, share: float, sigmas: float) -> float:
@@ -29,72 +30,100 @@ def _ratio(projections: int, share: float, sigmas: float) -> float:
     return NormalDist().inv_cdf((1 + p) / 2)
 
 
-def collide(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, projections: int, share: float, sigmas: float, seed: int) -> list[np.ndarray]:
-    """For each query (unit vectors q) the rows of x that were verified; own: the query's own row, or -1."""
-    n, d = x.shape
-    a = np.random.default_rng(seed).normal(size=(d, projections))
-    h, hq = (x @ a).T, (q @ a).T
-    order = np.argsort(h, axis=1, kind="stable").astype(np.int32)
-    values = np.take_along_axis(h, order, axis=1)
-    order = order.ravel()
-    base = (np.arange(projections) * n)[:, None]
-    least, ratio = int(np.ceil(share * projections)), _ratio(projections, share, sigmas)
-    lo = np.stack([np.searchsorted(values[j], hq[j]) for j in range(projections)]) + base
-    hi = lo.copy()
-    counts = np.zeros((len(q), n), np.uint16)
-    checked: list[list[np.ndarray]] = [[] for _ in q]
-    best: list[np.ndarray] = [np.zeros(0)] * len(q)
-    active, half = np.arange(len(q)), 0.15
-    while len(active):
-        wide_lo = np.stack([np.searchsorted(values[j], hq[j, active] - half, "left") for j in range(projections)]) + base
-        wide_hi = np.stack([np.searchsorted(values[j], hq[j, active] + half, "right") for j in range(projections)]) + base
-        still = []
-        for i, u in enumerate(active.tolist()):
-            starts = np.concatenate((wide_lo[:, i], hi[:, u]))
-            sizes = np.concatenate((lo[:, u] - wide_lo[:, i], wide_hi[:, i] - hi[:, u]))
-            before = counts[u] >= least
-            counts[u] += np.bincount(order[concat_ranges(starts, sizes)], minlength=n).astype(np.uint16)
-            lo[:, u], hi[:, u] = wide_lo[:, i], wide_hi[:, i]
-            new = np.flatnonzero((counts[u] >= least) & ~before)
-            new = new[new != own[u]]
-            if len(new):
-                checked[u].append(new)
-                best[u] = np.sort(np.concatenate((best[u], 2 - 2 * (x[new] @ q[u]))))[:k]
-            all_in = (lo[:, u] == base[:, 0]).all() and (hi[:, u] == base[:, 0] + n).all()
-            if not all_in and (len(best[u]) < k or max(best[u][-1], 0) ** 0.5 > half / ratio):
-                still.append(u)
-        active, half = np.array(still, np.int64), half * 1.25
-    return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in checked]
+class Arrays:
+    """A block's unit vectors and the sorted arrays of their projections; directions are orthogonal as far as they can be."""
+
+    def __init__(self, x: np.ndarray, projections: int, seed: int):
+        d, rng = x.shape[1], np.random.default_rng(seed)
+        turns = [np.linalg.qr(rng.normal(size=(d, d)))[0] * d**0.5 for _ in range(-(-projections // d))]
+        self.x, self.directions = x, np.concatenate(turns, axis=1)[:, :projections]
+        h = (x @ self.directions).T
+        order = np.argsort(h, axis=1, kind="stable")
+        self.values, self.order = np.take_along_axis(h, order, axis=1), order.ravel()
+
+    def places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Positions in `order`, a row a projection."""
+        n = len(self.x)
+        return np.stack([np.searchsorted(own, v, side) + j * n for j, (own, v) in enumerate(zip(self.values, values))])
+
+    def collide(self, q: np.ndarray, own: np.ndarray, k: int, share: float, sigmas: float, start: float = 0.25, growth: float = 1.1) -> list[np.ndarray]:
+        """For each query (unit vectors q) the rows that were verified; own: the query's own row, or -1."""
+        n, projections = len(self.x), len(self.values)
+        hq = (q @ self.directions).T
+        least, ratio = int(np.ceil(share * projections)), _ratio(projections, share, sigmas)
+        lo = self.places(hq, "left")
+        hi = lo.copy()
+        counts = np.zeros((len(q), n), np.uint16)
+        checked: list[list[np.ndarray]] = [[] for _ in q]
+        best: list[np.ndarray] = [np.zeros(0)] * len(q)
+        active, half = np.arange(len(q)), np.full(len(q), start)
+        while len(active):
+            wide_lo, wide_hi = self.places(hq[:, active] - half[active], "left"), self.places(hq[:, active] + half[active], "right")
+            still = []
+            for i, u in enumerate(active.tolist()):
+                starts = np.concatenate((wide_lo[:, i], hi[:, u])).tolist()
+                ends = np.concatenate((lo[:, u], wide_hi[:, i])).tolist()
+                before = counts[u] >= least
+                counts[u] += np.bincount(np.concatenate([self.order[a:b] for a, b in zip(starts, ends)]), minlength=n).astype(np.uint16)
+                lo[:, u], hi[:, u] = wide_lo[:, i], wide_hi[:, i]
+                new = np.flatnonzero((counts[u] >= least) & ~before)
+                new = new[new != own[u]]
+                if len(new):
+                    checked[u].append(new)
+                    best[u] = np.sort(np.concatenate((best[u], 2 - 2 * (self.x[new] @ q[u]))))[:k]
+                if (hi[:, u] - lo[:, u] == n).all():
+                    continue
+                enough = ratio * max(best[u][-1], 0) ** 0.5 if len(best[u]) == k else np.inf
+                if half[u] < enough:
+                    half[u] = min(half[u] * growth, enough)
+                    still.append(u)
+            active = np.array(still, np.int64)
+        return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in checked]
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding", projections: int = 128, share: float = 0.5, sigmas: float = 1.5, block: int = 16384, query_block: int = 1024, seed: int = 7) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding", projections: int = 192, share: float = 0.8, sigmas: float = 1.0, block: int = 16384, query_block: int = 256, seed: int = 7) -> DataFrame:
     """query_id, rank, the id column, score (cosine in double precision)."""
     number = F.col(column).cast("array<double>")
     finite = F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(number, lambda x: x != 0)
     good = rows.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & finite)
     good = good.select(F.col(id_column).cast("long").alias("id"), number.alias("payload"), is_query.alias("asked"))
 
-    def work(ids: np.ndarray, vectors: pa.Array, query_ids: np.ndarray, queries: pa.Array):
-        out = []
-        lengths, query_lengths = (np.diff(v.offsets.to_numpy()) for v in (vectors, queries))
-        for d in np.unique(query_lengths):
-            at, to = np.flatnonzero(query_lengths == d), np.flatnonzero(lengths == d)
-            if not len(to):
-                continue
-            x, q = _matrix(vectors.take(pa.array(to))), _matrix(queries.take(pa.array(at)))
-            unit, unit_q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, q))
-            norm, norm_q = np.linalg.norm(unit, axis=1), np.linalg.norm(unit_q, axis=1)
-            place = np.searchsorted(ids[to], query_ids[at])
-            own = np.where(ids[to][np.minimum(place, len(to) - 1)] == query_ids[at], np.minimum(place, len(to) - 1), -1)
-            for u, c in enumerate(collide(unit / norm[:, None], unit_q / norm_q[:, None], own, k, projections, share, sigmas, seed)):
-                score = np.einsum("ij,j->i", unit[c], unit_q[u]) / (norm[c] * norm_q[u])
-                top = np.lexsort((ids[to][c], -score))[:k]
-                out.append((np.full(len(top), query_ids[at][u]), ids[to][c][top], score[top]))
-        return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    found = search(good, F.col("asked"), work, k, "high", block, query_block)
+    def index(ids: np.ndarray, vectors: pa.Array):
+        lengths, built = np.diff(vectors.offsets.to_numpy()), {}
+
+        def of_length(d: int):
+            at = np.flatnonzero(lengths == d)
+            if d not in built and len(at):
+                x = _matrix(vectors.take(pa.array(at)))
+                unit = x / np.abs(x).max(axis=1, keepdims=True)
+                norm = np.linalg.norm(unit, axis=1)
+                built[d] = ids[at], unit, norm, Arrays(unit / norm[:, None], projections, seed)
+            return built.get(d)
+
+        def ask(query_ids: np.ndarray, queries: pa.Array):
+            out, query_lengths = [], np.diff(queries.offsets.to_numpy())
+            for d in np.unique(query_lengths).tolist():
+                held = of_length(d)
+                if held is None:
+                    continue
+                mine, unit, norm, arrays = held
+                at = np.flatnonzero(query_lengths == d)
+                q = _matrix(queries.take(pa.array(at)))
+                unit_q = q / np.abs(q).max(axis=1, keepdims=True)
+                norm_q = np.linalg.norm(unit_q, axis=1)
+                place = np.minimum(np.searchsorted(mine, query_ids[at]), len(mine) - 1)
+                own = np.where(mine[place] == query_ids[at], place, -1)
+                for u, c in enumerate(arrays.collide(unit_q / norm_q[:, None], own, k, share, sigmas)):
+                    score = np.einsum("ij,j->i", unit[c], unit_q[u]) / (norm[c] * norm_q[u])
+                    top = np.lexsort((mine[c], -score))[:k]
+                    out.append((np.full(len(top), query_ids[at][u]), mine[c][top], score[top]))
+            return tuple(map(np.concatenate, zip(*out))) if out else None
+
+        return ask
+
+    found = search(good, F.col("asked"), index, k, "high", block, query_block)
     return found.select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -5,8 +5,9 @@ searched at radius r - 1 and s of them at radius r, every code within m * r + s
 since a farther one alone can differ by more in each. What is met is verified by its whole distance; a query ends when
 its k-th verified distance is covered in that way, so the result is exact, ties by smaller id included.
 
-Nulls and odd rows: null ids and null codes take no part; rows with one id are one row; a query never finds its own id;
-extra columns are ignored; an empty table gives an empty result; a query with fewer than k others gets them all.
+Nulls and odd rows: null ids and null codes take no part; of rows with one id one stays, chosen by its content; a
+query never finds its own id; extra columns are ignored; an empty table gives an empty result; a query with fewer than k
+others gets them all.
 """
 
 from __future__ import annotations
@@ -31,17 +32,27 @@ def _flips(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for c in itertools.combinations(range(bits), radius)], np.int64)
 
 
-def multi_index(codes: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, chunk: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+class MultiIndex:
+    """An index of a block's codes for each of their segments."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, m = codes, segments_for(len(codes))
+        self.edges = [round(i * 64 / m) for i in range(m + 1)]
+        self.width = [b - a for a, b in itertools.pairwise(self.edges)]
+        self.order, self.first = [], []
+        for s in range(m):
+            v = self.part(codes, s)
+            self.order.append(np.argsort(v, kind="stable"))
+            self.first.append(np.concatenate(([0], np.cumsum(np.bincount(v, minlength=1 << self.width[s])))))
+
+    def part(self, x: np.ndarray, s: int) -> np.ndarray:
+        return ((x >> np.uint64(self.edges[s])) & np.uint64((1 << self.width[s]) - 1)).astype(np.int64)
+
+
+def multi_index(index: MultiIndex, queries: np.ndarray, own: np.ndarray, k: int, chunk: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query: rows and distances of its k nearest codes and of all that tie with the last."""
-    n, m = len(codes), segments_for(len(codes))
-    edges = [round(i * 64 / m) for i in range(m + 1)]
-    width = [b - a for a, b in itertools.pairwise(edges)]
-    part = lambda x, s: ((x >> np.uint64(edges[s])) & np.uint64((1 << width[s]) - 1)).astype(np.int64)
-    order, first = [], []
-    for s in range(m):
-        v = part(codes, s)
-        order.append(np.argsort(v, kind="stable"))
-        first.append(np.concatenate(([0], np.cumsum(np.bincount(v, minlength=1 << width[s])))))
+    codes, width, part, order, first = index.codes, index.width, index.part, index.order, index.first
+    n, m = len(codes), len(width)
     flips: dict[tuple[int, int], np.ndarray] = {}
     out = []
     for at in range(0, len(queries), chunk):
@@ -81,22 +92,26 @@ def multi_index(codes: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int,
     return out
 
 
-def nearest_codes(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", code: Column | None = None, block: int = 16384, query_block: int = 1024) -> DataFrame:
+def nearest_codes(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", code: Column | None = None, block: int = 16384, query_block: int = 256) -> DataFrame:
     """query_id, rank, the id column, distance (int). code: a long whose 64 bits are compared (default: column `code`)."""
     code = F.col("code") if code is None else code
     good = rows.select(F.col(id_column).cast("long").alias("id"), code.cast("long").alias("payload"), is_query.alias("asked")).where("id is not null and payload is not null")
 
-    def work(ids: np.ndarray, codes: pa.Array, query_ids: np.ndarray, queries: pa.Array):
-        x, q = (v.to_numpy().view(np.uint64) for v in (codes, queries))
-        place = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
-        found = multi_index(x, q, np.where(ids[place] == query_ids, place, -1), k)
-        out = []
-        for u, (r, distance) in enumerate(found):
-            top = np.lexsort((ids[r], distance))[:k]
-            out.append((np.full(len(top), query_ids[u]), ids[r][top], distance[top].astype(np.float64)))
-        return tuple(map(np.concatenate, zip(*out)))
-
-    found = search(good, F.col("asked"), work, k, "low", block, query_block)
+    def index(ids: np.ndarray, codes: pa.Array):
+        held = MultiIndex(codes.to_numpy().view(np.uint64))
+
+        def ask(query_ids: np.ndarray, queries: pa.Array):
+            place = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
+            found = multi_index(held, queries.to_numpy().view(np.uint64), np.where(ids[place] == query_ids, place, -1), k)
+            out = []
+            for u, (r, distance) in enumerate(found):
+                top = np.lexsort((ids[r], distance))[:k]
+                out.append((np.full(len(top), query_ids[u]), ids[r][top], distance[top].astype(np.float64)))
+            return tuple(map(np.concatenate, zip(*out)))
+
+        return ask
+
+    found = search(good, F.col("asked"), index, k, "low", block, query_block)
     return found.select("query_id", "rank", F.col("id").alias(id_column), F.col("score").cast("int").alias("distance"))
 
 

@@ -270,7 +270,7 @@ def vectors(spark):
 def test_nearest(spark):
     x, rows = vectors(spark)
     got = collections.defaultdict(list)
-    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, k=5, block=200).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, k=5, block=200, query_block=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == set(range(0, 600, 50))
     norm, hits = np.linalg.norm(x, axis=1), 0
@@ -288,7 +288,7 @@ def test_nearest_codes(spark):
     code = F.aggregate(F.transform("embedding", lambda v, i: F.when(v > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
     codes = ((x > 0) * (1 << np.arange(16))).sum(axis=1)
     plain = rows.where("vec_id < 600")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in topk.nearest_codes(plain, F.col("vec_id") % 20 == 0, k=4, code=code, block=250).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in topk.nearest_codes(plain, F.col("vec_id") % 20 == 0, k=4, code=code, block=250, query_block=4).collect()}
     for q in range(0, 600, 20):
         order = sorted((int(c ^ codes[q]).bit_count(), i) for i, c in enumerate(codes.tolist()) if i != q)
         assert [got[q, r] for r in (1, 2, 3, 4)] == [(i, d) for d, i in order[:4]]
