@@ -1,6 +1,7 @@
 """Language of texts by a byte convolutional network.
 
-Bytes are folded to 64 classes (case, digits and punctuation fall together) with a learnt embedding; filters of several
+Bytes are folded to 128 classes (case, digits and punctuation fall together, each lead byte of UTF-8 stands alone) with a
+learnt embedding; filters of several
 widths run over windows of fixed length; each filter's largest response in the window goes through a softmax layer. A
 text's windows cover all of it and their log probabilities are averaged. Trained in numpy, by hand-written gradients,
 on a bounded sample of labelled rows; applied to batches of windows, where a filter's response to its bytes is looked up
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import blobs, text_of
 
-WINDOW, CLASSES = 256, 64
+WINDOW, CLASSES = 256, 128
 
 
 def _fold() -> np.ndarray:
@@ -32,8 +34,7 @@ def _fold() -> np.ndarray:
     table[[9, 10, 11, 12, 13, 32]] = 0
     table[48:58] = 27
     table[0x80:0xC0] = 32 + (np.arange(0x80, 0xC0) & 31)
-    table[0xC0:] = 30
-    table[0xC3] = 29
+    table[0xC0:] = 64 + np.arange(64)
     return table
 
 
@@ -86,9 +87,10 @@ class Network:
                 g[f"k{w}"][j] = self.p["emb"].T @ t
         return loss, g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 2) -> None:
-        """Adam."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, least: int = 240, seed: int = 2) -> None:
+        """Adam; of few windows as many epochs as give `least` steps."""
         rng, t = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-least // -(-len(x) // batch)))
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -106,7 +108,7 @@ class Network:
 
 
 class Compiled:
-    """The network as tables: a row of filter responses for every pair or triple of classes."""
+    """The network as tables: a row of filter responses for every class or pair of classes."""
 
     def __init__(self, network: Network):
         f32 = lambda a: np.ascontiguousarray(a, np.float32)
@@ -114,11 +116,9 @@ class Compiled:
         self.parts = []
         for w in network.widths:
             t, parts = network.tables(w), []
-            for at in range(0, w, 2) if w != 3 else (0,):
-                own = t[at : at + 2] if w != 3 else t
-                table = own[0]
-                for more in own[1:]:
-                    table = (table[..., None, :] + more).reshape(-1, more.shape[1])
+            for at in range(0, w, 2):
+                own = t[at : at + 2]
+                table = own[0] if len(own) == 1 else (own[0][:, None, :] + own[1]).reshape(-1, own[0].shape[1])
                 parts.append((at, len(own), f32(table)))
             self.parts.append((w, parts, f32(network.p[f"b{w}"])))
 
@@ -126,7 +126,6 @@ class Compiled:
         """windows: (n, WINDOW) of classes."""
         x = np.ascontiguousarray(windows.T).astype(np.intp)
         codes = {1: x, 2: x[:-1] * CLASSES + x[1:]}
-        codes[3] = codes[2][:-1] * CLASSES + x[2:]
         features = []
         for w, parts, bias in self.parts:
             span = WINDOW - w + 1
@@ -148,24 +147,43 @@ def windows_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return FOLD[np.frombuffer(joined, np.uint8)].reshape(-1, WINDOW), n
 
 
-def train(docs: DataFrame, per_language: int = 1200, languages: int = 64, cut: int = 1024, epochs: int = 6) -> Compiled | None:
-    """docs: text, lang. Learns from at most about `per_language` rows (by a hash of the text) of each of the `languages`
-    most frequent languages, one passage of `cut` characters of each; that much reaches the driver."""
+def drawn_windows(known: DataFrame, shares: dict[str, float], seed: int = 17) -> DataFrame:
+    """lang, window, mark: of all windows of the texts of `known` (text, lang) those whose hash falls below their language's
+    share; equal windows of a language are drawn together and stay one row."""
+    edge = {name: int(share * 2.0**64) for name, share in shares.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+                windows, _ = windows_of([body])
+                marks = np.array([xxhash.xxh64_intdigest(w.tobytes(), seed) for w in windows], np.uint64)
+                keep = np.flatnonzero(marks <= np.uint64(min(edge[name], 2**64 - 1)))
+                if len(keep):
+                    columns = [pa.array([name] * len(keep), pa.string()), pa.array([windows[i].tobytes() for i in keep], pa.binary()), pa.array(marks[keep].view(np.int64), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "window", "mark"])
+
+    return known.select("lang", text_of().cast("binary")).mapInArrow(run, "lang string, window binary, mark long").distinct()
+
+
+def train(docs: DataFrame, per_language: int = 4800, most: int = 200_000, epochs: int = 6) -> Compiled | None:
+    """docs: text, lang. A labelled row is a window: all windows of all texts can be drawn, by their hash, and at most
+    `per_language` of each language are learned from (fewer where all languages together would exceed `most`); no more than
+    `most` windows of 256 bytes, and one for each language beyond that many languages, reach the driver."""
     known = docs.where(F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    windows_each = F.greatest(F.lit(1), F.ceil(F.octet_length(text_of()) / WINDOW))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(windows_each).alias("n")).collect()}
     if not counts:
         return None
-    mark = F.xxhash64("text", F.lit(17))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
-    offset = F.pmod(F.shiftright(mark, 20), F.greatest(F.length("text") - cut, F.lit(1))) + 1
-    drawn = known.where(F.pmod(mark, F.lit(1_000_000)) < share * 1_000_000)
-    sample = drawn.select("lang", F.substring("text", offset.cast("int"), F.lit(cut)).alias("text")).limit(2 * per_language * len(counts)).toPandas().sort_values(["lang", "text"])
+    bound = max(1, min(per_language, most // len(counts)))
+    drawn = drawn_windows(known, {name: bound / n for name, n in counts.items()})
+    order = Window.partitionBy("lang").orderBy("mark", "window")  # about `bound` rows a language
+    sample = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound).toPandas().sort_values(["lang", "rank"])
     labels = sorted(counts)
-    windows, n = windows_of([t.encode() for t in sample.text])
-    y = np.repeat(np.array([labels.index(x) for x in sample.lang]), n)
     network = Network(labels)
     if len(sample):
-        network.fit(windows, y, epochs)
+        place = {name: i for i, name in enumerate(labels)}
+        windows = np.frombuffer(b"".join(map(bytes, sample.window)), np.uint8).reshape(-1, WINDOW)
+        network.fit(windows, sample.lang.map(place).to_numpy(), epochs)
     return network.compiled()
 
 

@@ -151,7 +151,7 @@ def test_collisions_find_most_and_verify_few():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[5000:5010] = x[0]
     own = np.arange(0, 10_000, 250)
-    found = ann.Arrays(x, 192, 7).collide(x[own], own, 5, share=0.8, sigmas=1.0)
+    found = ann.Arrays(x, 128, 7).collide(x[own], own, 5, share=0.75, sigmas=1.0)
     s = x[own] @ x.T
     s[np.arange(len(own)), own] = -9
     hits = sum(len(set(np.argsort(-s[i])[:5].tolist()) & set(c.tolist())) for i, c in enumerate(found) if i)
@@ -177,7 +177,7 @@ def test_multi_index_is_exact():
 def test_network_gradients_and_tables():
     net = langid.Network(["a", "b"], filters=3, size=4)
     rng = np.random.default_rng(6)
-    x, y = rng.integers(0, 64, (5, 20)), np.array([0, 1, 0, 1, 1])
+    x, y = rng.integers(0, langid.CLASSES, (5, 20)), np.array([0, 1, 0, 1, 1])
     _, g = net.gradients(x, y)
     for k, p in net.p.items():
         i = tuple(0 for _ in p.shape) if k != "emb" else (int(x[0, 3]), 1)
@@ -187,7 +187,7 @@ def test_network_gradients_and_tables():
         low, _ = net.gradients(x, y)
         p[i] += 1e-5
         assert abs(g[k][i] - (high - low) / 2e-5) < 1e-6
-    w = rng.integers(0, 64, (4, langid.WINDOW))
+    w = rng.integers(0, langid.CLASSES, (4, langid.WINDOW))
     features = []
     for n in net.widths:
         r = sum(t[w[:, j : j + langid.WINDOW - n + 1]] for j, t in enumerate(net.tables(n)))

@@ -178,6 +178,24 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_languages_learn_from_whole_texts(spark):
+    """Any window of a text can be drawn, whatever its length; no language is left out; the bound holds."""
+    rng = random.Random(7)
+    body = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, body(rng.choice([5, 300, 256, 40_000])), f"l{i % 70}", "s") for i in range(140)] + [(900, "ж" * 300, "l0", "s")] * 2
+    docs = table(spark, rows).select("text", "lang")
+    want = set()
+    for _, text, lang, _ in rows:
+        windows, _ = langid.windows_of([text.encode()])
+        want |= {(lang, w.tobytes()) for w in windows}
+    got = [(r.lang, bytes(r.window)) for r in langid.drawn_windows(docs, {f"l{i}": 1.0 for i in range(70)}).collect()]
+    assert len(got) == len(want) and set(got) == want
+    half = langid.drawn_windows(docs, {f"l{i}": 0.5 for i in range(70)}).count()
+    assert 0.4 * len(want) < half < 0.6 * len(want)
+    assert langid.train(docs, per_language=3, epochs=1).labels == sorted({lang for _, _, lang, _ in rows})
+    assert len({langid.FOLD[b] for b in range(0xC0, 0x100)}) == 64
+
+
 def test_quality(spark):
     rng = random.Random(8)
     plain = lambda: " ".join(rng.choice(["a", "mild", "story", "went", "home"]) + rng.choice(["", ","]) for _ in range(40))
