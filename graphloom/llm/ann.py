@@ -85,7 +85,7 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding", projections: int = 192, share: float = 0.8, sigmas: float = 1.0, block: int = 16384, query_block: int = 256, seed: int = 7) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding", projections: int = 128, share: float = 0.75, sigmas: float = 1.0, block: int = 16384, query_block: int = 256, seed: int = 7) -> DataFrame:
     """query_id, rank, the id column, score (cosine in double precision)."""
     number = F.col(column).cast("array<double>")
     finite = F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(number, lambda x: x != 0)

@@ -33,7 +33,7 @@ def search(rows: DataFrame, is_query: Column, index: Callable[[np.ndarray, pa.Ar
     mark = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")
     data = rows.select(mark.alias("b"), F.lit(False).alias("query"), "id", "payload")
     asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("query"), "id", "payload")
-    both = data.unionByName(asked).repartition("b").sortWithinPartitions("b", "query", "id", F.xxhash64("payload"))
+    both = data.unionByName(asked).repartition(blocks, "b").sortWithinPartitions("b", "query", "id", F.xxhash64("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ask, held, queries = -1, None, [], []
