@@ -120,14 +120,45 @@ def evaluate(rows: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
     return out.select("label", "precision", "recall", ratio(2 * p * r, p + r).alias("f1"), F.col("true").alias("support"))
 
 
-def negative_samples(positives: DataFrame, target: int | None = None, seed: int = 13) -> DataFrame:
-    """positives: group_id, head, tail. Ordered pairs of a group's ends that are not positive, in hash order; endpoints
-    meet on the group id. target: how many at most."""
-    ends = positives.select("group_id", F.explode(F.array("head", "tail")).alias("end")).distinct()
+def _ends(positives: DataFrame) -> DataFrame:
+    """group_id, end: the distinct ends of each group that are not blank."""
+    trimmed = F.array(F.trim(F.col("head").cast("string")), F.trim(F.col("tail").cast("string")))
+    return positives.select("group_id", F.explode(F.filter(trimmed, lambda x: x != "")).alias("end")).distinct()
+
+
+def negative_samples(positives: DataFrame, ratio: float = 1.0, most: int | None = None, seed: int = 13) -> DataFrame:
+    """positives: group_id, head, tail. Ordered pairs of a group's ends that are not positive, the first in hash order: as
+    many as `ratio` times the positives (one at least, of any), and `most` at most. The group is a paper and a sentence,
+    so its ends are few."""
+    n = positives.count()
+    target = max(int(n * ratio), 1 if ratio > 0 and n else 0)
+    target = target if most is None else min(target, most)
+    ends = _ends(positives)
     pairs = ends.withColumnRenamed("end", "head").join(ends.withColumnRenamed("end", "tail"), "group_id").where("head <> tail")
-    new = pairs.join(positives.select("group_id", "head", "tail"), ["group_id", "head", "tail"], "left_anti").withColumn("label", F.lit("NO_RELATION"))
-    order = shuffled(seed, "group_id", "head", "tail")
-    return new if target is None else new.orderBy(order).limit(target)
+    known = positives.select("group_id", F.trim(F.col("head").cast("string")).alias("head"), F.trim(F.col("tail").cast("string")).alias("tail"))
+    new = pairs.join(known, ["group_id", "head", "tail"], "left_anti").withColumn("_h", shuffled(seed, "group_id", "head", "tail"))
+    kept = number_rows(new, ["_h", "group_id", "head", "tail"], "_r").where(F.col("_r") <= target)
+    return kept.select("group_id", "head", "tail", F.lit("NO_RELATION").alias("label"))
+
+
+def negative_report(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """One row: positive, negative, skipped (positives of groups with less than two ends), warnings."""
+    whole = _ends(positives).groupBy("group_id").agg(F.count("*").alias("ends")).where("ends > 1")
+    skipped = positives.join(whole, positives["group_id"].eqNullSafe(whole["group_id"]), "left_anti").agg(F.count("*").alias("skipped"))
+    counts = positives.agg(F.count("*").alias("positive")).join(negatives.agg(F.count("*").alias("negative"))).join(skipped)  # a row each
+    none = F.col("positive") == 0
+    warnings = said((none, "no positive relation examples found"), (~none & (F.col("negative") == 0), "no synthetic negatives could be generated"))
+    return counts.withColumn("warnings", F.array_join(warnings, "; "))
+
+
+def governance(leaks: DataFrame, ready: DataFrame, counts: DataFrame) -> DataFrame:
+    """check, passed: of the leakage pairs (a, b, shared), of readiness (task, ready) and of row counts (key, n), and
+    `overall`, which passes if all of them do."""
+    a = leaks.select(F.concat_ws(":", F.lit("leakage"), "a", "b").alias("check"), (F.col("shared") == 0).alias("passed"))
+    b = ready.select(F.concat_ws(":", F.lit("readiness"), "task").alias("check"), F.col("ready").alias("passed"))
+    c = counts.select(F.concat_ws(":", F.lit("rows"), "key").alias("check"), (F.col("n") > 0).alias("passed"))
+    checks = a.unionByName(b).unionByName(c)
+    return checks.unionByName(checks.agg(F.lit("overall").alias("check"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed")))
 
 
 def relation_quality(rows: DataFrame) -> DataFrame:

@@ -136,16 +136,25 @@ def _(spark, sf):
     return D.evaluate(table(spark, sf, "labels").select(F.col("quality").cast("string").alias("true"), F.col("toxic").cast("string").alias("pred")), ("9",))
 
 
-_NEG = "e AS (SELECT DISTINCT l_orderkey AS group_id, 'p' || l_partkey::VARCHAR AS head, 's' || l_suppkey::VARCHAR AS tail FROM lineitem), n AS (SELECT group_id, head AS z FROM e UNION SELECT group_id, tail FROM e), g AS (SELECT a.group_id, a.z AS head, b.z AS tail, 'NO_RELATION' AS label FROM n a JOIN n b ON a.group_id = b.group_id AND a.z <> b.z WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.group_id = a.group_id AND e.head = a.z AND e.tail = b.z))"
+_NEG = """e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS group_id, 'p' || l_partkey::VARCHAR AS head, 's' || l_suppkey::VARCHAR AS tail FROM lineitem),
+n AS MATERIALIZED (SELECT group_id, head AS z FROM e UNION SELECT group_id, tail FROM e),
+c AS (SELECT a.group_id, a.z AS head, b.z AS tail FROM n a JOIN n b ON a.group_id = b.group_id WHERE a.z <> b.z),
+g AS MATERIALIZED (SELECT c.*, 'NO_RELATION' AS label FROM c ANTI JOIN e ON c.group_id = e.group_id AND c.head = e.head AND c.tail = e.tail ORDER BY sha256('13|' || c.group_id::VARCHAR || '|' || c.head || '|' || c.tail) LIMIT (SELECT count(*) FROM e))"""
 
 
 def positives(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("head"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("tail")).distinct()
 
 
-@query("negative_samples", f"WITH {_NEG} SELECT * FROM g ORDER BY sha256('13|' || group_id::VARCHAR || '|' || head || '|' || tail) LIMIT 5000")
+@query("negative_samples", f"WITH {_NEG} SELECT * FROM g")
 def _(spark, sf):
-    return D.negative_samples(positives(spark, sf), 5000)
+    return D.negative_samples(positives(spark, sf))
+
+
+@query("negative_report", f"WITH {_NEG} SELECT (SELECT count(*) FROM e) AS positive, (SELECT count(*) FROM g) AS negative, 0::BIGINT AS skipped, '' AS warnings")
+def _(spark, sf):
+    p = positives(spark, sf)
+    return D.negative_report(p, D.negative_samples(p))
 
 
 @query("merge_relation_pack", f"WITH {_NEG} SELECT group_id, head, tail, 'TARGETS' AS label, false AS synthetic FROM e UNION ALL SELECT group_id, head, tail, label, true FROM g")
@@ -265,13 +274,15 @@ def _(spark, sf):
     return D.split_by_group(gold(spark, sf), "source_pmid").groupBy("task", "split", "label").agg(F.count("*").alias("n"))
 
 
-@query("training_governance")
-def _(spark, sf):
-    """Leakage, readiness and provenance checks in one table, with a verdict."""
-    leaks = D.leakage(grouped(spark, sf), "source_pmid", "split").select(F.concat_ws(":", F.lit("leakage"), "a", "b").alias("check"), (F.col("shared") == 0).alias("passed"))
-    ready = D.readiness(examples(spark, sf)).select(F.concat_ws(":", F.lit("readiness"), "task").alias("check"), F.col("ready").alias("passed"))
-    kept = R.counts_by(examples(spark, sf), "task").select(F.concat_ws(":", F.lit("rows"), "key").alias("check"), (F.col("n") > 0).alias("passed"))
-    return leaks.unionByName(ready).unionByName(kept)
-
+_GOVERN = f"""{_X}, s AS (SELECT source_pmid, split FROM x JOIN ({_GROUP}) USING (source_pmid)), {_LEAK},
+c AS (SELECT task, label, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT 'leakage:' || a || ':' || b AS check, shared = 0 AS passed FROM l
+UNION ALL SELECT 'readiness:' || task, sum(n) >= 10 AND min(n) >= 2 AND max(n)::DOUBLE / sum(n) <= 0.85 FROM c GROUP BY task
+UNION ALL SELECT 'rows:' || task, count(*) > 0 FROM x GROUP BY task)"""
 
 
+@query("training_governance", f"WITH {_GOVERN} SELECT * FROM k UNION ALL SELECT 'overall', coalesce(bool_and(passed), true) FROM k")
+def _(spark, sf):
+    """Leakage, readiness and row counts in one table, with a verdict."""
+    leaks = D.leakage(grouped(spark, sf), "source_pmid", "split")
+    return D.governance(leaks, D.readiness(examples(spark, sf)), R.counts_by(examples(spark, sf), "task"))

@@ -109,8 +109,25 @@ def test_groups_stay_together(spark):
 
 def test_negatives_are_never_positive(spark):
     p = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (2, "a", "b")], "group_id int, head string, tail string")
-    got = {(r.group_id, r.head, r.tail) for r in D.negative_samples(p).collect()}
-    assert got == {(1, "b", "a"), (1, "c", "b"), (1, "a", "c"), (1, "c", "a"), (2, "b", "a")}
+    every = {(1, "b", "a"), (1, "c", "b"), (1, "a", "c"), (1, "c", "a"), (2, "b", "a")}
+    take = lambda **how: {(r.group_id, r.head, r.tail) for r in D.negative_samples(p, **how).collect()}
+    assert take(ratio=9) == every and len(take()) == 3 and take() < every
+    assert len(take(ratio=9, most=2)) == 2 and len(take(ratio=0.1)) == 1 and not take(ratio=0)
+
+
+def test_negative_report_counts_what_is_skipped(spark):
+    p = spark.createDataFrame([(1, "a", "b"), (2, "a", " "), (3, "a", "a"), (None, None, "b")], "group_id int, head string, tail string")
+    got = D.negative_report(p, D.negative_samples(p)).first()
+    assert got.asDict() == {"positive": 4, "negative": 1, "skipped": 3, "warnings": ""}
+    none = p.where("false")
+    assert D.negative_report(none, D.negative_samples(none)).first().warnings == "no positive relation examples found"
+
+
+def test_governance_verdict(spark):
+    leaks = spark.createDataFrame([("test", "train", 2)], "a string, b string, shared long")
+    ready, counts = spark.createDataFrame([("t", True)], "task string, ready boolean"), spark.createDataFrame([("t", 3)], "key string, n long")
+    assert {r.check: r.passed for r in D.governance(leaks, ready, counts).collect()} == {"leakage:test:train": False, "readiness:t": True, "rows:t": True, "overall": False}
+    assert D.governance(leaks.where("false"), ready, counts).where("check = 'overall'").first().passed
 
 
 def test_numbers_over_ranges(spark):
