@@ -151,6 +151,44 @@ def negative_report(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return counts.withColumn("warnings", F.array_join(warnings, "; "))
 
 
+def unmatched_keys(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The keys of rows that `others` lacks."""
+    return rows.select(key).join(others.select(key), key, "left_anti")
+
+
+def dataset_summary(rows: DataFrame, expected: tuple[str, ...] = ()) -> DataFrame:
+    """task, label, n; expected labels that a task lacks with 0."""
+    want = F.array(*map(F.lit, expected)).cast("array<string>")
+    missing = rows.groupBy("task").agg(F.array_except(want, F.collect_set("label")).alias("m")).select("task", F.explode("m").alias("label"), F.lit(0).cast("long").alias("n"))
+    return rows.groupBy("task", "label").agg(F.count("*").alias("n")).unionByName(missing)
+
+
+def label_drift(rows: DataFrame, part: str, expected: tuple[str, ...]) -> DataFrame:
+    """Per part the labels that are not expected, and those that are missing."""
+    want = F.array(*map(F.lit, expected)).cast("array<string>")
+    have = rows.groupBy(part).agg(F.collect_set("label").alias("have"))
+    listed = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ";")
+    return have.select(part, listed(F.col("have"), want).alias("unexpected"), listed(want, F.col("have")).alias("missing"))
+
+
+def label_coverage(rows: DataFrame, expected: tuple[str, ...]) -> DataFrame:
+    """check, passed: whether all labels of the data are expected, and all expected ones in the data."""
+    want = F.array(*map(F.lit, expected)).cast("array<string>")
+    have = rows.agg(F.collect_set("label").alias("have"))
+    check = lambda name, a, b: F.struct(F.lit(name).alias("check"), (F.size(F.array_except(a, b)) == 0).alias("passed"))
+    return have.select(F.inline(F.array(check("data_in_config", F.col("have"), want), check("config_in_data", want, F.col("have")))))
+
+
+def import_summary(rows: DataFrame) -> DataFrame:
+    """Per status of imported rows: n, missing labels."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("missing"))
+
+
+def provenance_audit(rows: DataFrame, low: Column) -> DataFrame:
+    """Per source: rows, missing_id, low (rows for which the condition holds)."""
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.trim(F.coalesce("item_id", F.lit(""))) == "").alias("missing_id"), F.count_if(low).alias("low"))
+
+
 def governance(leaks: DataFrame, ready: DataFrame, counts: DataFrame) -> DataFrame:
     """check, passed: of the leakage pairs (a, b, shared), of readiness (task, ready) and of row counts (key, n), and
     `overall`, which passes if all of them do."""

@@ -96,6 +96,32 @@ def curated_evidence(predictions: DataFrame, decisions: DataFrame) -> DataFrame:
     return met.where("review_status <> 'rejected'").select("item_id", "source_pmid", "prediction", "confidence", "review_status", tier.alias("curated_evidence_tier"))
 
 
+def reviewed_summary(decisions: DataFrame) -> DataFrame:
+    """Per review status: n, new_relations, new_tiers."""
+    return decisions.groupBy("review_status").agg(F.count("*").alias("n"), F.count("corrected_relation").alias("new_relations"), F.count("corrected_tier").alias("new_tiers"))
+
+
+def curated_audit(curated: DataFrame) -> DataFrame:
+    """Per review status: n, invalid_tier, unlinked (items whose id is not that of their paper)."""
+    unlinked = ~F.col("item_id").eqNullSafe(F.concat(F.lit("prediction:"), "source_pmid"))
+    return curated.groupBy("review_status").agg(F.count("*").alias("n"), F.count_if(F.col("curated_evidence_tier").isNull()).alias("invalid_tier"), F.count_if(unlinked).alias("unlinked"))
+
+
+def load_guard(overlay: DataFrame) -> DataFrame:
+    """One row of an overlaid edge table: relations, overlay_relations, pending, missing_original, safe_to_load."""
+    p = F.col("properties")
+    over = F.map_contains_key(p, "evidence_overlay_tier")
+    out = overlay.agg(F.count("*").alias("relations"), F.count_if(over).alias("overlay_relations"), F.count_if(over & (p["evidence_overlay_review_status"] == "pending")).alias("pending"), F.count_if(over & ~F.map_contains_key(p, "evidence_overlay_original_tier")).alias("missing_original"))
+    return out.withColumn("safe_to_load", (F.col("relations") > 0) & (F.col("overlay_relations") > 0) & (F.col("pending") == 0) & (F.col("missing_original") == 0))
+
+
+def quality_gate(guard: DataFrame) -> DataFrame:
+    """name, passed, all_passed: load_guard()'s row as checks."""
+    check = lambda name, passed: F.struct(F.lit(name).alias("name"), passed.alias("passed"))
+    checks = F.array(check("relations", F.col("relations") > 0), check("overlay", F.col("overlay_relations") > 0), check("pending", F.col("pending") == 0))
+    return guard.select(F.inline(checks), F.col("safe_to_load").alias("all_passed"))
+
+
 def evidence_overlay(edges: DataFrame, curated: DataFrame, pending: bool = False) -> DataFrame:
     """Sets the tier of a paper's edges to the best curated tier of the paper (one row a paper before the join); keeps
     the original in the properties."""

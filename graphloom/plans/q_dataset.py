@@ -70,7 +70,7 @@ def _(spark, sf):
 
 @query("unmatched_keys", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return D.unmatched_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
 _MAP = "m AS (SELECT task, label, CAST(row_number() OVER (PARTITION BY task ORDER BY label) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT task, label FROM x))"
@@ -118,9 +118,7 @@ def _(spark, sf):
 
 @query("dataset_summary", f"WITH {_X} SELECT task, label, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT task, '2/2/xx', 0 FROM (SELECT DISTINCT task FROM x)")
 def _(spark, sf):
-    e = examples(spark, sf)
-    missing = e.groupBy("task").agg(F.array_except(F.array(F.lit("2/2/xx")), F.collect_set("label")).alias("m")).select("task", F.explode("m").alias("label"), F.lit(0).cast("long").alias("n"))
-    return e.groupBy("task", "label").agg(F.count("*").alias("n")).unionByName(missing)
+    return D.dataset_summary(examples(spark, sf), ("2/2/xx",))
 
 
 @query("readiness", f"WITH {_X}, c AS (SELECT task, label, count(*) AS n FROM x GROUP BY ALL), a AS (SELECT task, CAST(sum(n) AS BIGINT) AS examples, min(n) AS smallest, max(n)::DOUBLE / sum(n) AS largest_share FROM c GROUP BY task), w AS (SELECT *, concat_ws('; ', CASE WHEN examples < 10 THEN 'too few examples' END, CASE WHEN smallest < 2 THEN 'label with too few examples' END, CASE WHEN largest_share > 0.85 THEN 'dominant label' END) AS warnings FROM a) SELECT *, warnings = '' AS ready FROM w")
@@ -195,17 +193,12 @@ _CONFIG = ("0/0/en", "1/0/en", "1/0/xx")
 
 @query("label_drift", f"WITH {_X}, s AS (SELECT split, list(DISTINCT label) AS have FROM ({_STRAT}) GROUP BY split) SELECT split, array_to_string(list_sort(list_filter(have, lambda y: y NOT IN ({', '.join(map(q, _CONFIG))}))), ';') AS unexpected, array_to_string(list_sort(list_filter([{', '.join(map(q, _CONFIG))}], lambda y: NOT list_contains(have, y))), ';') AS missing FROM s")
 def _(spark, sf):
-    want = F.array(*map(F.lit, _CONFIG))
-    have = stratified(spark, sf).groupBy("split").agg(F.collect_set("label").alias("have"))
-    return have.select("split", F.array_join(F.array_sort(F.array_except("have", want)), ";").alias("unexpected"), F.array_join(F.array_sort(F.array_except(want, F.col("have"))), ";").alias("missing"))
+    return D.label_drift(stratified(spark, sf), "split", _CONFIG)
 
 
 @query("label_coverage_check", f"WITH {_X}, h AS (SELECT list(DISTINCT label) AS have FROM x) SELECT 'data_in_config' AS check, len(list_filter(have, lambda y: y NOT IN ({', '.join(map(q, _CONFIG))}))) = 0 AS passed FROM h UNION ALL SELECT 'config_in_data', len(list_filter([{', '.join(map(q, _CONFIG))}], lambda y: NOT list_contains(have, y))) = 0 FROM h")
 def _(spark, sf):
-    want = F.array(*map(F.lit, _CONFIG))
-    have = examples(spark, sf).agg(F.collect_set("label").alias("have"))
-    checks = F.array(F.struct(F.lit("data_in_config").alias("check"), (F.size(F.array_except("have", want)) == 0).alias("passed")), F.struct(F.lit("config_in_data").alias("check"), (F.size(F.array_except(want, F.col("have"))) == 0).alias("passed")))
-    return have.select(F.inline(checks))
+    return D.label_coverage(examples(spark, sf), _CONFIG)
 
 
 @query("annotation_export", f"WITH {CURATED} SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label, review_status FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL")
@@ -236,12 +229,12 @@ def _(spark, sf):
 
 @query("fixture_import", f"WITH {_TWO} SELECT status, count(*) AS n, count(*) FILTER (WHERE label IS NULL) AS missing FROM o GROUP BY status")
 def _(spark, sf):
-    return observations(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("missing"))
+    return D.import_summary(observations(spark, sf))
 
 
 @query("training_provenance_audit", f"WITH {_X} SELECT source, count(*) AS rows, count(*) FILTER (WHERE trim(item_id) = '') AS missing_id, count(*) FILTER (WHERE label LIKE '0/%') AS low FROM x GROUP BY source")
 def _(spark, sf):
-    return examples(spark, sf).groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.trim("item_id") == "").alias("missing_id"), F.count_if(F.col("label").like("0/%")).alias("low"))
+    return D.provenance_audit(examples(spark, sf), F.col("label").like("0/%"))
 
 
 @query("adapt_training_row", f"WITH {_X} SELECT item_id AS id, task, text, label AS labels FROM x")

@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("reviewed_queue_summary", f"WITH {DECISIONS} SELECT review_status, count(*) AS n, count(corrected_relation) AS new_relations, count(corrected_tier) AS new_tiers FROM d GROUP BY review_status")
 def _(spark, sf):
-    return decisions(spark, sf).groupBy("review_status").agg(F.count("*").alias("n"), F.count("corrected_relation").alias("new_relations"), F.count("corrected_tier").alias("new_tiers"))
+    return R.reviewed_summary(decisions(spark, sf))
 
 
 @query("curated_graph_export", f"WITH {EDGES}, {DECISIONS} SELECT record_id, relation_index, CASE WHEN review_status = 'corrected' THEN coalesce(corrected_relation, relation) ELSE relation END AS relation, CASE WHEN review_status = 'corrected' THEN coalesce(corrected_tier, evidence_tier) ELSE evidence_tier END AS evidence_tier, CASE WHEN review_status IN ('accepted', 'corrected') THEN review_status END AS curation_status FROM e LEFT JOIN d ON item_id = 'relation:' || record_id || ':' || relation_index::VARCHAR WHERE coalesce(review_status, 'pending') <> 'rejected'")
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("curated_evidence_audit", f"WITH {CURATED} SELECT review_status, count(*) AS n, count(*) FILTER (WHERE curated_evidence_tier IS NULL) AS invalid_tier, count(*) FILTER (WHERE item_id <> 'prediction:' || source_pmid) AS unlinked FROM c GROUP BY review_status")
 def _(spark, sf):
-    return curated(spark, sf).groupBy("review_status").agg(F.count("*").alias("n"), F.count_if(F.col("curated_evidence_tier").isNull()).alias("invalid_tier"), F.count_if(F.col("item_id") != F.concat(F.lit("prediction:"), "source_pmid")).alias("unlinked"))
+    return R.curated_audit(curated(spark, sf))
 
 
 @query("search_curated_evidence", f"WITH {CURATED} SELECT item_id, review_status FROM c WHERE curated_evidence_tier = 3 AND review_status = 'accepted' AND contains(source_pmid, '1') ORDER BY item_id LIMIT 50")
@@ -103,10 +103,7 @@ def _(spark, sf):
 
 
 def guard(spark, sf):
-    p = F.col("properties")
-    over = F.map_contains_key(p, "evidence_overlay_tier")
-    out = overlay(spark, sf).agg(F.count("*").alias("relations"), F.count_if(over).alias("overlay_relations"), F.count_if(over & (p["evidence_overlay_review_status"] == "pending")).alias("pending"), F.count_if(over & ~F.map_contains_key(p, "evidence_overlay_original_tier")).alias("missing_original"))
-    return out.withColumn("safe_to_load", (F.col("relations") > 0) & (F.col("overlay_relations") > 0) & (F.col("pending") == 0) & (F.col("missing_original") == 0))
+    return R.load_guard(overlay(spark, sf))
 
 
 @query("overlay_load_guard", f"WITH {OVERLAY} SELECT count(*) AS relations, count(*) FILTER (WHERE hit) AS overlay_relations, 0::BIGINT AS pending, 0::BIGINT AS missing_original, count(*) FILTER (WHERE hit) > 0 AS safe_to_load FROM o")
@@ -116,8 +113,7 @@ def _(spark, sf):
 
 @query("quality_gate", f"WITH {OVERLAY}, x AS (SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM o) SELECT 'relations' AS name, n > 0 AS passed, n > 0 AND h > 0 AS all_passed FROM x UNION ALL SELECT 'overlay', h > 0, n > 0 AND h > 0 FROM x UNION ALL SELECT 'pending', true, n > 0 AND h > 0 FROM x")
 def _(spark, sf):
-    checks = F.array(F.struct(F.lit("relations").alias("name"), (F.col("relations") > 0).alias("passed")), F.struct(F.lit("overlay").alias("name"), (F.col("overlay_relations") > 0).alias("passed")), F.struct(F.lit("pending").alias("name"), (F.col("pending") == 0).alias("passed")))
-    return guard(spark, sf).select(F.inline(checks), F.col("safe_to_load").alias("all_passed"))
+    return R.quality_gate(guard(spark, sf))
 
 
 @query("qualifier_enrich", f"WITH {EDGES}, w AS (SELECT e.*, {sql_first_match(sql_fold("coalesce(text, '')"), rules.SPECIES)} AS sp, {sql_first_match(sql_fold("coalesce(text, '')"), rules.PHASES)} AS ph, {sql_first_match(sql_fold("coalesce(text, '')"), rules.CONTEXTS)} AS cx FROM e LEFT JOIN documents ON doc_id::VARCHAR = record_id) SELECT record_id, relation_index, CASE WHEN flag = 'A' THEN 'human' ELSE sp END AS species_model, ph AS trial_phase, cx AS evidence_context, concat_ws(';', CASE WHEN flag <> 'A' AND sp IS NOT NULL THEN 'species_model' END, CASE WHEN ph IS NOT NULL THEN 'trial_phase' END, CASE WHEN cx IS NOT NULL THEN 'evidence_context' END) AS added FROM w")

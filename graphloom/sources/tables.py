@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
+    """spark.checkpoint.dir; a folder of our own only where that is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
