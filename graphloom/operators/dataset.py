@@ -6,9 +6,11 @@ examples: task, item_id, source_pmid, text, label (and what else a task has).
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from graphloom.functions.text import first_filled, half_even, said
 from graphloom.operators.review import number_rows
@@ -79,6 +81,23 @@ def mask_labels(mask: Column | str, label_id: Column) -> Column:
     return F.transform(mask, lambda m: F.when(m == 1, label_id).otherwise(F.lit(-100)))
 
 
+def tokenize(rows: DataFrame, tokenizer: Callable[[list[str]], list[list[int]]], keep: tuple[str, ...], multiple: int = 8, most: int | None = None) -> DataFrame:
+    """keep, input_ids, attention_mask: texts by a user's tokenizer, a batch at a time, padded with 0 to a multiple of a
+    length; cut only if `most` is given. Null texts are empty."""
+
+    def batches(parts):
+        for part in parts:
+            ids = [x[:most] for x in tokenizer(part["text"].fillna("").tolist())]
+            pad = [-len(x) % multiple for x in ids]
+            out = part[list(keep)].copy()
+            out["input_ids"] = [[*x, *[0] * n] for x, n in zip(ids, pad)]
+            out["attention_mask"] = [[1] * len(x) + [0] * n for x, n in zip(ids, pad)]
+            yield out
+
+    schema = StructType([*(rows.schema[c] for c in keep), StructField("input_ids", ArrayType(LongType())), StructField("attention_mask", ArrayType(IntegerType()))])
+    return rows.select(*keep, "text").mapInPandas(batches, schema)
+
+
 def repair_labels(rows: DataFrame, *fallbacks: str) -> DataFrame:
     """Fills a missing label from the first filled of other columns; `repaired` tells which."""
     label = first_filled("label", *fallbacks)
@@ -189,16 +208,38 @@ def provenance_audit(rows: DataFrame, low: Column) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.trim(F.coalesce("item_id", F.lit(""))) == "").alias("missing_id"), F.count_if(low).alias("low"))
 
 
-def governance(leaks: DataFrame, ready: DataFrame, counts: DataFrame) -> DataFrame:
-    """check, passed: of the leakage pairs (a, b, shared), of readiness (task, ready) and of row counts (key, n), and
-    `overall`, which passes if all of them do."""
-    a = leaks.select(F.concat_ws(":", F.lit("leakage"), "a", "b").alias("check"), (F.col("shared") == 0).alias("passed"))
-    b = ready.select(F.concat_ws(":", F.lit("readiness"), "task").alias("check"), F.col("ready").alias("passed"))
-    c = counts.select(F.concat_ws(":", F.lit("rows"), "key").alias("check"), (F.col("n") > 0).alias("passed"))
-    checks = a.unionByName(b).unionByName(c)
+def governance(leaks: DataFrame, ready: DataFrame, counts: DataFrame, drift: DataFrame | None = None, provenance: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """check, passed: of the leakage pairs (a, b, shared), of readiness (task, ready), of row counts (key, n), of label drift
+    (split, unexpected, missing; it blocks only if strict) and of provenance (source, missing_id), and `overall`, which
+    passes if all of them do."""
+    named = lambda df, kind, passed, *key: df.select(F.concat_ws(":", F.lit(kind), *key).alias("check"), passed.alias("passed"))
+    parts = [named(leaks, "leakage", F.col("shared") == 0, "a", "b"), named(ready, "readiness", F.col("ready"), "task"), named(counts, "rows", F.col("n") > 0, "key")]
+    if drift is not None:
+        parts.append(named(drift, "drift", F.lit(not strict) | ((F.col("unexpected") == "") & (F.col("missing") == "")), "split"))
+    if provenance is not None:
+        parts.append(named(provenance, "provenance", F.col("missing_id") == 0, "source"))
+    checks = functools.reduce(DataFrame.unionByName, parts)
     return checks.unionByName(checks.agg(F.lit("overall").alias("check"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed")))
 
 
+def gold_pack(seed: DataFrame, *fallbacks: str, per_task: int = 10, per_label: int = 2) -> dict[str, DataFrame]:
+    """seed: source_pmid, task, label, text -> the pack's rows (labels repaired, split by paper, with label ids) and its
+    label map, card, baseline and readiness."""
+    split = split_by_group(repair_labels(seed, *fallbacks), "source_pmid")
+    labels = label_map(split)
+    baseline = majority_baseline(*(split.where(F.col("split") == s) for s in ("train", "test")))
+    return {"rows": apply_label_map(split, labels), "labels": labels, "card": dataset_card(split, "task", "split"), "baseline": baseline, "readiness": readiness(split, per_task, per_label)}
+
+
+def pack_report(pack: dict[str, DataFrame]) -> DataFrame:
+    """section, task, name, value of a gold pack."""
+    line = lambda df, section, name, value: df.select(F.lit(section).alias("section"), "task", F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+    sizes = pack["rows"].groupBy("task", F.concat_ws(":", "split", "label").alias("name")).agg(F.count("*").alias("n"))
+    parts = [line(sizes, "split", "name", "n"), line(pack["labels"], "label", "label", "id"), line(pack["baseline"], "baseline", "majority", "accuracy"), line(pack["readiness"], "ready", "warnings", "ready")]
+    parts += [line(pack["card"], c, "split", c) for c in ("rows", "labels", "missing_text", "duplicates")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def relation_quality(rows: DataFrame) -> DataFrame:
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     key = F.struct("group_id", F.coalesce("head", F.lit("")), F.coalesce("tail", F.lit("")), "label")

@@ -194,6 +194,54 @@ def batch_status(batches: DataFrame, reviewed: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("pending") == 0, "complete").when(F.col("pending") < F.col("items"), "in_review").otherwise("planned"))
 
 
+def finalize_batches(rows: DataFrame, *by: str) -> DataFrame:
+    """rows: by, item_type, review_status, tier, relation_type. Per batch its counts, warnings and `ready`: no row pending,
+    each accepted claim with a tier, each accepted relation with a type, and one accepted claim at least."""
+    status = F.coalesce("review_status", F.lit("pending"))
+    claim, relation = [(status == "accepted") & (F.col("item_type") == t) for t in ("evidence_claim", "graph_relation")]
+    untyped = relation & (F.trim(F.coalesce("relation_type", F.lit(""))) == "")
+    counts = {"pending": status == "pending", "rejected": status == "rejected", "accepted_evidence": claim, "accepted_relations": relation, "_tier": claim & F.col("tier").isNull(), "_type": untyped}
+    out = rows.groupBy(*by).agg(F.count("*").alias("reviewed"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    warnings = said(
+        (F.col("pending") > 0, "rows are pending"),
+        (F.col("_tier") > 0, "accepted evidence without a tier"),
+        (F.col("_type") > 0, "accepted relations without a type"),
+        (F.col("accepted_evidence") == 0, "no accepted evidence"),
+    )
+    out = out.withColumn("warnings", F.array_join(warnings, "; ")).drop("_tier", "_type")
+    return out.withColumn("ready", F.col("warnings") == "")
+
+
+def accepted_examples(rows: DataFrame, final: DataFrame, *by: str) -> DataFrame:
+    """The accepted claims of the batches that finalize_batches() finds ready, as evidence examples."""
+    ready = final.where("ready").select(*by)
+    kept = rows.join(ready, list(by), "left_semi").where("review_status = 'accepted' and item_type = 'evidence_claim'")
+    return kept.select("item_id", F.trim("source_pmid").alias("source_pmid"), F.lit("evidence").alias("task"), F.col("tier").alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.lit(rules.NOTICE).alias("warning"))
+
+
+def open_queue(items: DataFrame, reviewed: DataFrame, reviewer: str = "") -> DataFrame:
+    """Queue items as pending rows of a reviewer, with a hash of the item they were made from; rows that are reviewed already
+    (item_id, review_status, reviewer) stay as they are."""
+    made = F.sha2(F.concat_ws("|", "item_id", F.array_join("reasons", "; ")), 256)
+    new = items.select("item_id", F.lit("pending").alias("review_status"), F.lit(reviewer).alias("reviewer"), made.alias("source_sha256"))
+    return upsert(new, reviewed.select("item_id", "review_status", "reviewer"), "item_id")
+
+
+def handoff(tables: dict[str, DataFrame]) -> DataFrame:
+    """artifact, rows, digest (of the rows in any order) of tables handed over."""
+    one = lambda name, df: df.select(F.xxhash64(F.to_json(F.struct("*"))).alias("h")).agg(F.lit(name).alias("artifact"), F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("digest"))
+    return functools.reduce(DataFrame.unionByName, [one(n, t) for n, t in tables.items()])
+
+
+def handoff_problems(manifest: DataFrame, tables: dict[str, DataFrame], required: tuple[str, ...] = ()) -> DataFrame:
+    """artifact, problem of a manifest's tables that are missing or have other rows now, and of required ones it lacks."""
+    now = handoff(tables).select("artifact", F.col("digest").alias("now"))
+    want = F.explode(F.array(*map(F.lit, required)).cast("array<string>")).alias("artifact")
+    all_of = manifest.join(manifest.sparkSession.range(1).select(want), "artifact", "full_outer").join(now, "artifact", "left")
+    problem = F.when(F.col("digest").isNull(), "not in the manifest").when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("digest"), "checksum mismatch")
+    return all_of.select("artifact", problem.alias("problem")).where("problem is not null")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows win over existing ones of the same key."""
     return new.unionByName(existing.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

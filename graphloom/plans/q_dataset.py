@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import dataset as D
@@ -87,11 +89,20 @@ def _(spark, sf):
     return D.apply_label_map(e, D.label_map(e)).select("item_id", "id")
 
 
-@query("udf_tokenizer_labels", "SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS first, -100 AS last FROM documents")
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def word_lengths(texts: list[str]) -> list[list[int]]:
+    """Stands for a user's tokenizer: a word's number of characters is its id."""
+    return [[len(w) for w in re.findall(_WORD, t)] for t in texts]
+
+
+@query("udf_tokenizer_labels", f"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q(_WORD)}) AS w FROM documents) SELECT doc_id, len(w) AS tokens, CAST(ceil(len(w) / 8.0) * 8 AS INTEGER) AS padded, CAST(coalesce(list_sum(list_transform(w, lambda y: len(y))), 0) AS BIGINT) AS id_sum, CAST(len(w) * (doc_id % 3) - 100 * (ceil(len(w) / 8.0) * 8 - len(w)) AS BIGINT) AS label_sum FROM w")
 def _(spark, sf):
-    mask = F.array(F.lit(1), F.lit(0))
-    labels = D.mask_labels(mask, (F.col("doc_id") % 3).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", labels[0].alias("first"), labels[1].alias("last"))
+    out = D.tokenize(table(spark, sf, "documents"), word_lengths, ("doc_id",))
+    out = out.withColumn("labels", D.mask_labels("attention_mask", (F.col("doc_id") % 3).cast("int")))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", total("attention_mask").alias("tokens"), F.size("labels").alias("padded"), total("input_ids").alias("id_sum"), total("labels").alias("label_sum"))
 
 
 @query("label_repair", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS label, doc_id % 3 = 0 AS repaired FROM documents")
@@ -262,20 +273,39 @@ def _(spark, sf):
     return D.split_by_group(pack(spark, sf).withColumn("group_id", F.col("group_id").cast("string")), "group_id").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query("gold_pack", f"WITH {CURATED}, k AS (SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents), h AS ({_groups('k', 'source_pmid')}) SELECT task, split, label, count(*) AS n FROM k JOIN h USING (source_pmid) GROUP BY ALL")
+_PACK = f"""{CURATED}, k AS (SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label, text FROM c JOIN documents ON doc_id::VARCHAR = source_pmid WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL
+UNION ALL SELECT doc_id::VARCHAR, 'ner', coalesce(nullif(trim(lang), ''), source), text FROM documents), h AS ({_groups('k', 'source_pmid')}), s AS (SELECT k.*, split FROM k JOIN h USING (source_pmid)),
+y AS (SELECT task, label, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT task, arg_max(label, row(n, label)) AS majority FROM (SELECT task, label, count(*) AS n FROM s WHERE split = 'train' GROUP BY ALL) GROUP BY task),
+w AS (SELECT task, concat_ws('; ', CASE WHEN sum(n) < 10 THEN 'too few examples' END, CASE WHEN min(n) < 2 THEN 'label with too few examples' END, CASE WHEN max(n)::DOUBLE / sum(n) > 0.85 THEN 'dominant label' END) AS warnings FROM y GROUP BY task)"""
+
+
+@query("gold_pack", f"""WITH {_PACK} SELECT 'split' AS section, task, split || ':' || label AS name, count(*)::DOUBLE AS value FROM s GROUP BY ALL
+UNION ALL SELECT 'label', task, label, (row_number() OVER (PARTITION BY task ORDER BY label) - 1)::DOUBLE FROM y
+UNION ALL SELECT 'baseline', task, majority, avg(CASE WHEN label = majority THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM s JOIN b USING (task) WHERE split = 'test' GROUP BY ALL
+UNION ALL SELECT 'ready', task, warnings, CASE WHEN warnings = '' THEN 1.0 ELSE 0.0 END FROM w
+UNION ALL SELECT 'rows', task, split, count(*)::DOUBLE FROM s GROUP BY ALL UNION ALL SELECT 'labels', task, split, count(DISTINCT label)::DOUBLE FROM s GROUP BY ALL
+UNION ALL SELECT 'missing_text', task, split, (count(*) FILTER (WHERE trim(coalesce(text, '')) = ''))::DOUBLE FROM s GROUP BY ALL
+UNION ALL SELECT 'duplicates', task, split, (count(*) - count(DISTINCT row(source_pmid, coalesce(text, ''), label)))::DOUBLE FROM s GROUP BY ALL""")
 def _(spark, sf):
-    return D.split_by_group(gold(spark, sf), "source_pmid").groupBy("task", "split", "label").agg(F.count("*").alias("n"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_pmid"), "text", "lang", "source")
+    seed = export(spark, sf).join(docs.select("source_pmid", "text"), "source_pmid").select("source_pmid", "task", "label", "text", F.lit(None).cast("string").alias("source"))
+    ner = docs.select("source_pmid", F.lit("ner").alias("task"), F.col("lang").alias("label"), "text", "source")
+    return D.pack_report(D.gold_pack(seed.unionByName(ner), "source"))
 
 
 _GOVERN = f"""{_X}, s AS (SELECT source_pmid, split FROM x JOIN ({_GROUP}) USING (source_pmid)), {_LEAK},
 c AS (SELECT task, label, count(*) AS n FROM x GROUP BY ALL),
 k AS (SELECT 'leakage:' || a || ':' || b AS check, shared = 0 AS passed FROM l
 UNION ALL SELECT 'readiness:' || task, sum(n) >= 10 AND min(n) >= 2 AND max(n)::DOUBLE / sum(n) <= 0.85 FROM c GROUP BY task
-UNION ALL SELECT 'rows:' || task, count(*) > 0 FROM x GROUP BY task)"""
+UNION ALL SELECT 'rows:' || task, count(*) > 0 FROM x GROUP BY task
+UNION ALL SELECT 'drift:' || split, len(list_filter(have, lambda y: y NOT IN ({', '.join(map(q, _CONFIG))}))) = 0 AND len(list_filter([{', '.join(map(q, _CONFIG))}], lambda y: NOT list_contains(have, y))) = 0 FROM (SELECT split, list(DISTINCT label) AS have FROM x JOIN ({_GROUP}) USING (source_pmid) GROUP BY split)
+UNION ALL SELECT 'provenance:' || source, count(*) FILTER (WHERE trim(item_id) = '') = 0 FROM x GROUP BY source)"""
 
 
 @query("training_governance", f"WITH {_GOVERN} SELECT * FROM k UNION ALL SELECT 'overall', coalesce(bool_and(passed), true) FROM k")
 def _(spark, sf):
-    """Leakage, readiness and row counts in one table, with a verdict."""
-    leaks = D.leakage(grouped(spark, sf), "source_pmid", "split")
-    return D.governance(leaks, D.readiness(examples(spark, sf)), R.counts_by(examples(spark, sf), "task"))
+    """Leakage, readiness, row counts, label drift (strict) and provenance in one table, with a verdict."""
+    rows = examples(spark, sf)
+    split = D.split_by_group(rows.drop("text"), "source_pmid")
+    drift, origin = D.label_drift(split, "split", _CONFIG), D.provenance_audit(rows, F.col("label").like("0/%"))
+    return D.governance(D.leakage(split, "source_pmid", "split"), D.readiness(rows), R.counts_by(rows, "task"), drift, origin, strict=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
@@ -162,10 +165,35 @@ def _(spark, sf):
     return R.batch_status(batches(spark, sf).withColumn("review_status", F.lit(None).cast("string")), prediction_decisions(spark, sf))
 
 
-@query("finalize_batch", f"WITH {_PLAN}, {PREDICTION_DECISIONS} SELECT batch_id, count(*) FILTER (WHERE review_status IS NULL) = 0 AS promotable, count(*) FILTER (WHERE review_status = 'accepted') AS accepted FROM pb LEFT JOIN r USING (item_id) GROUP BY batch_id")
+_FINAL = f"""{EDGES}, {DECISIONS}, {PREDICTIONS}, {PREDICTION_DECISIONS},
+i AS (SELECT CAST(floor(source_pmid::BIGINT / 2) AS BIGINT) AS batch, item_id, 'evidence_claim' AS item_type, source_pmid, text, coalesce(review_status, 'pending') AS review_status, coalesce(corrected_tier, tier) AS tier, NULL AS relation_type FROM p LEFT JOIN r USING (item_id)
+UNION ALL SELECT CAST(floor(record_id::BIGINT / 2) AS BIGINT), item_id, 'graph_relation', record_id, NULL, review_status, coalesce(corrected_tier, evidence_tier), coalesce(corrected_relation, relation) FROM e JOIN d ON item_id = 'relation:' || record_id || ':' || relation_index::VARCHAR),
+n AS (SELECT batch, count(*) AS reviewed, count(*) FILTER (WHERE review_status = 'pending') AS pending, count(*) FILTER (WHERE review_status = 'rejected') AS rejected, count(*) FILTER (WHERE review_status = 'accepted' AND item_type = 'evidence_claim') AS accepted_evidence, count(*) FILTER (WHERE review_status = 'accepted' AND item_type = 'graph_relation') AS accepted_relations, count(*) FILTER (WHERE review_status = 'accepted' AND item_type = 'evidence_claim' AND tier IS NULL) AS x FROM i GROUP BY batch),
+z AS (SELECT * EXCLUDE (x), concat_ws('; ', CASE WHEN pending > 0 THEN 'rows are pending' END, CASE WHEN x > 0 THEN 'accepted evidence without a tier' END, CASE WHEN accepted_evidence = 0 THEN 'no accepted evidence' END) AS warnings FROM n)"""
+
+
+def reviewed_items(spark, sf):
+    """Claims and relations of two papers each as a batch, with their decisions."""
+    from graphloom.functions.text import evidence_tier
+
+    batch = F.floor(F.col("source_pmid").cast("long") / 2).alias("batch")
+    claim = predictions(spark, sf).join(prediction_decisions(spark, sf), "item_id", "left")
+    claim = claim.select(batch, "item_id", F.lit("evidence_claim").alias("item_type"), "source_pmid", "text", "review_status", F.coalesce("corrected_tier", evidence_tier("prediction")).alias("tier"), F.lit(None).cast("string").alias("relation_type"))
+    item = F.concat_ws(":", F.lit("relation"), "record_id", F.col("relation_index").cast("string"))
+    edge = edges(spark, sf).withColumn("item_id", item).withColumn("source_pmid", F.col("record_id")).join(decisions(spark, sf), "item_id")
+    edge = edge.select(batch, "item_id", F.lit("graph_relation").alias("item_type"), "source_pmid", F.lit(None).cast("string").alias("text"), "review_status", F.coalesce("corrected_tier", "evidence_tier").alias("tier"), F.coalesce("corrected_relation", "relation").alias("relation_type"))
+    return claim.unionByName(edge)
+
+
+@query("finalize_batch", f"WITH {_FINAL} SELECT *, warnings = '' AS ready FROM z")
+def _(spark, sf):
+    return R.finalize_batches(reviewed_items(spark, sf), "batch")
+
+
+@query("finalize_batch_examples", f"WITH {_FINAL} SELECT item_id, source_pmid, 'evidence' AS task, tier AS label, coalesce(text, '') AS text, {q(rules.NOTICE)} AS warning FROM i JOIN z USING (batch) WHERE warnings = '' AND review_status = 'accepted' AND item_type = 'evidence_claim'")
 def _(spark, sf):
-    met = batches(spark, sf).join(prediction_decisions(spark, sf), "item_id", "left")
-    return met.groupBy("batch_id").agg((F.count_if(F.col("review_status").isNull()) == 0).alias("promotable"), F.count_if(F.col("review_status") == "accepted").alias("accepted"))
+    rows = reviewed_items(spark, sf)
+    return R.accepted_examples(rows, R.finalize_batches(rows, "batch"), "batch")
 
 
 @query("prediction_queue_build", f"WITH {PREDICTIONS}, z AS (SELECT item_id, tier, {_BASE.replace('0.8', '0.75')} AS reasons FROM p) SELECT item_id, tier, array_to_string(reasons, '; ') AS reasons FROM z WHERE len(reasons) > 0")
@@ -198,9 +226,9 @@ def _(spark, sf):
     return R.upsert(c.select("item_id", "conv_id", "turn", F.lit("old").alias("status")), new, "item_id").select("conv_id", "turn", "status")
 
 
-@query("queue_upsert", "SELECT 'q:' || doc_id::VARCHAR AS item_id, 'pending' AS review_status, 'ann' AS reviewer, sha256(doc_id::VARCHAR) AS source_queue_sha256 FROM labels")
+@query("queue_upsert", f"WITH {_QUEUE}, {DECISIONS} SELECT item_id, review_status, 'bea' AS reviewer, NULL AS source_sha256 FROM d UNION ALL SELECT item_id, 'pending', 'ann', sha256(item_id || '|' || array_to_string(reasons, '; ')) FROM u WHERE item_id NOT IN (SELECT item_id FROM d)")
 def _(spark, sf):
-    return table(spark, sf, "labels").select(F.concat(F.lit("q:"), F.col("doc_id").cast("string")).alias("item_id"), F.lit("pending").alias("review_status"), F.lit("ann").alias("reviewer"), F.sha2(F.col("doc_id").cast("string"), 256).alias("source_queue_sha256"))
+    return R.open_queue(queue(spark, sf), decisions(spark, sf).withColumn("reviewer", F.lit("bea")), "ann")
 
 
 @query("run_registry_upsert", "SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL")
@@ -247,10 +275,21 @@ def _(spark, sf):
     return R.counts_by(R.overlay_diff(edges(spark, sf), overlay(spark, sf)), "change", "before", "after")
 
 
-@query("curation_regression", f"WITH {EDGES} SELECT count(*) AS relations, 0::BIGINT AS lost, 0::BIGINT AS changed FROM e")
+_REGRESSION = f"""SELECT 'relations' AS check, (WITH {EDGES} SELECT count(*) FROM e) AS n UNION ALL SELECT 'lost', 0 UNION ALL SELECT 'changed', 0 UNION ALL SELECT 'handoff_problems', 0
+UNION ALL SELECT 'overlay_relations', (WITH {OVERLAY} SELECT count(*) FILTER (WHERE hit) FROM o) UNION ALL SELECT 'pending', 0 UNION ALL SELECT 'missing_original', 0
+UNION ALL SELECT 'candidates', (WITH {_CANDIDATES} SELECT count(*) FROM a) UNION ALL SELECT 'batches', (WITH {_PLAN} SELECT count(DISTINCT batch_id) FROM pb)"""
+
+
+@query("curation_regression", _REGRESSION)
 def _(spark, sf):
-    """Reverting an overlay gives the graph back."""
-    raw, back = edges(spark, sf).drop("properties"), R.overlay_revert(overlay(spark, sf)).drop("properties")
-    tag = lambda df, name: df.select(F.lit(name).alias("kind"))
-    rows = tag(raw, "relations").unionByName(tag(raw.exceptAll(back), "lost")).unionByName(tag(back.exceptAll(raw), "changed"))
-    return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("relations", "lost", "changed")])
+    """Overlay, its guard, its reversal (which gives the graph back), review batches, and a handoff read again."""
+    from graphloom.sources.tables import written
+
+    raw, over = edges(spark, sf).drop("properties"), overlay(spark, sf)
+    back, planned = R.overlay_revert(over).drop("properties"), batches(spark, sf)
+    made = {"curated_evidence": curated(spark, sf), "overlay": over, "reverted": back}
+    problems = R.handoff_problems(R.handoff(made), {k: written(v) for k, v in made.items()}, tuple(made))
+    n = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))
+    parts = [n(raw, "relations"), n(raw.exceptAll(back), "lost"), n(back.exceptAll(raw), "changed"), n(problems, "handoff_problems"), n(planned, "candidates"), n(planned.select("batch_id").distinct(), "batches")]
+    gate = R.load_guard(over).unpivot([], ["overlay_relations", "pending", "missing_original"], "check", "n")
+    return functools.reduce(DataFrame.unionByName, parts, gate)

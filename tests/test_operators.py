@@ -134,3 +134,63 @@ def test_numbers_over_ranges(spark):
     rows = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(7)
     got = R.number_rows(rows, ["k"]).orderBy("k").select("rn").collect()
     assert [r.rn for r in got] == list(range(1, 1001))
+
+
+def test_batches_are_final_only_when_all_is_decided(spark):
+    rows = spark.createDataFrame(
+        [
+            ("a", "1", "evidence_claim", "7", "t", "accepted", 3, None),
+            ("a", "2", "graph_relation", "7", None, "accepted", None, "TARGETS"),
+            ("b", "3", "evidence_claim", "8", "t", "accepted", None, None),
+            ("b", "4", "graph_relation", "8", None, "accepted", 1, " "),
+            ("c", "5", "evidence_claim", "9", "t", None, 2, None),
+            ("d", "6", "evidence_claim", "9", "t", "rejected", 2, None),
+        ],
+        "batch string, item_id string, item_type string, source_pmid string, text string, review_status string, tier int, relation_type string",
+    )
+    final = R.finalize_batches(rows, "batch")
+    assert {r.batch: (r.ready, r.warnings) for r in final.collect()} == {
+        "a": (True, ""),
+        "b": (False, "accepted evidence without a tier; accepted relations without a type"),
+        "c": (False, "rows are pending; no accepted evidence"),
+        "d": (False, "no accepted evidence"),
+    }
+    assert [(r.item_id, r.label) for r in R.accepted_examples(rows, final, "batch").collect()] == [("1", 3)]
+    assert R.finalize_batches(rows.limit(0), "batch").count() == 0
+
+
+def test_handoff_tells_changed_missing_and_required_tables(spark):
+    a, b = spark.range(5), spark.range(3)
+    manifest = R.handoff({"a": a, "b": b, "e": a.limit(0)})
+    got = R.handoff_problems(manifest, {"a": a.orderBy("id", ascending=False), "b": spark.range(1, 4), "e": a.limit(0)}, ("a", "z"))
+    assert {(r.artifact, r.problem) for r in got.collect()} == {("b", "checksum mismatch"), ("z", "not in the manifest")}
+    assert [(r.artifact, r.problem) for r in R.handoff_problems(manifest, {"a": a, "b": b}).collect()] == [("e", "missing")]
+
+
+def test_reviewed_rows_stay_when_a_queue_opens(spark):
+    items = spark.createDataFrame([("1", ["x"]), ("2", ["y"])], "item_id string, reasons array<string>")
+    done = spark.createDataFrame([("2", "accepted", "bea")], "item_id string, review_status string, reviewer string")
+    got = {r.item_id: (r.review_status, r.reviewer, r.source_sha256 is None) for r in R.open_queue(items, done, "ann").collect()}
+    assert got == {"1": ("pending", "ann", False), "2": ("accepted", "bea", True)}
+
+
+def test_tokenizer_pads_and_masks(spark):
+    rows = spark.createDataFrame([(1, "a bb ccc"), (2, None), (3, "")], "id long, text string")
+    got = D.tokenize(rows, lambda texts: [[len(w) for w in t.split()] for t in texts], ("id",), multiple=4).withColumn("labels", D.mask_labels("attention_mask", F.lit(9))).orderBy("id").collect()
+    assert (got[0].input_ids, got[0].attention_mask, got[0].labels) == ([1, 2, 3, 0], [1, 1, 1, 0], [9, 9, 9, -100])
+    assert got[1].input_ids == got[2].input_ids == []
+
+
+def test_governance_blocks_on_drift_only_if_strict(spark):
+    leaks = spark.createDataFrame([], "a string, b string, shared long")
+    ready, counts = spark.createDataFrame([("t", True)], "task string, ready boolean"), spark.createDataFrame([("t", 3)], "key string, n long")
+    drift = spark.createDataFrame([("train", "x", "")], "split string, unexpected string, missing string")
+    verdict = lambda strict: {r.check: r.passed for r in D.governance(leaks, ready, counts, drift, strict=strict).collect()}["overall"]
+    assert verdict(False) and not verdict(True)
+
+
+def test_gold_pack_repairs_and_counts(spark):
+    seed = spark.createDataFrame([(str(i), "ner", None if i % 2 else "a", "t", "b") for i in range(20)], "source_pmid string, task string, label string, text string, source string")
+    pack = D.gold_pack(seed, "source")
+    assert pack["rows"].where("repaired").count() == 10 and [(r.label, r.id) for r in pack["labels"].orderBy("id").collect()] == [("a", 0), ("b", 1)]
+    assert {(r.name, r.value) for r in D.pack_report(pack).where("section = 'rows'").collect()} == {("train", 16.0), ("validation", 2.0), ("test", 2.0)}
