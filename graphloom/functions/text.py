@@ -29,7 +29,7 @@ def unescape(text: Column | str) -> Column:
 
 
 def unescape_all(text: Column | str) -> Column:
-    """All named and numeric character entities; only texts with an ampersand go to Python, in batches."""
+    """All named and numeric character entities; of texts without an ampersand only a null goes to Python."""
     import html
 
     @F.pandas_udf("string")
@@ -37,11 +37,12 @@ def unescape_all(text: Column | str) -> Column:
         return values.map(html.unescape, na_action="ignore")
 
     c = col(text)
-    return F.when(F.contains(c, F.lit("&")), run(c)).otherwise(c)
+    return F.coalesce(run(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
-def clean_text(text: Column | str, every_entity: bool = False) -> Column:
-    """Entities resolved, control characters and white space to single spaces, trimmed; null is empty."""
+def clean_text(text: Column | str, every_entity: bool = True) -> Column:
+    """Entities resolved, control characters and white space to single spaces, trimmed; null is empty. With every_entity off
+    only the common entities are known and nothing leaves the JVM."""
     plain = unescape_all(text) if every_entity else unescape(text)
     return squeeze(F.regexp_replace(F.coalesce(plain, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
 
@@ -51,14 +52,14 @@ def blank_to_null(text: Column | str) -> Column:
     return F.when(t != "", t)
 
 
-def join_sections(sections: Column | str, every_entity: bool = False) -> Column:
+def join_sections(sections: Column | str, every_entity: bool = True) -> Column:
     return clean_text(F.concat_ws(" ", F.filter(col(sections), lambda x: x != "")), every_entity)
 
 
-def source_text(title: Column | str, abstract: Column | str) -> Column:
+def source_text(title: Column | str, abstract: Column | str, every_entity: bool = True) -> Column:
     """Title and abstract, cleaned: the text that all spans count in."""
     some = lambda c: F.when(F.coalesce(col(c), F.lit("")) != "", col(c))
-    return clean_text(F.concat_ws("\n\n", some(title), some(abstract)))
+    return clean_text(F.concat_ws("\n\n", some(title), some(abstract)), every_entity)
 
 
 def casefold(text: Column | str) -> Column:
