@@ -37,12 +37,19 @@ def shuffled(seed: int, *columns: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]), 256)
 
 
+def few(rows: DataFrame, small: int = 100_000) -> DataFrame:
+    """The rows, to be broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= small else rows
+
+
 def split_stratified(rows: DataFrame, key: str, seed: int = 13, validation: float = 0.1, test: float = 0.1) -> DataFrame:
-    """Adds `split`: each (task, label) is shuffled by a hash of the key and cut by the size rule."""
-    per = Window.partitionBy("task", "label")
-    rank = F.row_number().over(per.orderBy(shuffled(seed, "label", key), key))
-    out = rows.withColumn("_n", F.count("*").over(per)).withColumn("_r", rank)
-    return out.withColumn("split", split_of(F.col("_r"), F.col("_n"), validation, test)).drop("_n", "_r")
+    """Adds `split`: each (task, label) is shuffled by a hash of the key and cut by the size rule. Rows are numbered by ranges
+    and a label's first number is taken off, so no task holds a label's rows."""
+    placed = number_rows(rows.withColumn("_h", shuffled(seed, "label", key)), ["task", "label", "_h", key], "_r")
+    sizes = placed.groupBy(F.col("task").alias("_task"), F.col("label").alias("_label")).agg(F.count("*").alias("_n"), F.min("_r").alias("_first"))
+    same = F.col("task").eqNullSafe(F.col("_task")) & F.col("label").eqNullSafe(F.col("_label"))
+    split = split_of(F.col("_r") - F.col("_first") + 1, F.col("_n"), validation, test)
+    return placed.join(few(sizes), same).withColumn("split", split).drop("_h", "_r", "_n", "_first", "_task", "_label")
 
 
 def split_by_group(rows: DataFrame, group: str, seed: int = 13, validation: float = 0.1, test: float = 0.1) -> DataFrame:
@@ -71,8 +78,7 @@ def label_map(rows: DataFrame) -> DataFrame:
 
 def apply_label_map(rows: DataFrame, labels: DataFrame, small: int = 100_000) -> DataFrame:
     """Adds `id`; a label that the map lacks is an error."""
-    found = F.broadcast(labels) if labels.count() <= small else labels
-    out = rows.join(found, ["task", "label"], "left")
+    out = rows.join(few(labels, small), ["task", "label"], "left")
     return out.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("unknown label: "), "label")).cast("int")).otherwise(F.col("id")))
 
 
@@ -113,7 +119,7 @@ def dataset_card(rows: DataFrame, *by: str) -> DataFrame:
 def majority_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     """Per task the most frequent label (ties: the larger text) and its accuracy on the test rows."""
     best = train.groupBy("task", "label").agg(F.count("*").alias("n")).groupBy("task").agg(F.max_by("label", F.struct("n", "label")).alias("majority"))
-    return test.join(F.broadcast(best), "task").groupBy("task", "majority").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("majority")).cast("double")).alias("accuracy"))
+    return test.join(few(best), "task").groupBy("task", "majority").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("majority")).cast("double")).alias("accuracy"))
 
 
 def readiness(rows: DataFrame, per_task: int = 10, per_label: int = 2, dominant: float = 0.85) -> DataFrame:

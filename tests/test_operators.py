@@ -197,3 +197,10 @@ def test_gold_pack_repairs_and_counts(spark):
     pack = D.gold_pack(seed, "source")
     assert pack["rows"].where("repaired").count() == 10 and [(r.label, r.id) for r in pack["labels"].orderBy("id").collect()] == [("a", 0), ("b", 1)]
     assert {(r.name, r.value) for r in D.pack_report(pack).where("section = 'rows'").collect()} == {("train", 16.0), ("validation", 2.0), ("test", 2.0)}
+
+
+def test_stratified_splits_take_null_and_single_labels(spark):
+    rows = spark.createDataFrame([("t", "a", i) for i in range(20)] + [("t", None, i) for i in range(20, 30)] + [("t", "b", 30)], "task string, label string, item_id long")
+    got = {(r.label, r.split): r["count"] for r in D.split_stratified(rows, "item_id").groupBy("label", "split").count().collect()}
+    assert got == {("a", "train"): 16, ("a", "validation"): 2, ("a", "test"): 2, (None, "train"): 8, (None, "validation"): 1, (None, "test"): 1, ("b", "train"): 1}
+    assert D.split_stratified(rows.limit(0), "item_id").count() == 0
