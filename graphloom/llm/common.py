@@ -53,6 +53,13 @@ def crc_bucket(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text: bits are shifted out one by one, eight a byte."""
+    one = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: {one})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda z: ord(z)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
