@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_simhash", "q_suffix", "q_packing", "q_substring", "q_suffix_tree", "q_langid", "q_quality", "q_ann", "q_topk", "q_mixing", "q_conversation", "q_merkle")
+_MODULES = ("q_simhash", "q_suffix", "q_packing", "q_substring", "q_suffix_tree", "q_langid", "q_quality", "q_ann", "q_topk", "q_mixing", "q_conversation", "q_merkle", "q_pii")
 
 
 def load() -> tuple[dict, dict]:
