@@ -1,18 +1,14 @@
-"""Column functions: cleaning, keys, labels, tiers, reasons and qualifiers. All stay in the JVM unless they say otherwise."""
+"""Column functions: cleaning, keys, labels, tiers, reasons and qualifiers. All stay in the JVM."""
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions import rules
-
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
+from graphloom.functions import rules, unicode
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -24,27 +20,13 @@ def squeeze(text: Column | str) -> Column:
 
 
 def unescape(text: Column | str) -> Column:
-    """The common character entities. unescape_all() knows them all, in Python."""
-    return functools.reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, col(text))
-
-
-def unescape_all(text: Column | str) -> Column:
-    """All named and numeric character entities; of texts without an ampersand only a null goes to Python."""
-    import html
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
-
-    c = col(text)
-    return F.coalesce(run(F.when(F.contains(c, F.lit("&")), c)), c)
+    """All named and numeric character entities."""
+    return unicode.unescape(col(text))
 
 
-def clean_text(text: Column | str, every_entity: bool = True) -> Column:
-    """Entities resolved, control characters and white space to single spaces, trimmed; null is empty. With every_entity off
-    only the common entities are known and nothing leaves the JVM."""
-    plain = unescape_all(text) if every_entity else unescape(text)
-    return squeeze(F.regexp_replace(F.coalesce(plain, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
+def clean_text(text: Column | str) -> Column:
+    """Entities resolved, control characters and white space to single spaces, trimmed; null is empty."""
+    return squeeze(F.regexp_replace(F.coalesce(unescape(text), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
 
 
 def blank_to_null(text: Column | str) -> Column:
@@ -52,18 +34,19 @@ def blank_to_null(text: Column | str) -> Column:
     return F.when(t != "", t)
 
 
-def join_sections(sections: Column | str, every_entity: bool = True) -> Column:
-    return clean_text(F.concat_ws(" ", F.filter(col(sections), lambda x: x != "")), every_entity)
+def join_sections(sections: Column | str) -> Column:
+    return clean_text(F.concat_ws(" ", F.filter(col(sections), lambda x: x != "")))
 
 
-def source_text(title: Column | str, abstract: Column | str, every_entity: bool = True) -> Column:
+def source_text(title: Column | str, abstract: Column | str) -> Column:
     """Title and abstract, cleaned: the text that all spans count in."""
     some = lambda c: F.when(F.coalesce(col(c), F.lit("")) != "", col(c))
-    return clean_text(F.concat_ws("\n\n", some(title), some(abstract)), every_entity)
+    return clean_text(F.concat_ws("\n\n", some(title), some(abstract)))
 
 
 def casefold(text: Column | str) -> Column:
-    return F.replace(F.lower(col(text)), F.lit("ß"), F.lit("ss"))
+    """Full case folding."""
+    return unicode.casefold(col(text))
 
 
 def canonical_key(text: Column | str) -> Column:

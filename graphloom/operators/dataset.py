@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from graphloom.functions.text import first_filled, half_even, said
 from graphloom.operators.review import number_rows
+from graphloom.sources.tables import written
 
 SPLITS = ("train", "validation", "test")
 
@@ -61,14 +62,19 @@ def split_by_group(rows: DataFrame, group: str, seed: int = 13, validation: floa
     return rows.join(placed, group, "left").fillna({"split": "train"})
 
 
-def leakage(rows: DataFrame, key: str, part: str) -> DataFrame:
-    """Pairs of parts with the keys they share: a, b, shared, first (up to five)."""
+def leakage(rows: DataFrame, key: str, part: str, most: int = 5) -> DataFrame:
+    """Pairs of parts with the keys they share: a, b, shared, first (the least of the keys, up to `most`). Each is an aggregate of
+    fixed size a pair that merges map-side: the number, then the least key, the least above it, and so on."""
     one = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(part).alias("p")).distinct()
     parts = one.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") > 1)  # at most as many as there are parts
     pairs = F.flatten(F.transform("ps", lambda a: F.transform(F.filter("ps", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    out = parts.select("key", F.explode(pairs).alias("x")).select("key", "x.*")
-    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("key"))
-    return out.withColumn("r", first).groupBy("a", "b").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("key")))).alias("first"))
+    met = written(parts.select("key", F.explode(pairs).alias("x")).select("key", "x.*"))
+    out = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.array(F.min("key")).alias("first"))
+    for _ in range(most - 1):
+        last = few(out.select("a", "b", F.element_at("first", -1).alias("last")))  # a row for each pair of parts
+        above = met.join(last, ["a", "b"]).where(F.col("key") > F.col("last")).groupBy("a", "b").agg(F.min("key").alias("next"))
+        out = written(out.join(above, ["a", "b"], "left").select("a", "b", "shared", F.when(F.col("next").isNull(), F.col("first")).otherwise(F.array_append("first", F.col("next"))).alias("first")))
+    return out
 
 
 def label_map(rows: DataFrame) -> DataFrame:
@@ -145,6 +151,29 @@ def evaluate(rows: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
     return out.select("label", "precision", "recall", ratio(2 * p * r, p + r).alias("f1"), F.col("true").alias("support"))
 
 
+def evaluation_summary(rows: DataFrame, labels: tuple[str, ...] = (), least: int = 10) -> DataFrame:
+    """One row: examples, accuracy, macro_f1 (the mean over the labels of evaluate()), warnings."""
+    whole = rows.agg(F.count("*").alias("examples"), F.count_if(F.col("true") == F.col("pred")).alias("right"))
+    per = evaluate(rows, labels).agg(
+        F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"),
+        F.array_sort(F.collect_list(F.when((F.col("support") == 0) & F.col("label").isin(*labels), F.col("label")))).alias("absent"),
+    )
+    accuracy = F.when(F.col("examples") > 0, F.col("right") / F.col("examples")).otherwise(0.0)
+    told = said(
+        (F.col("examples") < least, f"fewer than {least} evaluation examples"),
+        (F.size("absent") > 0, F.concat(F.lit("label(s) absent from evaluation set: "), F.array_join("absent", ", "))),
+    )
+    return whole.crossJoin(per).select("examples", accuracy.alias("accuracy"), "macro_f1", F.array_join(told, "; ").alias("warnings"))  # a row each
+
+
+def confusion_matrix(rows: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    """true, pred, n for every pair of labels of either side and of `labels`, zeros included: a cell a pair of labels."""
+    cells = rows.groupBy(F.col("true").cast("string").alias("true"), F.col("pred").cast("string").alias("pred")).agg(F.count("*").alias("n"))
+    names = evaluate(rows, labels).agg(F.array_sort(F.collect_set("label")).alias("names"))
+    every = names.select(F.explode("names").alias("true"), "names").select("true", F.explode("names").alias("pred"))
+    return every.join(cells, ["true", "pred"], "left").fillna(0, ["n"])
+
+
 def _ends(positives: DataFrame) -> DataFrame:
     """group_id, end: the distinct ends of each group that are not blank."""
     trimmed = F.array(F.trim(F.col("head").cast("string")), F.trim(F.col("tail").cast("string")))
@@ -154,15 +183,29 @@ def _ends(positives: DataFrame) -> DataFrame:
 def negative_samples(positives: DataFrame, ratio: float = 1.0, most: int | None = None, seed: int = 13) -> DataFrame:
     """positives: group_id, head, tail. Ordered pairs of a group's ends that are not positive, the first in hash order: as
     many as `ratio` times the positives (one at least, of any), and `most` at most. The group is a paper and a sentence,
-    so its ends are few."""
+    so its ends are few.
+
+    The hashes are uniform and the number of pairs follows from the groups' sizes, so a bound on the hash is known below
+    which there are just over as many pairs as are wanted; only those leave the join, and only those are ordered. Should
+    they be too few after all, the bound is raised.
+    """
     n = positives.count()
     target = max(int(n * ratio), 1 if ratio > 0 and n else 0)
     target = target if most is None else min(target, most)
-    ends = _ends(positives)
-    pairs = ends.withColumnRenamed("end", "head").join(ends.withColumnRenamed("end", "tail"), "group_id").where("head <> tail")
+    ends = written(_ends(positives))
     known = positives.select("group_id", F.trim(F.col("head").cast("string")).alias("head"), F.trim(F.col("tail").cast("string")).alias("tail"))
-    new = pairs.join(known, ["group_id", "head", "tail"], "left_anti").withColumn("_h", shuffled(seed, "group_id", "head", "tail"))
-    kept = number_rows(new, ["_h", "group_id", "head", "tail"], "_r").where(F.col("_r") <= target)
+    pairs = ends.groupBy("group_id").agg(F.count("*").alias("e")).agg(F.sum(F.col("e") * (F.col("e") - 1))).first()[0] or 0
+    share = min(1.0, (target + 6 * target**0.5 + 20) / max(pairs, 1))
+    every = ends.withColumnRenamed("end", "head").join(ends.withColumnRenamed("end", "tail"), "group_id").where("head <> tail")
+    while True:
+        low = every.withColumn("_h", shuffled(seed, "group_id", "head", "tail"))
+        if share < 1:
+            low = low.where(F.col("_h") < F.lit(f"{int(share * 16**12):012x}"))
+        found = written(low.join(known, ["group_id", "head", "tail"], "left_anti"))
+        if share == 1 or found.count() >= target:
+            break
+        share = min(1.0, 2 * share)
+    kept = number_rows(found, ["_h", "group_id", "head", "tail"], "_r").where(F.col("_r") <= target)
     return kept.select("group_id", "head", "tail", F.lit("NO_RELATION").alias("label"))
 
 

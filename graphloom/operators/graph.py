@@ -67,9 +67,9 @@ def merge_mentions(nodes: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge per (head, relation, tail): sorted sources, how many, largest tier and confidence, the first source."""
+    """One edge per (head, relation, tail): how many sources, largest tier and confidence, the first source. edge_sources() has
+    the sources themselves, a row each."""
     return edges.groupBy(*ENDS).agg(
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
         F.count_distinct("source_id").alias("citations"),
         F.max("evidence_tier").alias("evidence_tier"),
         F.max("confidence").alias("confidence"),
@@ -77,6 +77,15 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def edge_sources(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """The distinct sources of every merged edge, a row each; with `most` the first of them by their hash."""
+    found = edges.select(*ENDS, "source_id").distinct()
+    if most is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy(*ENDS).orderBy(F.xxhash64("source_id"), "source_id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def has_evidence_edges(edges: DataFrame) -> DataFrame:
     """tail node -> evidence level, for every level its relations had."""
     levels = F.element_at(F.create_map(*[F.lit(x) for k, v in rules.TIERS for x in (k, v)]), F.col("evidence_tier"))
@@ -93,9 +102,26 @@ def load_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+#: Where a search looks: a relation's texts and a mention's, beside the ends.
+RELATION_TEXTS = ("source_id", "title", "head_key", "tail_key", "head_label", "tail_label", "relation", "sentence", "source_url")
+MENTION_TEXTS = ("source_id", "title", "abstract", "key", "label", "display_name", "aliases")
+
+
+def relation_texts(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """Edges with their paper's title and their sentence and address, as columns; papers: record_id, title."""
+    prop = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return edges.select("*", prop("sentence"), prop("source_url")).join(papers.select("record_id", "title"), "record_id", "left")
+
+
+def mention_texts(nodes: DataFrame, papers: DataFrame) -> DataFrame:
+    """Node mentions with their paper's title and abstract, display name and aliases; papers: record_id, title, abstract."""
+    prop = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return nodes.select("*", F.col("record_id").alias("source_id"), prop("display_name"), prop("aliases")).join(papers.select("record_id", "title", "abstract"), "record_id", "left")
+
+
 def search_edges(edges: DataFrame, text: str, columns: tuple[str, ...] = ENDS) -> DataFrame:
-    """Edges with the text, of any case, in one of the columns."""
-    return edges.where(F.contains(casefold(F.concat_ws("\u0001", *columns)), F.lit(text.lower().replace("ß", "ss"))))
+    """Edges with the text, of any case, in one of the columns, by reading them all; operators.search has an index."""
+    return edges.where(functools.reduce(lambda a, b: a | b, [F.contains(casefold(F.coalesce(F.col(c), F.lit(""))), F.lit(text.casefold())) for c in columns]))
 
 
 def neighborhood(edges: DataFrame, search: str | None = None, labels: tuple[str, ...] = (), relations: tuple[str, ...] = (), min_tier: int = 0, min_citations: int = 1, limit: int | None = None) -> DataFrame:
@@ -114,22 +140,6 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("head_label").alias("label"), F.col("head_key").alias("key")).unionByName(edges.select(F.col("tail_label").alias("label"), F.col("tail_key").alias("key"))).distinct()
 
 
-def neighborhood_khop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """Paths of 1 to `depth` (at most 3) edges, in either direction, no edge twice: seeds (label, key) -> start, end,
-    hops, path (edge ids). Edges come filtered; each hop is one equi-join on the node."""
-    if not 1 <= depth <= 3:
-        raise ValueError("depth must be 1, 2 or 3")
-    head, tail = F.concat_ws(":", "head_label", "head_key"), F.concat_ws(":", "tail_label", "tail_key")
-    ids = edges.select(F.concat_ws("|", *ENDS).alias("edge"), head.alias("h"), tail.alias("t"))
-    both = ids.select(F.col("h").alias("at"), "edge", F.col("t").alias("to")).unionByName(ids.where("h <> t").select(F.col("t").alias("at"), "edge", F.col("h").alias("to")))
-    paths = seeds.select(F.concat_ws(":", "label", "key").alias("start")).distinct().select("start", F.col("start").alias("at"), F.array().cast("array<string>").alias("path"))
-    out = None
-    for _ in range(depth):
-        paths = paths.join(both, "at").where(~F.array_contains("path", F.col("edge"))).select("start", F.col("to").alias("at"), F.array_append("path", F.col("edge")).alias("path"))
-        out = paths if out is None else out.unionByName(paths)
-    return out.select("start", F.col("at").alias("end"), F.size("path").alias("hops"), "path")
-
-
 def node_summary(edges: DataFrame, k: int = 25) -> DataFrame:
     """Of every node its k strongest relations, in both directions."""
     mine = lambda a, b, back: edges.select(F.col(f"{a}_label").alias("label"), F.col(f"{a}_key").alias("key"), "relation", F.col(f"{b}_label").alias("other_label"), F.col(f"{b}_key").alias("other_key"), F.lit(back).alias("reverse"), "evidence_tier", "citations")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
-from graphloom.functions.text import active_learning_reasons, candidate_priority, evidence_tier, prediction_reasons, review_reasons, said, tier_shift
+from graphloom.functions.text import active_learning_reasons, candidate_priority, casefold, evidence_tier, prediction_reasons, review_reasons, said, tier_shift
+from graphloom.operators.search import TextIndex, search
 
+STATUSES = ("pending", "accepted", "corrected", "rejected")
 ITEM = ("item_id", "item_type", "source_pmid", "evidence_tier", "confidence", "relation_type", "reasons")
 
 
@@ -107,6 +109,21 @@ def curated_audit(curated: DataFrame) -> DataFrame:
     return curated.groupBy("review_status").agg(F.count("*").alias("n"), F.count_if(F.col("curated_evidence_tier").isNull()).alias("invalid_tier"), F.count_if(unlinked).alias("unlinked"))
 
 
+def search_curated(
+    curated: DataFrame, pmid: str = "", tier: int | None = None, reviewer: str = "", status: str = "", checkpoint: str = "", text: str = "", index: TextIndex | None = None, limit: int | None = None
+) -> DataFrame:
+    """Curated rows by paper, tier, status, and texts of any case within reviewer, checkpoint_name and text. With an index over
+    the rows' text only rows that hold the text are read; with a limit the first by item_id are taken."""
+    out = search(index, text) if index is not None and text else curated
+    holds = lambda c, x: F.contains(casefold(F.coalesce(F.col(c), F.lit(""))), F.lit(x.casefold()))
+    wanted = [(pmid, lambda: F.col("source_pmid") == pmid), (tier is not None, lambda: F.col("curated_evidence_tier") == tier), (reviewer, lambda: holds("reviewer", reviewer)), (status, lambda: F.col("review_status") == status)]
+    wanted += [(checkpoint, lambda: holds("checkpoint_name", checkpoint)), (text and index is None, lambda: holds("text", text))]
+    for given, condition in wanted:
+        if given:
+            out = out.where(condition())
+    return out if limit is None else out.orderBy("item_id").limit(limit)
+
+
 def load_guard(overlay: DataFrame) -> DataFrame:
     """One row of an overlaid edge table: relations, overlay_relations, pending, missing_original, safe_to_load."""
     p = F.col("properties")
@@ -242,6 +259,40 @@ def handoff_problems(manifest: DataFrame, tables: dict[str, DataFrame], required
     return all_of.select("artifact", problem.alias("problem")).where("problem is not null")
 
 
+def export_batch(batches: DataFrame, batch_id: str, path: str, columns: list[str], reviewer: str = "", status: str = "in_review") -> None:
+    """A batch's rows as CSV with a header for a reviewer to edit: the columns, who is assigned (the reviewer given, else one
+    of the row) and the batch's status."""
+    have = set(batches.columns)
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in have else F.lit(None).cast("string")
+    assigned = F.coalesce(F.nullif(F.lit(reviewer), F.lit("")), *map(text, ("assigned_reviewer", "reviewer_id", "reviewer")), F.lit(""))
+    state = F.coalesce(F.nullif(F.lit(status), F.lit("")), text("batch_status"), F.lit("in_review"))
+    rows = batches.where(F.col("batch_id") == batch_id)
+    kept = [F.array_join(c, "; ").alias(c) if dict(batches.dtypes)[c].startswith("array") else F.col(c) for c in columns]
+    rows.select(*kept, assigned.alias("assigned_reviewer"), state.alias("batch_status")).write.option("header", True).option("escape", '"').csv(path)
+
+
+def import_batch(spark: SparkSession, paths: str | list[str], columns: list[str], decided_at: str) -> DataFrame:
+    """Reviewed rows of CSV files: blanks are null, a decided row has the time of its decision, the assigned reviewer stands in
+    for a missing one. A row without an item_id or with an unknown status stops the import."""
+    from graphloom.functions.text import blank_to_null
+
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(paths)
+    rows = rows.select(*[blank_to_null(c).alias(c) for c in columns])
+    for c in ("assigned_reviewer", "reviewer", "reviewer_id", "review_status", "decision_timestamp_utc"):
+        if c not in columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    status = F.coalesce("review_status", F.lit("pending"))
+    wrong = F.when(F.col("item_id").isNull(), "a row has no item_id").when(~status.isin(*STATUSES), F.concat("item_id", F.lit(": unknown review status "), status))
+    reviewer = F.coalesce("reviewer", "assigned_reviewer")
+    return (
+        rows.withColumn("review_status", F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(status))
+        .withColumn("reviewer", reviewer)
+        .withColumn("reviewer_id", F.coalesce("reviewer_id", "reviewer"))
+        .withColumn("decision_timestamp_utc", F.coalesce("decision_timestamp_utc", F.when(F.col("review_status") != "pending", F.lit(decided_at))))
+    )
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows win over existing ones of the same key."""
     return new.unionByName(existing.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -63,19 +63,34 @@ def _(spark, sf):
     return A.provenance_issues(edges(spark, sf)).groupBy("issue_type").agg(F.count("*").alias("n"))
 
 
-_Q = f"WITH {EDGES}, {NODES}, z AS (SELECT 'records' AS metric, '' AS key, count(DISTINCT record_id) AS n FROM e UNION ALL SELECT 'relations', '', count(*) FROM e UNION ALL SELECT 'node_mentions', '', count(*) FROM n UNION ALL SELECT 'unique_nodes', '', count(DISTINCT row(label, lower(key))) FROM n UNION ALL SELECT 'label', label, count(*) FROM n GROUP BY label UNION ALL SELECT 'relation', relation, count(*) FROM e GROUP BY relation UNION ALL SELECT 'tier', evidence_tier::VARCHAR, count(*) FROM e GROUP BY evidence_tier)"
+_QUALITY = f"""{EDGES}, {NODES}, pa AS (SELECT o_orderkey::VARCHAR AS record_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus ELSE ' ' END AS abstract FROM orders),
+z AS (SELECT 'records' AS metric, '' AS key, count(DISTINCT record_id) AS n FROM pa UNION ALL SELECT 'relations', '', count(*) FROM e UNION ALL SELECT 'node_mentions', '', count(*) FROM n
+UNION ALL SELECT 'unique_nodes', '', count(DISTINCT row(label, lower(key))) FROM n UNION ALL SELECT 'label', label, count(*) FROM n GROUP BY label UNION ALL SELECT 'relation', relation, count(*) FROM e GROUP BY relation
+UNION ALL SELECT 'tier', evidence_tier::VARCHAR, count(*) FROM e GROUP BY evidence_tier UNION ALL SELECT 'paper_only', '', count(DISTINCT record_id) FROM pa WHERE record_id NOT IN (SELECT record_id FROM e)
+UNION ALL SELECT * FROM (SELECT 'top_entity', label || ':' || key AS k, count(*) AS n FROM n GROUP BY k ORDER BY n DESC, k LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_pair', head_label || ':' || head_key || ' ' || relation || ' ' || tail_label || ':' || tail_key AS k, count(*) AS n FROM e GROUP BY k ORDER BY n DESC, k LIMIT 10)
+UNION ALL SELECT 'warning', 'node has no display_name', count(*) FROM n UNION ALL SELECT 'warning', 'relation has no source sentence', count(*) FROM e WHERE flag = 'N' HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'relation has no extraction method', count(*) FROM e WHERE flag <> 'A' HAVING count(*) > 0 UNION ALL SELECT 'warning', 'missing paper title', count(*) FROM pa WHERE title IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'missing paper abstract', count(*) FROM pa WHERE trim(abstract) = '' HAVING count(*) > 0)"""
+_Q = f"WITH {_QUALITY}"
+
+
+def paper_rows(spark, sf):
+    """Orders as papers, some without a title or an abstract."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(key.cast("string").alias("record_id"), F.when(key % 7 > 0, F.col("o_orderpriority")).alias("title"), F.when(key % 5 > 0, F.col("o_orderstatus")).otherwise(" ").alias("abstract"))
 
 
 @query("graph_quality", f"{_Q} SELECT * FROM z")
 def _(spark, sf):
-    return A.graph_quality(edges(spark, sf), nodes(spark, sf))
+    return A.graph_quality(edges(spark, sf), nodes(spark, sf), paper_rows(spark, sf))
 
 
 @query("unified_quality", f"{_Q} SELECT * FROM z")
 def _(spark, sf):
     e, n = edges(spark, sf), nodes(spark, sf)
     a, b = F.col("record_id").cast("long") % 2 == 0, F.col("record_id").cast("long") % 2 == 1
-    return A.unified_quality([(e.where(a), n.where(a)), (e.where(b), n.where(b))])
+    return A.unified_quality([(e.where(a), n.where(a)), (e.where(b), n.where(b))], paper_rows(spark, sf))
 
 
 @query("trial_graph_quality", "WITH t AS (SELECT DISTINCT p_partkey, 'Disease' AS label, unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT DISTINCT p_partkey, 'Treatment', unnest([p_type, p_brand]) FROM part) SELECT label, count(*) AS relations, count(DISTINCT w) AS unique_nodes, count(DISTINCT p_partkey) AS records FROM t GROUP BY label")
@@ -90,7 +105,7 @@ def _(spark, sf):
     e, n = edges(spark, sf), nodes(spark, sf)
     issues = A.provenance_issues(e).groupBy(F.col("issue_type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("issue").alias("metric"), "key", "n")
     loads = G.load_stats(e, n).select(F.lit("load").alias("metric"), F.col("metric").alias("key"), "n")
-    return A.graph_quality(e, n).unionByName(issues).unionByName(loads)
+    return A.graph_quality(e, n, paper_rows(spark, sf)).unionByName(issues).unionByName(loads)
 
 
 

@@ -145,6 +145,25 @@ def _(spark, sf):
     return D.evaluate(table(spark, sf, "labels").select(F.col("quality").cast("string").alias("true"), F.col("toxic").cast("string").alias("pred")), ("9",))
 
 
+_CONFUSED = """c AS (SELECT quality::VARCHAR AS t, toxic::VARCHAR AS p FROM labels), n AS (SELECT t AS label FROM c UNION SELECT p FROM c UNION SELECT '9')"""
+
+
+def judged(spark, sf):
+    return table(spark, sf, "labels").select(F.col("quality").cast("string").alias("true"), F.col("toxic").cast("string").alias("pred"))
+
+
+@query("evaluation_summary", f"""WITH {_CONFUSED}, m AS (SELECT label, (SELECT count(*) FROM c WHERE t = label) AS s, (SELECT count(*) FROM c WHERE p = label) AS g, (SELECT count(*) FROM c WHERE p = label AND t = label) AS h FROM n),
+f AS (SELECT CASE WHEN h > 0 THEN 2 * (h / g::DOUBLE) * (h / s::DOUBLE) / (h / g::DOUBLE + h / s::DOUBLE) ELSE 0.0::DOUBLE END AS f1 FROM m)
+SELECT (SELECT count(*) FROM c) AS examples, (SELECT count(*) FILTER (t = p)::DOUBLE / count(*) FROM c) AS accuracy, (SELECT avg(f1) FROM f) AS macro_f1, 'label(s) absent from evaluation set: 9' AS warnings""")
+def _(spark, sf):
+    return D.evaluation_summary(judged(spark, sf), ("0", "1", "9"))
+
+
+@query("confusion_matrix", f"WITH {_CONFUSED} SELECT a.label AS true, b.label AS pred, (SELECT count(*) FROM c WHERE t = a.label AND p = b.label) AS n FROM n a, n b")
+def _(spark, sf):
+    return D.confusion_matrix(judged(spark, sf), ("9",))
+
+
 _NEG = """e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS group_id, 'p' || l_partkey::VARCHAR AS head, 's' || l_suppkey::VARCHAR AS tail FROM lineitem),
 n AS MATERIALIZED (SELECT group_id, head AS z FROM e UNION SELECT group_id, tail FROM e),
 c AS (SELECT a.group_id, a.z AS head, b.z AS tail FROM n a JOIN n b ON a.group_id = b.group_id WHERE a.z <> b.z),

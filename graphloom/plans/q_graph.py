@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import rules
 from graphloom.operators import extract as E
 from graphloom.operators import graph as G
+from graphloom.operators import paths as P
 from graphloom.operators import review as R
+from graphloom.operators import search as S
 from graphloom.plans.base import EDGES, MERGED, NODES, OVERLAY, edges, nodes
 from graphloom.plans.common import q, table
 from graphloom.plans.q_extract import _MENTIONS, _NODE, _RELATIONS, LEXICON, RULES, papers
@@ -36,7 +41,7 @@ _E, _M = f"WITH {EDGES}", f"WITH {EDGES}, {MERGED}"
 
 @query("merge_edges", f"{_M} SELECT * FROM m")
 def _(spark, sf):
-    return merged(spark, sf).drop("source_ids")
+    return merged(spark, sf)
 
 
 @query("merge_nodes", f"WITH {EDGES}, {NODES} SELECT label, key, arg_max(tier, ord) AS tier FROM n GROUP BY label, key")
@@ -64,14 +69,26 @@ def _(spark, sf):
     return G.neighborhood(merged(spark, sf), labels=("Drug",), relations=("TARGETS",), min_tier=3, min_citations=2, limit=200).select(*G.ENDS, "citations", "evidence_tier")
 
 
-_STRONG = "s AS (SELECT DISTINCT 'Drug:' || head_key AS h, 'Gene:' || tail_key AS t, concat_ws('|', head_label, head_key, relation, tail_label, tail_key) AS edge FROM m WHERE evidence_tier >= 5 AND citations >= 1 AND relation = 'TARGETS'), b AS (SELECT h AS a, edge, t AS z FROM s UNION ALL SELECT t, edge, h FROM s)"
+@query("edge_sources", f"{_E} SELECT DISTINCT {_ENDS}, source_id FROM e")
+def _(spark, sf):
+    return G.edge_sources(edges(spark, sf))
+
+
+_LIMIT = 20_000
+_PATHS = f"""i AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_ENDS}) AS edge, * FROM m WHERE evidence_tier >= 2),
+b AS MATERIALIZED (SELECT edge, head_label AS al, head_key AS ak, tail_label AS zl, tail_key AS zk FROM i UNION ALL SELECT edge, tail_label, tail_key, head_label, head_key FROM i),
+p1 AS MATERIALIZED (SELECT al AS sl, ak AS sk, zl, zk, [edge] AS path, al = 'Gene' OR zl = 'Gene' AS hit FROM b WHERE contains(lower(ak), '171')),
+p2 AS MATERIALIZED (SELECT sl, sk, b.zl, b.zk, path || [edge] AS path, hit OR b.zl = 'Gene' AS hit FROM p1 JOIN b ON p1.zl = al AND p1.zk = ak WHERE NOT list_contains(path, edge)),
+p3 AS (SELECT sl, sk, b.zl, b.zk, path || [edge] AS path, hit OR b.zl = 'Gene' AS hit FROM p2 JOIN b ON p2.zl = al AND p2.zk = ak WHERE NOT list_contains(path, edge))"""
 
 
-@query("neighborhood_khop", f"{_M}, {_STRONG}, p1 AS (SELECT a AS start, z AS \"end\", edge AS e1 FROM b WHERE a LIKE 'Gene:%'), p2 AS (SELECT start, b.z AS \"end\", e1 || '>' || edge AS path FROM p1 JOIN b ON p1.\"end\" = b.a WHERE edge <> e1) SELECT start, \"end\", CAST(1 AS INTEGER) AS hops, e1 AS path FROM p1 UNION ALL SELECT start, \"end\", CAST(2 AS INTEGER), path FROM p2")
+@query("neighborhood_khop", f"WITH {EDGES}, {MERGED}, {_PATHS} SELECT sl || ':' || sk AS start, zl || ':' || zk AS \"end\", CAST(len(path) AS INTEGER) AS hops, array_to_string(x.path, '>') AS path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) AS x WHERE hit ORDER BY len(x.path), sl, sk, x.path LIMIT {_LIMIT}")
 def _(spark, sf):
-    strong = G.neighborhood(merged(spark, sf), relations=("TARGETS",), min_tier=5)
-    seeds = G.nodes_of(strong).where("label = 'Gene'")
-    return G.neighborhood_khop(strong, seeds, 2).withColumn("path", F.array_join("path", ">"))
+    """Paths of up to three edges from nodes whose key holds 171, with a gene on them, the first twenty thousand."""
+    paths = P.Paths(merged(spark, sf), min_tier=2, labels=("Gene",))
+    found = paths.of(paths.starts("171"), 3, _LIMIT)
+    name = lambda c: F.concat_ws(":", f"{c}.label", f"{c}.key").alias(c)
+    return found.select(name("start"), name("end"), "hops", F.array_join(F.transform("path", lambda e: e.cast("string")), ">").alias("path"))
 
 
 @query("node_summary", f"{_M}, x AS (SELECT head_label AS label, head_key AS key, relation, tail_label AS other_label, tail_key AS other_key, false AS reverse, evidence_tier, citations FROM m UNION ALL SELECT tail_label, tail_key, relation, head_label, head_key, true, evidence_tier, citations FROM m), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY label, key ORDER BY evidence_tier DESC, citations DESC, relation, other_label, other_key, reverse) AS INTEGER) AS rank FROM x) SELECT * FROM y WHERE rank <= 5")
@@ -97,9 +114,30 @@ def _(spark, sf):
     return G.facets(inspect(spark, sf))
 
 
-@query("graph_text_search", f"{_M} SELECT {_ENDS}, citations FROM m WHERE contains(lower(concat_ws(chr(1), {_ENDS})), 'drug' || chr(1) || '12')")
+_NEEDLES = ("1-URG", "987", "gene", "f", "5-l", "-", "Drug:12", "no such text")
+_TEXTS = f"{EDGES}, {NODES}, pa AS (SELECT o_orderkey::VARCHAR AS record_id, o_orderpriority AS title, o_orderstatus AS abstract FROM orders)"
+_CONTAINS = lambda columns, x: " OR ".join(f"contains(lower({c}), lower({q(x)}))" for c in columns)
+
+
+def _papers(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("abstract"))
+
+
+def _searched(index, *columns):
+    return functools.reduce(DataFrame.unionByName, [S.search(index, x).groupBy(*columns).agg(F.count("*").alias("n")).withColumn("needle", F.lit(x)) for x in _NEEDLES])
+
+
+@query("graph_text_search", f"WITH {_TEXTS}, t AS (SELECT e.*, title FROM e LEFT JOIN pa USING (record_id)) " + " UNION ALL ".join(f"SELECT relation, title, count(*) AS n, {q(x)} AS needle FROM t WHERE {_CONTAINS(('source_id', 'title', 'head_key', 'tail_key', 'head_label', 'tail_label', 'relation'), x)} GROUP BY ALL" for x in _NEEDLES))
+def _(spark, sf):
+    """How many relations hold each text in one of their columns, by relation and title."""
+    rows = G.relation_texts(edges(spark, sf), _papers(spark, sf)).drop("properties").withColumn("sentence", F.lit(None).cast("string"))
+    return _searched(S.build(rows, G.RELATION_TEXTS), "relation", "title")
+
+
+@query("mention_text_search", f"WITH {_TEXTS}, t AS (SELECT n.record_id, label, key, n.record_id AS source_id, title, abstract FROM n LEFT JOIN pa USING (record_id)) " + " UNION ALL ".join(f"SELECT label, abstract, count(*) AS n, {q(x)} AS needle FROM t WHERE {_CONTAINS(('source_id', 'title', 'abstract', 'key', 'label'), x)} GROUP BY ALL" for x in _NEEDLES))
 def _(spark, sf):
-    return G.search_edges(merged(spark, sf), "DRUG\u000112").select(*G.ENDS, "citations")
+    rows = G.mention_texts(nodes(spark, sf), _papers(spark, sf)).drop("properties", "ord")
+    return _searched(S.build(rows, G.MENTION_TEXTS), "label", "abstract")
 
 
 @query("recent_records", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY day DESC, o_orderkey::VARCHAR DESC LIMIT 20")
@@ -191,5 +229,5 @@ def _(spark, sf):
     docs = papers(spark, sf)
     mentions = E.lexicon_ner(docs, LEXICON)
     relations = E.extract_relations(docs, mentions, E.classify_evidence(docs), table=RULES).withColumn("record_id", F.col("pmid")).withColumn("source_id", F.col("pmid"))
-    return G.merge_edges(relations).drop("source_ids")
+    return G.merge_edges(relations)
 

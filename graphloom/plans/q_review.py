@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ from graphloom.functions.text import prediction_reasons, tier_shift
 from graphloom.operators import review as R
 from graphloom.plans.base import CURATED, DECISIONS, EDGES, OVERLAY, PREDICTION_DECISIONS, PREDICTIONS, decisions, edges, prediction_decisions, predictions
 from graphloom.plans.common import q, sql_bucket, sql_first_match, sql_fold, sql_said, table
+from graphloom.sources.snapshots import SnapshotTable
+from graphloom.sources.tables import shared_dir
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -80,10 +88,15 @@ def _(spark, sf):
     return R.curated_audit(curated(spark, sf))
 
 
-@query("search_curated_evidence", f"WITH {CURATED} SELECT item_id, review_status FROM c WHERE curated_evidence_tier = 3 AND review_status = 'accepted' AND contains(source_pmid, '1') ORDER BY item_id LIMIT 50")
+@query("search_curated_evidence", f"WITH {CURATED}, t AS (SELECT c.*, p.text, p.checkpoint_name FROM c JOIN p USING (item_id)) SELECT 'text' AS search, item_id, review_status FROM t WHERE contains(lower(text), 'license') AND review_status = 'accepted' AND contains(lower(checkpoint_name), 'c') UNION ALL SELECT 'short', item_id, review_status FROM t WHERE contains(text, '€') UNION ALL SELECT 'tier', item_id, review_status FROM (SELECT * FROM t WHERE curated_evidence_tier = 3 AND contains(lower(text), 'a th') ORDER BY item_id LIMIT 50)")
 def _(spark, sf):
-    found = curated(spark, sf).where((F.col("curated_evidence_tier") == 3) & (F.col("review_status") == "accepted") & F.contains("source_pmid", F.lit("1")))
-    return found.select("item_id", "review_status").orderBy("item_id").limit(50)
+    from graphloom.operators.search import build
+
+    texts = predictions(spark, sf).select("item_id", "text", "checkpoint_name")
+    rows = curated(spark, sf).join(texts, "item_id")
+    index = build(rows, ("text",))
+    found = {"text": R.search_curated(rows, text="LICENSE", status="accepted", checkpoint="C", index=index), "short": R.search_curated(rows, text="€", index=index), "tier": R.search_curated(rows, text="A th", tier=3, index=index, limit=50)}
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("search"), "item_id", "review_status") for name, df in found.items()])
 
 
 def overlay(spark, sf):
@@ -157,7 +170,10 @@ def _(spark, sf):
 
 @query("export_batch_csv", f"WITH {_PLAN} SELECT item_id, batch_position, 'reviewer' AS assigned_reviewer, 'in_review' AS batch_status FROM pb WHERE batch_id = 'ALBATCH-002'")
 def _(spark, sf):
-    return batches(spark, sf).where("batch_id = 'ALBATCH-002'").select("item_id", "batch_position", F.lit("reviewer").alias("assigned_reviewer"), F.lit("in_review").alias("batch_status"))
+    path = _place(spark, "batch")
+    R.export_batch(batches(spark, sf), "ALBATCH-002", path, ["batch_id", "item_id", "batch_position"], reviewer="reviewer")
+    back = spark.read.schema("batch_id string, item_id string, batch_position long, assigned_reviewer string, batch_status string").option("header", True).csv(path)
+    return back.drop("batch_id")
 
 
 @query("batch_status", f"WITH {_PLAN}, {PREDICTION_DECISIONS}, s AS (SELECT batch_id, count(*) AS items, count(*) FILTER (WHERE review_status IS NULL) AS pending, count(*) FILTER (WHERE review_status IN ('accepted', 'corrected')) AS kept, count(*) FILTER (WHERE review_status = 'rejected') AS rejected FROM pb LEFT JOIN r USING (item_id) GROUP BY batch_id) SELECT *, CASE WHEN pending = 0 THEN 'complete' WHEN pending < items THEN 'in_review' ELSE 'planned' END AS status FROM s")
@@ -219,22 +235,50 @@ def _(spark, sf):
     return met.groupBy("review_status", tier_shift(evidence_tier("prediction"), F.col("corrected_tier"))["label"].alias("shift")).agg(F.count("*").alias("n"))
 
 
-@query("import_batch_csv", "SELECT conv_id, turn, role AS status FROM conversations WHERE conv_id % 3 = 0 AND turn = 0 UNION ALL SELECT conv_id, turn, 'old' FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 0)")
+_BATCH = """n AS (SELECT conv_id, turn, conv_id % 3 = 0 AND turn = 0 AS first_, conv_id % 5 = 0 AND turn <= 1 AS second_ FROM conversations)"""
+
+
+@query("import_batch_csv", f"WITH {_BATCH} SELECT conv_id, turn, CASE WHEN second_ THEN 'rejected' WHEN first_ THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN second_ THEN 'bea' WHEN first_ THEN 'ann' END AS reviewer, CASE WHEN second_ THEN '2024-01-02' WHEN first_ THEN '2024-01-01' END AS decided FROM n")
 def _(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("item_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    new = c.where("conv_id % 3 = 0 and turn = 0").select("item_id", "conv_id", "turn", F.col("role").alias("status"))
-    return R.upsert(c.select("item_id", "conv_id", "turn", F.lit("old").alias("status")), new, "item_id").select("conv_id", "turn", "status")
+    """Two edited batches, each exported as CSV and read back, upserted one after the other into the stored queue."""
+    items = table(spark, sf, "conversations").withColumn("item_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    store = SnapshotTable(spark, _place(spark, "reviewed"))
+    kept = ["item_id", "review_status", "reviewer", "decision_timestamp_utc"]
+    blank = F.lit(None).cast("string")
+    store.write(items.select("item_id", "conv_id", "turn", F.lit("pending").alias("review_status"), blank.alias("reviewer"), blank.alias("decision_timestamp_utc")))
+    for day, (who, status, where) in enumerate((("ann", "accepted", "conv_id % 3 = 0 and turn = 0"), ("bea", "rejected", "conv_id % 5 = 0 and turn <= 1")), 1):
+        path = _place(spark, "batch")
+        edited = items.where(where).select(F.lit(who).alias("batch_id"), "item_id", "conv_id", "turn", F.lit(status).alias("review_status"))
+        R.export_batch(edited, who, path, ["item_id", "conv_id", "turn", "review_status"], reviewer=who)
+        new = R.import_batch(spark, path, ["item_id", "conv_id", "turn", "review_status", "assigned_reviewer", "batch_status"], f"2024-01-0{day}")
+        store.upsert(new.select(*kept, F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")), "item_id", overwrite=True)
+    return store.read().select("conv_id", "turn", F.col("review_status").alias("status"), "reviewer", F.col("decision_timestamp_utc").alias("decided"))
 
 
 @query("queue_upsert", f"WITH {_QUEUE}, {DECISIONS} SELECT item_id, review_status, 'bea' AS reviewer, NULL AS source_sha256 FROM d UNION ALL SELECT item_id, 'pending', 'ann', sha256(item_id || '|' || array_to_string(reasons, '; ')) FROM u WHERE item_id NOT IN (SELECT item_id FROM d)")
 def _(spark, sf):
-    return R.open_queue(queue(spark, sf), decisions(spark, sf).withColumn("reviewer", F.lit("bea")), "ann")
+    """The queue's CSV opened as a stored table of pending rows; reviewed rows are upserted over it."""
+    from graphloom.sources.records import read_review_csv, write_queue_csv
+
+    path, rows = _place(spark, "queue"), queue(spark, sf)
+    write_queue_csv(rows, path)
+    items = read_review_csv(spark, path, rows.columns)
+    store = SnapshotTable(spark, _place(spark, "reviewed"))
+    reviewed = decisions(spark, sf).withColumn("reviewer", F.lit("bea"))
+    store.write(R.open_queue(items, reviewed.limit(0), "ann"))
+    store.upsert(reviewed.select("item_id", "review_status", "reviewer"), "item_id", overwrite=True)
+    return store.read()
 
 
 @query("run_registry_upsert", "SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL")
 def _(spark, sf):
-    o = table(spark, sf, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
-    return R.keep_last(o, ["o_custkey", "o_orderpriority"], "at").select("o_custkey", "o_orderpriority", "o_orderkey")
+    """Runs registered in three rounds by date; of a round's runs with one key the latest counts."""
+    store, keys = SnapshotTable(spark, _place(spark, "runs")), ["o_custkey", "o_orderpriority"]
+    runs = table(spark, sf, "orders").select(*keys, "o_orderkey", "o_orderdate")
+    for low, high in (("0001", "1994"), ("1994", "1996"), ("1996", "9999")):
+        some = runs.where((F.col("o_orderdate") >= F.lit(f"{low}-01-01").cast("date")) & (F.col("o_orderdate") < F.lit(f"{high}-01-01").cast("date")))
+        store.upsert(some, keys, latest=[F.desc("o_orderdate"), F.desc("o_orderkey")], overwrite=True)
+    return store.read().select(*keys, "o_orderkey")
 
 
 @query("browse_runs", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'high') AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")

@@ -117,14 +117,32 @@ def _(spark, sf):
     return table(spark, sf, "documents").agg(F.lit(S.record_type(spark, a)).alias("papers"), F.lit(S.record_type(spark, b)).alias("trials"), F.count("*").alias("n"))
 
 
-@query("scan_permissive", "SELECT CAST(count(*) FILTER (WHERE event_id % 10 > 0) AS BIGINT) AS valid, CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS rejected FROM events")
-def _(spark, sf):
+_LINES = """l AS (SELECT event_id // 1000 AS part, event_id % 10 AS k, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line FROM events)"""
+
+
+def event_lines(spark, sf):
+    """A file for every thousand events: some lines are blank, no JSON, of another type, without their id or with a wrong one."""
+    k, id_ = F.col("event_id") % 10, F.col("event_id").cast("string")
+    good = lambda *c: F.to_json(F.struct(*c))
+    line = (
+        F.when(k == 0, '{"k": ').when(k == 3, "").when(k == 5, good(id_.alias("pmid"), F.lit("many").alias("n"))).when(k == 7, good(F.lit(1).alias("n")))
+        .when(k == 8, good(F.concat(F.lit("x"), id_).alias("pmid"), F.lit(1).alias("n"))).otherwise(good(id_.alias("pmid"), F.lit(1).alias("n")))
+    )
     path = place(spark, "events")
-    line = F.when(F.col("event_id") % 10 == 0, F.lit('{"k": ')).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("pmid"))))
-    table(spark, sf, "events").select(line.alias("value")).write.text(path)
-    good, bad = S.read_json_permissive(spark, path, "pmid string")
-    both = good.select(F.lit(True).alias("ok")).unionByName(bad.select(F.lit(False).alias("ok")))
-    return both.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("rejected"))
+    rows = table(spark, sf, "events").select(F.floor(F.col("event_id") / 1000).alias("part"), "event_id", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(path)
+    return S.read_json_permissive(spark, path, "pmid string, n int", required=("pmid",), checks={"pmid: digits only": "not pmid rlike '^[0-9]+$'"})
+
+
+@query("scan_permissive", f"WITH {_LINES} SELECT part, line, CASE k WHEN 0 THEN 'json' ELSE 'schema' END AS kind, CASE k WHEN 0 THEN 'invalid JSON' WHEN 5 THEN 'n: expected int' WHEN 7 THEN 'pmid: field required' ELSE 'pmid: digits only' END AS message FROM l WHERE k IN (0, 5, 7, 8)")
+def _(spark, sf):
+    part = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long")
+    return event_lines(spark, sf)[1].select(part.alias("part"), "line", "kind", "message")
+
+
+@query("scan_permissive_rows", "SELECT event_id::VARCHAR AS pmid, 1 AS n FROM events WHERE event_id % 10 NOT IN (0, 3, 5, 7, 8)")
+def _(spark, sf):
+    return event_lines(spark, sf)[0]
 
 
 @query("scan_sink_trials", "SELECT 'NCT' || p_partkey::VARCHAR AS nct_id, p_name AS brief_title, p_size AS enrollment_count FROM part")
@@ -134,10 +152,22 @@ def _(spark, sf):
     return S.read_json(spark, path, S.TRIAL).select("nct_id", "brief_title", "enrollment_count")
 
 
-@query("parse_article_xml", "SELECT doc_id::VARCHAR AS pmid, source AS title, lang || ' x' AS abstract, '2024-Jan' AS publication_date FROM documents")
+@query("parse_article_xml", "SELECT doc_id::VARCHAR AS pmid, source || ' & ' || lang || ' <x>' AS title, lang || ' x2 (' || n_chars::VARCHAR || ')' || CASE WHEN doc_id % 2 = 0 THEN ' and ' || source ELSE '' END AS abstract, '2024-Jan' AS publication_date, lang || ';' || source AS mesh_terms FROM documents")
 def _(spark, sf):
-    xml = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID Version='1'>"), F.col("doc_id").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), "source", F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), "lang", F.lit("</AbstractText><AbstractText><i>x</i></AbstractText></Abstract><Journal><JournalIssue><PubDate><Year>2024</Year><Month>Jan</Month></PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle>"))
-    return S.parse_articles(table(spark, sf, "documents").select(xml.alias("xml"))).select("pmid", "title", "abstract", "publication_date")
+    """Documents as article files with nested markup, attributes, comments and CDATA sections, read split at the articles."""
+    c = F.col
+    parts = [
+        "<PubmedArticle><MedlineCitation Owner='a>b'><PMID Version='1'>", c("doc_id").cast("string"), "</PMID><!-- <PMID>0</PMID> --><Article><ArticleTitle>", "source", " &amp; <i>", "lang",
+        "</i> <![CDATA[<x>]]></ArticleTitle>\n<Abstract><AbstractText Label='A'>", "lang", " <x:math xmlns:x='u'>x<sup>2</sup></x:math> &#40;<b><e>", c("n_chars").cast("string"), "</e></b>)</AbstractText><AbstractText>",
+        F.when(c("doc_id") % 2 == 0, F.concat(F.lit("and <u>"), "source", F.lit("</u>"))).otherwise(F.lit("")),
+        "</AbstractText></Abstract><Journal><JournalIssue><PubDate><Year>2024</Year><Month>Jan</Month></PubDate></JournalIssue></Journal></Article><MeshHeadingList><MeshHeading><DescriptorName>", "lang",
+        "</DescriptorName></MeshHeading><MeshHeading><DescriptorName UI='1'><i>", "source", "</i></DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation></PubmedArticle>",
+    ]
+    path = place(spark, "articles")
+    xml = F.concat(*(p if not isinstance(p, str) else c(p) if p in ("lang", "source") else F.lit(p) for p in parts))
+    table(spark, sf, "documents").select(xml.alias("value")).write.text(path)
+    found = S.parse_articles(S.read_elements(spark, path, "PubmedArticle"))
+    return found.select("pmid", "title", "abstract", "publication_date", F.array_join("mesh_terms", ";").alias("mesh_terms"))
 
 
 @query("flatten_trial_json", "SELECT 'NCT' || p_partkey::VARCHAR AS nct_id, p_name AS brief_title, p_type || ';' || p_brand AS interventions, p_size AS enrollment_count FROM part")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from graphloom.functions.text import clean_text, join_sections, publication_date
+from graphloom.functions import markup as M
+from graphloom.functions.text import clean_text, publication_date
 
 PAPER = "pmid string, title string, abstract string, journal string, publication_date string, mesh_terms array<string>, query_pack string, query_pack_source string, matched_queries array<string>"
 MENTION = "text string, label string, start int, end int, confidence double, normalized_text string"
@@ -23,12 +27,45 @@ def read_json(spark: SparkSession, paths: str | list[str], schema: str) -> DataF
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
-def read_json_permissive(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """Valid rows; and rejected lines with their file."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-    rows = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("r._corrupt_record").isNotNull()
-    return rows.where(~bad).select("r.*").drop("_corrupt_record"), rows.where(bad).select("file", F.col("value").alias("line"))
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """First number (from 1) of each file block's lines: file, block, first (its least `at`), before (lines of the file's earlier
+    blocks). A file is read in blocks by many tasks; each counts its own lines, and the counts of a file's blocks add up."""
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+
+
+def read_json_permissive(spark: SparkSession, paths: str | list[str], schema: str, required: Iterable[str] = (), checks: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid rows; and every rejected line: file, line (its number in the file, blank ones counted), kind, message, text.
+
+    kind is `json` for a line that is no JSON, `schema` for JSON that is no object, lacks a required field, has a field of
+    another type or fails one of the checks (message: SQL condition over the fields that must not hold). Blank lines are skipped.
+    Only rejects are numbered, by their place in their file block; no task holds a file.
+    """
+    meta = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = spark.read.text(paths).select(*meta, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_text"))
+    filled = lines.where(F.trim(F.regexp_replace("_text", r"[\t\x0b\f\r]", " ")) != "")
+    fields = StructType.fromDDL(schema).fields
+    rows = filled.withColumn("_r", F.from_json("_text", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    rows = rows.select("_file", "_block", "_at", "_text", F.try_parse_json("_text").isNotNull().alias("_json"), "_r", "_r.*")
+    there = lambda f: F.get_json_object("_text", f"$['{f}']").isNotNull()
+    wanted = set(required)
+    found = [(~F.trim("_text").startswith("{"), "expected an object")]
+    found += [(F.col(f.name).isNull() & there(f.name), f"{f.name}: expected {f.dataType.simpleString()}") for f in fields]
+    found += [(~there(f.name), f"{f.name}: field required") for f in fields if f.name in wanted]
+    found += [(F.expr(condition), message) for message, condition in (checks or {}).items()]
+    said_of = F.array_compact(F.array(*[F.when(c, m) for c, m in found]))
+    told = F.when(~F.col("_json"), F.array(F.lit("invalid JSON"))).when(F.size(said_of) > 0, said_of).when(F.col("_r._corrupt_record").isNotNull(), F.array(F.lit("not of the schema")))
+    rows = rows.withColumn("_told", told)
+    bad = rows.where(F.col("_told").isNotNull()).select("_file", "_block", "_at", "_text", "_json", "_told")
+    numbered = bad.join(line_numbers(lines), ["_file", "_block"]).select(
+        F.col("_file").alias("file"),
+        (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line"),
+        F.when(F.col("_json"), "schema").otherwise("json").alias("kind"),
+        F.array_join("_told", "; ").alias("message"),
+        F.col("_text").alias("text"),
+    )
+    return rows.where(F.col("_told").isNull()).select(*(f.name for f in fields)), numbered
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
@@ -80,17 +117,32 @@ def read_review_csv(spark: SparkSession, paths: str | list[str], columns: list[s
     return out.withColumn("reasons", split_reasons("reasons")) if "reasons" in columns else out
 
 
+def read_elements(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
+    """xml: each element of this name in the files, as it stands there. Files are split across tasks at the element's end tag,
+    no file is read as a whole."""
+    rows = spark.read.option("lineSep", f"</{tag}>").text(paths)
+    found = F.regexp_extract("value", rf"(?s)<{tag}(?=[\s>]).*$", 0)
+    return rows.select(F.concat(found, F.lit(f"</{tag}>")).alias("xml")).where(~F.col("xml").startswith("</"))
+
+
 def parse_articles(articles: DataFrame, column: str = "xml") -> DataFrame:
-    """Article XML texts to papers; rows without an id go. Inline markup in a text is dropped, its words stay."""
-    schema = "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<MedlineDate:string,Year:string,Month:string,Day:string>>>>,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string>>>>"
-    plain = F.regexp_replace(F.regexp_replace(F.col(column), r"</?(?:i|b|u|sub|sup|em|strong)>", ""), r'<(PMID|AbstractText|ArticleTitle|DescriptorName)\s[^>]*>', "<$1>")
-    a = articles.select(F.from_xml(plain, schema, {"rowTag": "PubmedArticle"}).alias("x")).select("x.MedlineCitation.*")
-    date = F.col("Article.Journal.JournalIssue.PubDate")
-    return a.select(
-        F.trim("PMID").alias("pmid"), clean_text("Article.ArticleTitle").alias("title"), join_sections("Article.Abstract.AbstractText").alias("abstract"), clean_text("Article.Journal.Title").alias("journal"),
-        publication_date(date["MedlineDate"], date["Year"], date["Month"], date["Day"]).alias("publication_date"),
-        F.coalesce(F.transform("MeshHeadingList.MeshHeading", lambda m: m["DescriptorName"]), F.array().cast("array<string>")).alias("mesh_terms"),
-    ).where(F.coalesce("pmid", F.lit("")) != "")
+    """Article XML texts to papers; rows without an id go. A field is all text within its element, whatever elements, CDATA
+    sections or comments stand in it; its references are resolved, then it is cleaned."""
+    a = articles.select(M.normalized(F.col(column)).alias("x")).select(M.element(F.col("x"), "MedlineCitation").alias("m"))
+    a = a.select("m", M.element(F.col("m"), "Article").alias("a")).select("m", "a", M.element(F.col("a"), "Journal", "JournalIssue", "PubDate").alias("d"))
+    fields = {"pmid": ("m", "PMID"), "title": ("a", "ArticleTitle"), "journal": ("a", "Journal", "Title")}
+    fields |= {part: ("d", part) for part in ("MedlineDate", "Year", "Month", "Day")}
+    texts = lambda parts: F.transform(parts, M.text_of)
+    cleaned = lambda parts: F.filter(F.transform(parts, clean_text), lambda p: p != "")
+    headings = F.flatten(F.transform(M.elements(F.col("m"), "MeshHeading"), lambda h: M.elements(h, "DescriptorName")))
+    a = a.select(
+        *(M.text_of(M.element(F.col(x), *path)).alias(name) for name, (x, *path) in fields.items()),
+        texts(M.elements(M.element(F.col("a"), "Abstract"), "AbstractText")).alias("sections"),
+        texts(headings).alias("headings"),
+    )
+    a = a.select(*(clean_text(name).alias(name) for name in fields), F.array_join(cleaned("sections"), " ").alias("abstract"), cleaned("headings").alias("mesh_terms")).where("pmid <> ''")
+    date = publication_date(*(F.col(part) for part in ("MedlineDate", "Year", "Month", "Day")))
+    return a.select("pmid", "title", clean_text("abstract").alias("abstract"), "journal", date.alias("publication_date"), "mesh_terms")
 
 
 _STUDY = (
