@@ -186,9 +186,10 @@ def negative_samples(positives: DataFrame, ratio: float = 1.0, most: int | None
     so its ends are few.
 
     The hashes are uniform and the number of pairs follows from the groups' sizes, so a bound on the hash is known below
-    which there are just over as many pairs as are wanted; only those leave the join, and only those are ordered. Should
-    they be too few after all, the bound is raised.
+    which there are just over as many pairs as are wanted; only those leave the join, and of them only the few that are too
+    many are ordered, largest first. Should they be too few after all, the bound is raised.
     """
+    positives = written(positives.select("group_id", "head", "tail"))
     n = positives.count()
     target = max(int(n * ratio), 1 if ratio > 0 and n else 0)
     target = target if most is None else min(target, most)
@@ -204,9 +205,14 @@ def negative_samples(positives: DataFrame, ratio: float = 1.0, most: int | None
         found = written(low.join(known, ["group_id", "head", "tail"], "left_anti"))
         if share == 1 or found.count() >= target:
             break
-        share = min(1.0, 2 * share)
-    kept = number_rows(found, ["_h", "group_id", "head", "tail"], "_r").where(F.col("_r") <= target)
-    return kept.select("group_id", "head", "tail", F.lit("NO_RELATION").alias("label"))
+        share = min(1.0, 1.1 * share)
+    order, over = ["_h", "group_id", "head", "tail"], found.count() - target
+    if target == 0:
+        found = found.limit(0)
+    elif over > 0:
+        last = written(found.orderBy(*map(F.desc, order)).limit(over)).agg(F.min(F.struct(*order)).alias("cut"))  # some six roots of the target
+        found = found.join(F.broadcast(last)).where(F.struct(*order) < F.col("cut"))
+    return found.select("group_id", "head", "tail", F.lit("NO_RELATION").alias("label"))
 
 
 def negative_report(positives: DataFrame, negatives: DataFrame) -> DataFrame:

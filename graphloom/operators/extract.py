@@ -44,27 +44,33 @@ def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.length(x))
 
 
+def numbered(docs: DataFrame, array: Column, number: str) -> DataFrame:
+    """pmid, number (from 0), s: a row for each element. The outer form keeps the optimizer from testing the array's size in a
+    filter of its own, which would make the array twice."""
+    return docs.select("pmid", F.posexplode_outer(array).alias(number, "s")).where(F.col(number).isNotNull())
+
+
 def sentence_spans(text: Column | str) -> Column:
-    """Array of struct start, end, sentence: runs of anything up to . ! or ?, stripped."""
+    """Array of struct start, end, sentence: runs of anything up to . ! or ?, stripped. The text is cut after each of these in one
+    pass; a piece that is nothing else is no sentence."""
 
-    def spans(g: Column) -> Column:
+    def spans(pieces: Column) -> Column:
         def span(before: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
             def of(x: Column, i: Column) -> Column:
                 lead = F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
-                text = F.regexp_replace(x, _STRIP, "")
-                start = before(i) + F.length(F.element_at(g["g1"], i + 1)) + lead
-                return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("sentence"))
+                stripped = lambda t: F.struct((before(i) + lead).alias("start"), (before(i) + lead + F.length(t)).alias("end"), t.alias("sentence"))
+                return F.when(~x.rlike(r"^[.!?]?$"), let(F.regexp_replace(x, _STRIP, ""), stripped))
 
             return of
 
-        return with_offsets(_lengths(g["g0"]), lambda before: F.transform(g["g2"], span(before)))
+        return with_offsets(_lengths(pieces), lambda before: F.transform(pieces, span(before)))
 
-    return F.filter(let(_groups(col(text), F.lit(r"(?s)([.!?]*)([^.!?]+[.!?]?)"), 0, 1, 2), spans), lambda s: s["sentence"] != "")
+    return F.filter(let(F.split(col(text), r"(?<=[.!?])", -1), spans), lambda s: s["sentence"] != "")
 
 
 def split_sentences(docs: DataFrame) -> DataFrame:
     """pmid, sentence_no (from 0), start, end, sentence."""
-    return docs.select("pmid", F.posexplode(sentence_spans("text")).alias("sentence_no", "s")).select("pmid", "sentence_no", "s.*")
+    return numbered(docs, sentence_spans("text"), "sentence_no").select("pmid", "sentence_no", "s.*")
 
 
 def chunk_spans(text: Column | str, max_words: int = 250, overlap: int = 40) -> Column:
@@ -92,7 +98,7 @@ def chunk_spans(text: Column | str, max_words: int = 250, overlap: int = 40) ->
 
 def chunk_text(docs: DataFrame, max_words: int = 250, overlap: int = 40) -> DataFrame:
     """pmid, chunk_no, start, chunk."""
-    return docs.select("pmid", F.posexplode(chunk_spans("text", max_words, overlap)).alias("chunk_no", "c")).select("pmid", "chunk_no", "c.*")
+    return numbered(docs, chunk_spans("text", max_words, overlap), "chunk_no").select("pmid", "chunk_no", "s.*")
 
 
 def lexicon_pattern(terms: Iterable[str]) -> str:
@@ -130,7 +136,7 @@ def lexicon_spans(text: Column | str, lexicon: Iterable[tuple[str, str]] = rules
 
 def lexicon_ner(docs: DataFrame, lexicon: Iterable[tuple[str, str]] = rules.LEXICON, aliases: dict[str, str] | None = None) -> DataFrame:
     """pmid, start, end, text, label, confidence, normalized_text."""
-    spans = docs.select("pmid", F.explode(lexicon_spans("text", lexicon)).alias("m")).select("pmid", "m.*")
+    spans = numbered(docs, lexicon_spans("text", lexicon), "_no").select("pmid", "s.*")
     return spans.withColumn("normalized_text", normalize_alias("text", aliases))
 
 
@@ -215,53 +221,54 @@ def node_label(label: Column | str) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in rules.NODE_OF_ENTITY.items() for x in kv]), col(label))
 
 
-def in_sentences(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Mentions with sentence_no, a row for each sentence that they overlap. The first and the last one come from running
-    counts of sentence ends and starts before the mention's own, so a text costs its sorting, not sentences by mentions."""
-    columns = mentions.columns
+def mention_blocks(mentions: Column, block: int = 64) -> Column:
+    """Sorted mentions in blocks with the span each covers, so that a sentence reads only the blocks at its place."""
+
+    def made(part: Column) -> Column:
+        low, high = F.transform(part, lambda m: m["m_start"]), F.transform(part, lambda m: m["m_end"])
+        return F.struct(F.array_min(low).alias("low"), F.array_max(high).alias("high"), part.alias("ms"))
+
+    size = F.lit(block)
+    numbers = lambda ms: F.sequence(F.lit(0), F.floor((F.size(ms) - 1) / size).cast("int"))
+    return let(mentions, lambda ms: F.transform(numbers(ms), lambda b: let(F.slice(ms, b * size + 1, size), made)))
 
-    def counted(rows: DataFrame, edge: str, at: str, name: str, before: bool) -> DataFrame:
-        kept = [c for c in rows.columns if c != "pmid"]
-        mine = rows.select("pmid", F.col(at).alias("at"), F.lit(1).alias("kind"), F.struct(*kept).alias("row"))
-        marks = sentences.select("pmid", F.col(edge).alias("at"), F.lit(0 if before else 2).alias("kind"), F.lit(None).cast(mine.schema["row"].dataType).alias("row"))
-        order = Window.partitionBy("pmid").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = mine.unionByName(marks).withColumn(name, F.count_if(F.col("kind") != 1).over(order))
-        return both.where("kind = 1").select("pmid", "row.*", name)
 
-    first = counted(mentions, "end", "m_start", "first_no", True)
-    both = counted(first, "start", "m_end", "ends", False)
-    return both.where("first_no < ends").select(*columns, F.explode(F.sequence(F.col("first_no").cast("int"), F.col("ends").cast("int") - 1)).alias("sentence_no"))
+def mentions_within(blocks: Column, start: Column, end: Column) -> Column:
+    """The mentions that overlap a span, in order, with their number among them."""
+    near = F.filter(blocks, lambda b: (b["low"] < end) & (b["high"] > start))
+    found = F.flatten(F.transform(near, lambda b: F.filter(b["ms"], lambda m: (m["m_start"] < end) & (m["m_end"] > start))))
+    return F.transform(found, lambda m, i: F.struct((i + 1).alias("pos"), m["m_start"].alias("m_start"), m["key"].alias("key"), m["node"].alias("node"), m["m_confidence"].alias("m_confidence")))
 
 
 def extract_relations(docs: DataFrame, mentions: DataFrame, tiers: DataFrame | None = None, table=rules.RELATION_RULES, pairs: dict | None = None) -> DataFrame:
     """Relations between mentions of a sentence, at most one per (pmid, head, relation, tail): the last one found wins.
 
-    Sentences are those with two mentions or more; each is matched with the rules once, and mention pairs meet on
-    (pmid, sentence_no) and the node labels that a fired rule takes. tiers: pmid, tier.
+    A paper's mentions meet its text as one sorted array, and the text is split once: each sentence takes the mentions at its
+    place from their blocks, those with two or more go on if one pattern of all triggers is in them, and only then is each
+    rule tried. Mentions are paired within their sentence, by the node labels that a fired rule takes. tiers: pmid, tier.
     """
     spark = docs.sparkSession
-    sentences = split_sentences(docs)
-    nodes = mentions.select("pmid", F.col("start").alias("m_start"), F.col("end").alias("m_end"), node_label("label").alias("node"), F.col("confidence").alias("m_confidence"), F.coalesce(F.when(F.trim("normalized_text") != "", F.trim("normalized_text")), F.trim("text")).alias("key"))
-    per = Window.partitionBy("pmid", "sentence_no")
-    here = in_sentences(nodes, sentences.select("pmid", "start", "end")).withColumn("n", F.count("*").over(per)).where("n >= 2")
-    here = here.withColumn("pos", F.row_number().over(per.orderBy("m_start", "m_end", "key"))).where("node is not null")
+    key = F.coalesce(F.when(F.trim("normalized_text") != "", F.trim("normalized_text")), F.trim("text"))
+    mention = F.struct(F.col("start").alias("m_start"), F.col("end").alias("m_end"), key.alias("key"), node_label("label").alias("node"), F.col("confidence").alias("m_confidence"))
+    held = mentions.select("pmid", mention.alias("m")).groupBy("pmid").agg(F.collect_list("m").alias("ms"))
+    held = held.where(F.size("ms") >= 2).select("pmid", mention_blocks(F.array_sort("ms")).alias("blocks"))
+    blocks = F.col("blocks")
+    told = F.transform(sentence_spans("text"), lambda s, i: F.struct(i.alias("sentence_no"), s["sentence"].alias("sentence"), mentions_within(blocks, s["start"], s["end"]).alias("ms")))
+    spoken = numbered(docs.select("pmid", "text").join(held, "pmid"), F.filter(told, lambda s: F.size(s["ms"]) >= 2), "_no").select("pmid", "s.*")
+    any_trigger = "(?iu)" + "|".join(f"(?:{p})" for _, patterns, _ in table for p in patterns)
+    fired = match_relation_rules(spoken.where(F.col("sentence").rlike(any_trigger)), table)
     allowed = F.broadcast(spark.createDataFrame(rule_rows(table, pairs), "rule_no int, relation string, a_node string, b_node string, c double").drop("relation", "c"))  # the rule table
-    fired = match_relation_rules(sentences.join(here.select("pmid", "sentence_no").distinct(), ["pmid", "sentence_no"], "left_semi"), table)
-    fired = fired.select("pmid", "sentence_no", "rule_no", "relation", "trigger", "rule_confidence").join(allowed, "rule_no")
-    side = lambda p: here.select("pmid", "sentence_no", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "key", "m_confidence", "m_start", "pos")])
-    met = fired.join(side("a"), ["pmid", "sentence_no", "a_node"]).join(side("b"), ["pmid", "sentence_no", "b_node"]).where("a_pos <> b_pos")
-    forward = F.col("a_pos") < F.col("b_pos")
-    good = met.where(forward | ~((F.col("a_node") == F.col("b_node")) & (F.col("b_m_start") <= F.col("a_m_start"))))
-    order = F.struct("sentence_no", "rule_no", F.least("a_pos", "b_pos"), F.greatest("a_pos", "b_pos"), ~forward)
-    best = good.groupBy("pmid", "a_node", casefold("a_key").alias("hk"), "relation", "b_node", casefold("b_key").alias("tk")).agg(
-        F.max_by(F.struct(F.col("a_key").alias("head_key"), F.col("b_key").alias("tail_key"), F.least("a_m_confidence", "b_m_confidence", "rule_confidence").alias("confidence"), "trigger", "sentence_no"), order).alias("last"),
-        F.min(order).alias("first"),
-    )
+    fired = fired.join(allowed, "rule_no")
+    first = fired.withColumn("a", F.explode(F.filter("ms", lambda m: m["node"] == F.col("a_node"))))
+    met = first.withColumn("b", F.explode(F.filter("ms", lambda m: (m["node"] == F.col("b_node")) & (m["pos"] != F.col("a.pos"))))).drop("ms")
+    forward = F.col("a.pos") < F.col("b.pos")
+    good = met.where(forward | ~((F.col("a_node") == F.col("b_node")) & (F.col("b.m_start") <= F.col("a.m_start"))))
+    order = F.struct("sentence_no", "rule_no", F.least("a.pos", "b.pos"), F.greatest("a.pos", "b.pos"), ~forward)
+    last = F.struct(F.col("a.key").alias("head_key"), F.col("b.key").alias("tail_key"), F.least("a.m_confidence", "b.m_confidence", "rule_confidence").alias("confidence"), "trigger", "sentence", "sentence_no")
+    best = good.groupBy("pmid", "a_node", casefold("a.key").alias("hk"), "relation", "b_node", casefold("b.key").alias("tk")).agg(F.max_by(last, order).alias("last"), F.min(order).alias("first"))
     index = F.row_number().over(Window.partitionBy("pmid").orderBy("first"))
-    found = best.select("pmid", index.alias("relation_index"), F.col("a_node").alias("head_label"), "last.head_key", "relation", F.col("b_node").alias("tail_label"), "last.tail_key", "last.confidence", "last.trigger", "last.sentence_no")
-    out = found.join(sentences.select("pmid", "sentence_no", "sentence"), ["pmid", "sentence_no"]).select(
-        "pmid", "relation_index", "head_label", "head_key", "relation", "tail_label", "tail_key", "confidence", "trigger", "sentence", "sentence_no", qualifiers(F.col("relation"), F.col("sentence")).alias("qualifiers")
-    )
+    found = best.select("pmid", index.alias("relation_index"), F.col("a_node").alias("head_label"), "relation", F.col("b_node").alias("tail_label"), "last.*")
+    out = found.select("pmid", "relation_index", "head_label", "head_key", "relation", "tail_label", "tail_key", "confidence", "trigger", "sentence", "sentence_no", qualifiers(F.col("relation"), F.col("sentence")).alias("qualifiers"))
     if tiers is None:
         return out.withColumn("evidence_tier", F.lit(0))
     return out.join(tiers.select("pmid", F.col("tier").alias("evidence_tier")), "pmid", "left").fillna({"evidence_tier": 0})

@@ -51,7 +51,7 @@ def test_evidence(spark, text, tier):
 def test_cleaning(spark):
     assert one(spark, T.clean_text(F.lit("  a&amp;b \x01 c&lt;\n"))) == "a&b c<"
     assert one(spark, T.clean_text(F.lit("&eacute;&#233;&copy 1 &amp;lt; &nosuch; R&D"))) == "éé© 1 &lt; &nosuch; R&D"
-    assert one(spark, T.clean_text(F.lit("&eacute;&lt;"), every_entity=False)) == "&eacute;<"
+    assert one(spark, T.clean_text(F.lit("&eacute;&lt"))) == "é<"
     assert one(spark, T.source_text(F.lit("&alpha;"), F.lit(None).cast("string"))) == "α" and one(spark, T.clean_text(F.lit(None).cast("string"))) == ""
     assert one(spark, T.join_sections(F.array(F.lit("a &beta;"), F.lit(""), F.lit("b")))) == "a β b"
     assert one(spark, T.evidence_tier(F.lit(" label_4 "))) == 4 and one(spark, T.evidence_tier(F.lit("LABEL_9"))) is None
