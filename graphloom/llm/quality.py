@@ -145,6 +145,11 @@ def fit_linear(sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, good: np.
     return w, float(b)
 
 
+def hash_edge(share: float) -> int:
+    """The signed 64-bit hash up to which a share of all hashes lies; a share of some rows is not lost, however many there are."""
+    return min(int(min(1.0, share) * 2.0**64), 2**64 - 1) - 2**63
+
+
 def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...] = ABUSE) -> tuple[WeakLabels | None, np.ndarray, float]:
     """docs: text and what `vote` needs. Vote patterns are counted over all rows; the scorer sees about `sample` rows (by
     a hash of the text, of equal rows one; never over twice as many, which chance alone does not reach), annotated or not,
@@ -156,8 +161,8 @@ def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...
         return None, np.zeros(DIM), 0.0
     model = WeakLabels(counts, 7)
     low = sum(n for c, n in counts.items() if model.bad[c] >= 0.5)
-    shares = [int(1_000_000 * min(1.0, sample / 2 / max(n, 1))) for n in (sum(counts.values()) - low, low)]
-    drawn = rows.withColumn("at", F.pmod(F.xxhash64("body", F.lit(29)), F.lit(1_000_000))).where(F.col("at") < max(shares)).dropDuplicates(["body", "vote"])
+    edges = [hash_edge(sample / 2 / max(n, 1)) for n in (sum(counts.values()) - low, low)]
+    drawn = rows.withColumn("at", F.xxhash64("body", F.lit(29))).where(F.col("at") <= max(edges)).dropDuplicates(["body", "vote"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +170,7 @@ def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...
             for body, v, at in zip(blobs(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 split = body.split()
                 bad = model.bad[_code(measures(body, split, words), v)]
-                if at >= shares[bad >= 0.5]:
+                if at > edges[bad >= 0.5]:
                     continue
                 ids, values = features(split)
                 out.append((bad, ids.astype(np.int32), values.astype(np.float32)))
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, vote: Column, sample: int = 5000, abuse: tuple[str, ...
 
     table = drawn.mapInArrow(run, "bad double, ids array<int>, values array<float>").limit(2 * sample).toArrow().combine_chunks()
     if not table.num_rows:
-        return model, np.zeros(DIM), 0.0
+        raise RuntimeError(f"none of {sum(counts.values())} rows was drawn to teach the scorer")
     ids, values = (table.column(c).combine_chunks() for c in ("ids", "values"))
     sizes = np.diff(ids.offsets.to_numpy())
     good = 1 - table.column("bad").to_numpy()

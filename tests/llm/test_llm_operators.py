@@ -403,3 +403,12 @@ def test_pipeline_removes_passages_of_51_words(spark):
     got = {r.doc_id: r.text for r in P.substring_dedup(spark, table(spark, rows).select(P.COLUMNS), "").collect()}
     assert len(got) == 12 and not any(shared[20:-20] in t for t in got.values())
     assert all(got[i] == t for i, t, *_ in rows if i % 3)
+
+
+def test_teaching_share_at_scale(spark):
+    """A share of a billionth still is a share; a scorer that nobody taught is an error."""
+    assert quality.hash_edge(2500 / 25e9) - quality.hash_edge(0.0) == int(1e-7 * 2**64)
+    assert (quality.hash_edge(0.0), quality.hash_edge(1.0), quality.hash_edge(7.0)) == (-(2**63), 2**63 - 1, 2**63 - 1)
+    docs = spark.createDataFrame([(f"some plain words number {i}", 0) for i in range(20)], "text string, vote int")
+    with pytest.raises(RuntimeError, match="none of 20 rows"):
+        quality.fit(docs, F.col("vote"), sample=0)
