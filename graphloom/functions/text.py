@@ -195,6 +195,16 @@ def first_filled(*columns: Column | str) -> Column:
     return F.coalesce(*[blank_to_null(col(c).cast("string")) for c in columns], F.lit(""))
 
 
+def item_id(kind: str, *parts: Column | str) -> Column:
+    """kind:part:part, as queues name their items; null if a part is null."""
+    return F.concat(F.lit(kind), *[x for p in parts for x in (F.lit(":"), col(p).cast("string"))])
+
+
+def shift_span(start: Column | str, end: Column | str, offset: Column | str) -> Column:
+    """struct start, end of a span found in a part of a text, counted in the text that holds the part at this offset."""
+    return F.struct((col(start) + col(offset)).alias("start"), (col(end) + col(offset)).alias("end"))
+
+
 def stringify(value: Column | str) -> Column:
     return F.coalesce(F.trim(col(value).cast("string")), F.lit(""))
 

@@ -174,6 +174,34 @@ def confusion_matrix(rows: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame
     return every.join(cells, ["true", "pred"], "left").fillna(0, ["n"])
 
 
+DECIDED = ("accepted", "corrected")
+
+
+def annotation_examples(items: DataFrame, include_pending: bool = False) -> DataFrame:
+    """Reviewed items (source_pmid, item_type, tier, relation_type, review_status) as examples: source_pmid, task, label,
+    review_status. Claims teach evidence by their tier, relations their type; items without a label teach nothing."""
+    kept = items.where(F.col("review_status").isin(*DECIDED, *["pending"] * include_pending))
+    claim = F.col("item_type") == "evidence_claim"
+    label = F.when(claim, F.col("tier").cast("string")).otherwise(F.nullif(F.trim("relation_type"), F.lit("")))
+    out = kept.select("source_pmid", F.when(claim, "evidence").otherwise("relation").alias("task"), label.alias("label"), "review_status")
+    return out.where(F.col("label").isNotNull())
+
+
+def gold_seed(items: DataFrame | None = None, ner: DataFrame | None = None) -> DataFrame:
+    """source_pmid, task, label of what was decided, and of entity rows (source_pmid, label); what is pending or rejected is left
+    out, see skipped_decisions()."""
+    parts = [annotation_examples(items).drop("review_status")] if items is not None else []
+    parts += [ner.select("source_pmid", F.lit("ner").alias("task"), "label")] if ner is not None else []
+    if not parts:
+        raise ValueError("items or entity rows are needed")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def skipped_decisions(items: DataFrame) -> DataFrame:
+    """review_status, n of the items that gold_seed() leaves out by their status."""
+    return items.where(F.col("review_status").isin("pending", "rejected")).groupBy("review_status").agg(F.count("*").alias("n"))
+
+
 def _ends(positives: DataFrame) -> DataFrame:
     """group_id, end: the distinct ends of each group that are not blank."""
     trimmed = F.array(F.trim(F.col("head").cast("string")), F.trim(F.col("tail").cast("string")))

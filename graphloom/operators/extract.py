@@ -279,6 +279,22 @@ def ner_examples(mentions: DataFrame) -> DataFrame:
     return mentions.select(F.lit("ner").alias("task"), F.col("pmid").alias("source_pmid"), "text", "label", "start", "end", "confidence", "normalized_text", F.lit(rules.NOTICE).alias("warning"))
 
 
+def entity_observations(mentions: DataFrame) -> DataFrame:
+    """pmid, item_type, label, item_id, identity and text_hash of each mention, for comparing two sets of them: the text is the
+    normalized one where there is no other, the identity leaves the text out."""
+    text = F.trim(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.col("normalized_text"), F.lit("")))
+    label = F.trim(F.coalesce("label", F.lit("")))
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pmid", "start", "end")]
+    return mentions.select(
+        "pmid",
+        F.lit("ner").alias("item_type"),
+        label.alias("label"),
+        F.concat_ws(":", F.lit("ner"), *place, label, text).alias("item_id"),
+        F.sha2(F.concat_ws("|", *place, label), 256).alias("identity"),
+        F.sha2(text, 256).alias("text_hash"),
+    )
+
+
 def phrase_scan(docs: DataFrame, patterns: Iterable[str] = rules.PROHIBITED, negations: Iterable[str] = rules.NEGATIONS, before: int = 80, notice: str | None = None) -> DataFrame:
     """pmid, finding_type, detail: phrases without a negation in the characters before them; texts without the notice."""
     hits = F.concat(*[match_spans("text", f"(?iu){p}") for p in patterns])

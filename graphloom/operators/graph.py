@@ -198,6 +198,17 @@ def nest_records(edges: DataFrame) -> DataFrame:
     return edges.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("relations"))
 
 
+def numbered_relations(records: DataFrame, *keys: str, column: str = "relations") -> DataFrame:
+    """keys, relation_index (from 1, the place in its record) and r: a row for each relation of the array."""
+    return records.select(*keys, F.posexplode(column).alias("i", "r")).select(*keys, (F.col("i") + 1).alias("relation_index"), "r")
+
+
+def recent_records(records: DataFrame, limit: int = 10) -> DataFrame:
+    """The records (record_id, publication_date as text) with the latest dates, of equal ones those with the largest ids as
+    text; a record without a date counts as the oldest."""
+    return records.orderBy(F.desc(F.coalesce("publication_date", F.lit(""))), F.desc(F.col("record_id").cast("string"))).limit(limit)
+
+
 def unnest_records(records: DataFrame) -> DataFrame:
     """Records with an array `relations` to edges with a 1-based relation_index."""
-    return records.select("record_id", F.posexplode("relations").alias("i", "r")).select("record_id", (F.col("i") + 1).alias("relation_index"), *[F.col(f"r.{c}").alias(c) for c in (*ENDS, "evidence_tier", "confidence")])
+    return numbered_relations(records, "record_id").select("record_id", "relation_index", *[F.col(f"r.{c}").alias(c) for c in (*ENDS, "evidence_tier", "confidence")])

@@ -11,7 +11,6 @@ from graphloom.functions import rules
 from graphloom.functions.text import active_learning_reasons, candidate_priority, casefold, evidence_tier, prediction_reasons, review_reasons, said, tier_shift
 from graphloom.operators.search import TextIndex, search
 
-STATUSES = ("pending", "accepted", "corrected", "rejected")
 ITEM = ("item_id", "item_type", "source_pmid", "evidence_tier", "confidence", "relation_type", "reasons")
 
 
@@ -124,6 +123,20 @@ def search_curated(
     return out if limit is None else out.orderBy("item_id").limit(limit)
 
 
+def browse_runs(runs: DataFrame, run_id: str = "", path_contains: str = "", warnings_only: bool = False, limit: int | None = None, paths: tuple[str, ...] = ("predictions_path", "graph_path", "reviewed_queue_path", "overlay_graph_path", "handoff_bundle_path")) -> DataFrame:
+    """Registered runs (run_id, created_at, warning_count, paths), the latest first, by texts of any case within the id and within
+    the paths, joined by a space."""
+    holds = lambda c, x: F.contains(casefold(c), F.lit(x.casefold()))
+    out = runs
+    if run_id:
+        out = out.where(holds(F.col("run_id").cast("string"), run_id))
+    if path_contains:
+        out = out.where(holds(F.concat_ws(" ", *(F.coalesce(F.col(p), F.lit("")) for p in paths)), path_contains))
+    if warnings_only:
+        out = out.where("warning_count > 0")
+    return out if limit is None else out.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
+
+
 def load_guard(overlay: DataFrame) -> DataFrame:
     """One row of an overlaid edge table: relations, overlay_relations, pending, missing_original, safe_to_load."""
     p = F.col("properties")
@@ -283,7 +296,7 @@ def import_batch(spark: SparkSession, paths: str | list[str], columns: list[str]
         if c not in columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     status = F.coalesce("review_status", F.lit("pending"))
-    wrong = F.when(F.col("item_id").isNull(), "a row has no item_id").when(~status.isin(*STATUSES), F.concat("item_id", F.lit(": unknown review status "), status))
+    wrong = F.when(F.col("item_id").isNull(), "a row has no item_id").when(~status.isin(*rules.REVIEW_STATUSES), F.concat("item_id", F.lit(": unknown review status "), status))
     reviewer = F.coalesce("reviewer", "assigned_reviewer")
     return (
         rows.withColumn("review_status", F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(status))

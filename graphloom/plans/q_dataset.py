@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import dataset as D
 from graphloom.operators import review as R
-from graphloom.plans.base import CURATED
+from graphloom.plans.base import CURATED, PREDICTION_DECISIONS, PREDICTIONS
 from graphloom.plans.common import q, table
 
 QUERIES: dict = {}
@@ -231,17 +231,30 @@ def _(spark, sf):
     return D.label_coverage(examples(spark, sf), _CONFIG)
 
 
+def _claims(rows):
+    return rows.select("source_pmid", F.lit("evidence_claim").alias("item_type"), F.col("curated_evidence_tier").alias("tier"), F.lit(None).cast("string").alias("relation_type"), "review_status")
+
+
 @query("annotation_export", f"WITH {CURATED} SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label, review_status FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL")
 def export(spark, sf):
     from graphloom.plans.q_review import curated
 
-    return curated(spark, sf).where("review_status in ('accepted', 'corrected') and curated_evidence_tier is not null").select("source_pmid", F.lit("evidence").alias("task"), F.col("curated_evidence_tier").cast("string").alias("label"), "review_status")
+    return D.annotation_examples(_claims(curated(spark, sf)))
 
 
 @query("gold_seed", f"WITH {CURATED} SELECT source_pmid, 'evidence' AS task, curated_evidence_tier::VARCHAR AS label FROM c WHERE review_status IN ('accepted', 'corrected') AND curated_evidence_tier IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, 'ner', lang FROM documents")
 def gold(spark, sf):
-    ner = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_pmid"), F.lit("ner").alias("task"), F.col("lang").alias("label"))
-    return export(spark, sf).drop("review_status").unionByName(ner)
+    from graphloom.plans.q_review import curated
+
+    return D.gold_seed(_claims(curated(spark, sf)), table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_pmid"), F.col("lang").alias("label")))
+
+
+@query("gold_seed_skipped", f"WITH {PREDICTIONS}, {PREDICTION_DECISIONS} SELECT coalesce(review_status, 'pending') AS review_status, count(*) AS n FROM p LEFT JOIN r USING (item_id) WHERE coalesce(review_status, 'pending') IN ('pending', 'rejected') GROUP BY ALL")
+def _(spark, sf):
+    from graphloom.plans.base import prediction_decisions, predictions
+
+    decided = predictions(spark, sf).select("item_id").join(prediction_decisions(spark, sf), "item_id", "left")
+    return D.skipped_decisions(decided.withColumn("review_status", F.coalesce("review_status", F.lit("pending"))))
 
 
 _TWO = "o AS (SELECT doc_id::VARCHAR AS item_id, quality::VARCHAR AS label, CASE WHEN toxic = 1 THEN 'withdrawn' ELSE 'accepted' END AS status FROM labels UNION ALL SELECT doc_id::VARCHAR, CASE WHEN doc_id % 7 = 0 THEN '9' ELSE quality::VARCHAR END, 'accepted' FROM labels)"

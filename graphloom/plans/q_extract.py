@@ -117,18 +117,13 @@ def _phrase_sql() -> str:
     return f"SELECT pmid, 'prohibited_assertion' AS finding_type, 'Potential scope drift phrase: ' || phrase AS detail FROM (SELECT pmid, f[i] AS phrase, substr(text, greatest(1, {start} - 79), least(80, {start})) AS b FROM ({' UNION ALL '.join(parts)})) WHERE NOT (" + " OR ".join(f"contains(lower(b), {q(n)})" for n in rules.NEGATIONS) + ")"
 
 
-def _observations(docs: DataFrame) -> DataFrame:
-    identity = F.sha2(F.concat_ws("|", "pmid", "start", "end", "label"), 256)
-    return _mentions(docs).select("pmid", F.lit("ner").alias("item_type"), "label", identity.alias("identity"), F.sha2("text", 256).alias("text_hash"))
-
-
 QUERIES = {
     "split_sentences": on_papers(E.split_sentences),
     "chunk_text": on_papers(lambda d: E.chunk_text(d, 250, 40)),
     "lexicon_ner": on_papers(_mentions),
     "ner_apply": on_papers(lambda d: E.ner_apply(d, LEXICON[:5], 100, 20).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("pmid").alias("papers"))),
     "ner_examples": on_papers(lambda d: E.ner_examples(_mentions(d)).select("source_pmid", "task", "text", "label", "start", "end", "warning")),
-    "entity_observations": on_papers(_observations),
+    "entity_observations": on_papers(lambda d: E.entity_observations(_mentions(d))),
     "classify_evidence": on_papers(lambda d: E.classify_evidence(d, CUES).withColumn("cues", F.array_join("cues", "; "))),
     "match_relation_rules": on_papers(lambda d: E.match_relation_rules(E.split_sentences(d), RULES).select("pmid", "sentence_no", "rule_no", "relation", "trigger", "rule_confidence")),
     "extract_relations": on_papers(_relations),
@@ -147,7 +142,7 @@ ORACLE = {
     "lexicon_ner": f"WITH {_MENTIONS} SELECT * FROM n",
     "ner_apply": f"WITH {_MENTIONS} SELECT label, count(*) AS n, count(DISTINCT pmid) AS papers FROM n WHERE label NOT IN ('TREATMENT', 'PATHWAY') GROUP BY label",
     "ner_examples": f"WITH {_MENTIONS} SELECT pmid AS source_pmid, 'ner' AS task, text, label, start, \"end\", {q(rules.NOTICE)} AS warning FROM n",
-    "entity_observations": f"WITH {_MENTIONS} SELECT pmid, 'ner' AS item_type, label, sha256(pmid || '|' || start::VARCHAR || '|' || \"end\"::VARCHAR || '|' || label) AS identity, sha256(text) AS text_hash FROM n",
+    "entity_observations": f"WITH {_MENTIONS} SELECT pmid, 'ner' AS item_type, label, concat_ws(':', 'ner', pmid, start, \"end\", label, text) AS item_id, sha256(pmid || '|' || start::VARCHAR || '|' || \"end\"::VARCHAR || '|' || label) AS identity, sha256(text) AS text_hash FROM n",
     "classify_evidence": _cues_sql(),
     "match_relation_rules": f"WITH {_SENTENCES} SELECT pmid, sentence_no, CAST(r.rule_no AS INTEGER) AS rule_no, r.relation AS relation, r.trigger AS trigger, r.c AS rule_confidence FROM (SELECT pmid, sentence_no, unnest({_fired('sentence')}) AS r FROM s) WHERE r.trigger IS NOT NULL",
     "extract_relations": f"WITH {_RELATIONS} SELECT * FROM r",

@@ -142,7 +142,8 @@ def _(spark, sf):
 
 @query("recent_records", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY day DESC, o_orderkey::VARCHAR DESC LIMIT 20")
 def _(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).orderBy(F.desc("day"), F.desc(F.col("o_orderkey").cast("string"))).limit(20)
+    records = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"))
+    return G.recent_records(records, 20).select(F.col("record_id").alias("o_orderkey"), F.col("publication_date").alias("day"))
 
 
 def overlaid(spark, sf):

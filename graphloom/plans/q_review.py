@@ -283,7 +283,9 @@ def _(spark, sf):
 
 @query("browse_runs", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'high') AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")
 def _(spark, sf):
-    return table(spark, sf, "orders").where(F.contains(F.lower("o_orderpriority"), F.lit("high")) & (F.col("o_orderstatus") == "F")).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(30).select("o_orderkey", "o_orderpriority")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "F").cast("int").alias("warning_count"), F.col("o_orderpriority").alias("predictions_path"))
+    found = R.browse_runs(runs, path_contains="HIGH", warnings_only=True, limit=30, paths=("predictions_path",))
+    return found.select(F.col("run_id").alias("o_orderkey"), F.col("predictions_path").alias("o_orderpriority"))
 
 
 _TWO = "t AS (SELECT doc_id::VARCHAR AS item_id, 'a' AS source, quality::VARCHAR AS x, toxic::VARCHAR AS y FROM labels UNION ALL SELECT doc_id::VARCHAR, 'b', CASE WHEN doc_id % 3 = 0 THEN '1' ELSE quality::VARCHAR END, CASE WHEN doc_id % 5 = 0 THEN '' ELSE toxic::VARCHAR END FROM labels), f AS (SELECT item_id, source, 'evidence_tier' AS field, x AS value FROM t UNION ALL SELECT item_id, source, 'review_status', y FROM t)"
@@ -297,9 +299,20 @@ def _(spark, sf):
     return R.adjudicate(a.unionByName(b), ("evidence_tier", "review_status")).withColumn("values", F.array_join("values", ";"))
 
 
-@query("validate_review_item", f"WITH {DECISIONS} SELECT item_id, CASE WHEN review_status IN ('corrected', 'rejected') THEN review_status || ' items require review_notes' ELSE '' END AS problems FROM d")
+_NOTED = "n AS (SELECT item_id, review_status, length(item_id) % 2 = 1 AS blank, CASE WHEN length(item_id) % 3 > 0 THEN corrected_tier END AS tier FROM d)"
+_PROBLEMS = sql_said(
+    ("review_status = 'corrected' AND blank", q("corrected items require review_notes")),
+    ("review_status = 'corrected' AND tier IS NULL", q("corrected items require a correction")),
+    ("review_status = 'rejected' AND blank", q("rejected items require review_notes")),
+)
+
+
+@query("validate_review_item", f"WITH {DECISIONS}, {_NOTED} SELECT item_id, array_to_string({_PROBLEMS}, '; ') AS problems FROM n")
 def _(spark, sf):
-    return decisions(spark, sf).select("item_id", F.array_join(R.item_problems(F.col("review_status"), F.lit(""), F.col("corrected_tier")), "; ").alias("problems"))
+    """Items with and without notes and corrections."""
+    n = F.length("item_id")
+    notes, tier = F.when(n % 2 == 0, "seen").otherwise(" "), F.when(n % 3 > 0, F.col("corrected_tier"))
+    return decisions(spark, sf).select("item_id", F.array_join(R.item_problems(F.col("review_status"), notes, tier), "; ").alias("problems"))
 
 
 @query("validate_prediction_item", f"WITH {PREDICTIONS}, {PREDICTION_DECISIONS} SELECT item_id, CASE WHEN review_status = 'accepted' AND tier IS NULL THEN 'accepted predictions require a valid predicted evidence tier' ELSE '' END AS problems FROM p JOIN r USING (item_id)")

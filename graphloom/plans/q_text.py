@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import rules
 from graphloom.functions import text as T
+from graphloom.operators.graph import numbered_relations
 from graphloom.plans.common import q, sql_bucket, sql_clean, sql_first_match, sql_fold, sql_map, sql_said, sql_squeeze, sql_tier, table
 
 _names = {f"src{i}": f"Source {i}" for i in range(0, 20, 2)}
@@ -22,7 +23,7 @@ ORACLE: dict[str, str] = {
     "normalize_entity_label": f"SELECT o_orderkey, {sql_map(f"upper(translate(trim({_raw}), '-_', '  '))", rules.LABEL_ALIASES, q('UNKNOWN'))} AS label FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'B-gene' WHEN 1 THEN 'cell_type' WHEN 2 THEN 'I-Disease-Disorder' WHEN 3 THEN 'chemical' ELSE o_orderstatus END AS t FROM orders)",
     "entity_from_span": "SELECT doc_id, CASE WHEN e <= length(text) AND trim(substr(text, s + 1, e - s)) <> '' THEN trim(substr(text, s + 1, e - s)) ELSE 'w' END AS text, 'GENE' AS label, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", greatest(0.0, least(1.0, n_chars / 1000.0)) AS confidence FROM (SELECT *, doc_id % 7 AS s, doc_id % 7 + 6 AS e FROM documents)",
     "source_text": f"SELECT doc_id, {sql_clean("source || chr(10) || chr(10) || text")} AS source_text FROM documents",
-    "shift_span_offsets": "SELECT doc_id, doc_id % 7 + 100 AS start, doc_id % 7 + 106 AS \"end\" FROM documents",
+    "shift_span_offsets": "SELECT doc_id, CAST(instr(substr(text, 11), 'e') - 1 + 10 AS INTEGER) AS start, CAST(instr(substr(text, 11), 'e') + 10 AS INTEGER) AS \"end\" FROM documents",
     "publication_date": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y') || ' Spring' ELSE strftime(o_orderdate, '%Y') || '-' || strftime(o_orderdate, '%m') || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '-' || strftime(o_orderdate, '%d') END END AS publication_date FROM orders",
     "match_key": f"SELECT doc_id, replace({sql_fold('source')}, '_', '') AS label_key, trim(regexp_replace({sql_fold('text')}, '[^a-z0-9]+', ' ', 'g')) AS text_key FROM documents",
     "parse_evidence_tier": f"SELECT event_id, {sql_tier("(CASE event_id % 3 WHEN 0 THEN 'LABEL_' WHEN 1 THEN ' ' ELSE 'x' END || (event_id % 8)::VARCHAR)")} AS tier FROM events",
@@ -58,7 +59,9 @@ def _columns() -> dict:
     span = T.entity_from_span(c("text"), (c("doc_id") % 7).cast("int"), (c("doc_id") % 7 + 6).cast("int"), F.lit("w"), F.lit("GENE"), c("n_chars") / 1000.0)
     out["entity_from_span"] = ("documents", {"doc_id": c("doc_id"), "text": span["text"], "label": span["label"], "start": span["start"], "end": span["end"], "confidence": span["confidence"]})
     out["source_text"] = ("documents", {"doc_id": c("doc_id"), "source_text": T.source_text("source", "text")})
-    out["shift_span_offsets"] = ("documents", {"doc_id": c("doc_id"), "start": c("doc_id") % 7 + 100, "end": c("doc_id") % 7 + 106})
+    found = F.instr(F.substring("text", F.lit(11), F.length("text")), "e")  # in the part of the text after its first ten characters
+    moved = T.shift_span(found - 1, found, F.lit(10))
+    out["shift_span_offsets"] = ("documents", {"doc_id": c("doc_id"), "start": moved["start"], "end": moved["end"]})
     date = c("o_orderdate")
     out["publication_date"] = ("orders", {"o_orderkey": c("o_orderkey"), "publication_date": T.publication_date(F.when(c("o_orderstatus") == "F", F.concat(F.date_format(date, "yyyy"), F.lit(" Spring"))), F.date_format(date, "yyyy"), F.date_format(date, "MM"), F.when(c("o_orderstatus") != "P", F.date_format(date, "dd")))})
     out["match_key"] = ("documents", {"doc_id": c("doc_id"), "label_key": T.match_label("source"), "text_key": T.match_text("text")})
@@ -83,7 +86,7 @@ def _columns() -> dict:
     some = F.struct(F.lit(None).cast("string").alias("cohort"), F.when(c("doc_id") % 2 == 0, c("lang")).alias("species_model"), F.lit(None).cast("string").alias("mutation_status"), c("source").alias("trial_phase"), F.lit(None).cast("string").alias("evidence_context"))
     out["qualifier_properties"] = ("documents", {"doc_id": c("doc_id"), "properties": F.array_join(F.array_sort(F.transform(F.map_entries(T.qualifier_map(some)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"), "n": F.size(T.qualifier_map(some))})
     out["example_coalesce"] = ("conversations", {"conv_id": c("conv_id"), "turn": c("turn"), "body": T.first_filled(F.when(c("turn") % 2 == 1, F.lit("  ")).otherwise(c("text")), c("role"))})
-    out["item_id"] = ("lineitem", {"l_orderkey": c("l_orderkey"), "l_linenumber": c("l_linenumber"), "item_id": F.concat_ws(":", F.lit("relation"), c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))})
+    out["item_id"] = ("lineitem", {"l_orderkey": c("l_orderkey"), "l_linenumber": c("l_linenumber"), "item_id": T.item_id("relation", "l_orderkey", "l_linenumber")})
     out["content_hash"] = ("documents", {"doc_id": c("doc_id"), "hash": T.content_hash("source", "lang")})
     out["node_payload"] = ("part", {"node_id": F.concat(F.lit("Drug:"), c("p_partkey").cast("string")), "display_name": T.first_filled(F.when(c("p_partkey") % 3 == 0, c("p_name")), F.when(c("p_partkey") % 3 == 1, c("p_type")), "p_partkey")})
     out["stringify_decision"] = ("orders", {"o_orderkey": c("o_orderkey"), "decision": T.stringify(F.when(c("o_orderkey") % 3 > 0, F.concat(F.lit(" "), c("o_orderpriority"), F.lit(" "))))})
@@ -100,4 +103,4 @@ def _run(name: str):
 
 
 QUERIES = {name: _run(name) for name in ORACLE}
-QUERIES["relation_ordinal"] = lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).select("doc_id", (F.col("i") + 1).alias("relation_index"), "word")
+QUERIES["relation_ordinal"] = lambda spark, sf: numbered_relations(table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")), "doc_id", column="words").withColumnRenamed("r", "word")

@@ -77,6 +77,48 @@ def test_merge_is_idempotent_and_takes_the_largest(spark):
     assert G.edge_sources(e, most=1).count() == 2
 
 
+def test_small_functions(spark):
+    assert one(spark, T.item_id("relation", F.lit(7), F.lit("x"))) == "relation:7:x"
+    assert one(spark, T.item_id("relation", F.lit(None), F.lit("x"))) is None
+    assert tuple(one(spark, T.shift_span(F.lit(2), F.lit(5), F.lit(100)))) == (102, 105)
+    rows = spark.createDataFrame([("9", "2024"), ("10", "2024"), ("7", None), ("8", "2024-05")], "record_id string, publication_date string")
+    assert [r.record_id for r in G.recent_records(rows, 3).collect()] == ["8", "9", "10"]
+    records = spark.createDataFrame([("1", ["a", "b"]), ("2", []), ("3", None)], "id string, relations array<string>")
+    assert [tuple(r) for r in G.numbered_relations(records, "id").collect()] == [("1", 1, "a"), ("1", 2, "b")]
+
+
+def test_runs_are_browsed_latest_first(spark):
+    columns = "run_id string, created_at string, warning_count int, predictions_path string, graph_path string"
+    runs = spark.createDataFrame([("Run-A", "1", 0, "in/Strasse.jsonl", None), ("run-b", "2", 3, "in/y", "g/STRASSE"), ("c", "3", 1, None, None)], columns)
+    ids = lambda **k: [r.run_id for r in R.browse_runs(runs, paths=("predictions_path", "graph_path"), limit=5, **k).collect()]
+    assert ids() == ["c", "run-b", "Run-A"]
+    assert ids(run_id="RUN") == ["run-b", "Run-A"]
+    assert ids(path_contains="straße") == ["run-b", "Run-A"]
+    assert ids(path_contains="straße", warnings_only=True) == ["run-b"]
+
+
+def test_examples_and_seeds_follow_decisions(spark):
+    items = spark.createDataFrame(
+        [("1", "evidence_claim", 3, None, "accepted"), ("1", "graph_relation", 2, " TARGETS", "corrected"), ("2", "evidence_claim", None, None, "accepted"), ("3", "evidence_claim", 1, None, "pending"), ("4", "graph_relation", 1, "X", "rejected")],
+        "source_pmid string, item_type string, tier int, relation_type string, review_status string",
+    )
+    shown = lambda df: sorted((r.source_pmid, r.task, r.label) for r in df.collect())
+    assert shown(D.annotation_examples(items)) == [("1", "evidence", "3"), ("1", "relation", "TARGETS")]
+    assert shown(D.annotation_examples(items, include_pending=True))[-1] == ("3", "evidence", "1")
+    ner = spark.createDataFrame([("9", "GENE")], "source_pmid string, label string")
+    assert shown(D.gold_seed(items, ner))[-1] == ("9", "ner", "GENE")
+    assert {r.review_status: r.n for r in D.skipped_decisions(items).collect()} == {"pending": 1, "rejected": 1}
+    with pytest.raises(ValueError):
+        D.gold_seed()
+
+
+def test_entity_observations(spark):
+    m = spark.createDataFrame([("1", 2, 5, " ", "Norm", "GENE"), ("1", 2, 5, "abc", "Norm", "GENE")], "pmid string, start int, end int, text string, normalized_text string, label string")
+    a, b = E.entity_observations(m).orderBy("item_id").collect()
+    assert (a.item_id, b.item_id) == ("ner:1:2:5:GENE:Norm", "ner:1:2:5:GENE:abc")
+    assert a.identity == b.identity and a.text_hash != b.text_hash
+
+
 def test_overlay_reverts(spark):
     e = edges(spark, ("1", 1, "a", "x", 1, 0.5), ("2", 1, "a", "x", 4, 0.2))
     curated = spark.createDataFrame([("p1", "1", 3, "accepted"), ("p2", "1", 5, "pending"), ("p3", "9", 2, "accepted")], "item_id string, source_pmid string, curated_evidence_tier int, review_status string")
