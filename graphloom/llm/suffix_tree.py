@@ -229,7 +229,7 @@ def _followed(words: _Shared, sets: _Shared, levels: list[int]):
     return run
 
 
-def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 100, least: int = 20, discount: float = 0.5, strictness: float = 3.0) -> Model:
+def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 10, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> Model:
     """The tree as tables. A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
     probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
     """
@@ -246,7 +246,8 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000
         frequent = lambda table: table.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
         sets = _Shared(spark, (_bitmap(frequent(lower)), _bitmap(lower)), 0)
         counted = bodies.mapInArrow(_followed(shared, sets, levels), "d int, s long, low long, n long").groupBy("d", "s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        counted = scratch.save(counted, f"counted{levels[0]}")
+        if len(levels) > 1:
+            counted = scratch.save(counted, "counted")
         for d in levels:
             contexts = frequent(lower)
             found = counted.where(F.col("d") == d).join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low")
@@ -262,10 +263,12 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000
             lower = scratch.save(rows.join(states, "s").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / given)).otherwise(0.0).alias("delta")), f"entries{d}")
             scratch.drop(f"rows{d}")
             runs.append(lower.select("key"))
-            parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta")]
+            parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta").where("delta <> 0")]
     deltas = functools.reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "key long, w long, delta double"))
     deltas = scratch.save(deltas.groupBy("key").agg(F.max("w").alias("w"), F.sum("delta").alias("delta")).where("delta <> 0"), "deltas")
-    return Model(tree, counts, deltas, _bitmap(functools.reduce(DataFrame.unionByName, runs)), depth + 1)
+    bits = _bitmap(functools.reduce(DataFrame.unionByName, runs))
+    scratch.drop("ids", "counted", *(f"{x}{d}" for x in ("states", "entries") for d in range(1, depth + 1)))
+    return Model(tree, counts, deltas, bits, depth + 1)
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>, runs array<long>"

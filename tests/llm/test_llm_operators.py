@@ -120,9 +120,9 @@ def test_suffix_tree(spark, docs):
     n, v = sum(count.values()) + ends, len(count) + 1
     want = collections.Counter((i, held(i), len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, round(sum(math.log10((c + 1) / (n + v + 1)) for c in [ends, *(count[x] for x in w)]), 6)) for (i, *_), w in zip(rows, words))
     for head in (200_000, 3):
-        got = suffix_tree.score_documents(docs, rule, head=head, context_least=10, least=2).collect()
+        got = suffix_tree.score_documents(docs, rule, head=head).collect()
         assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    got = suffix_tree.score_documents(docs, rule, context_least=10, least=2).collect()
+    got = suffix_tree.score_documents(docs, rule).collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
@@ -362,7 +362,7 @@ def test_suffix_tree_scores_by_definition(spark, settings):
     docs, rule = table(spark, rows), F.col("doc_id") % 7 == 2
     p, states, _ = suffix_tree_by_definition([t for i, t, *_ in rows if i % 7 != 2], 4, 10, 2)
     assert {len(c) for c in states} == {1, 2, 3, 4}
-    got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, context_least=10, least=2, **settings).collect()}
+    got = {r.doc_id: r for r in suffix_tree.score_documents(docs, rule, **settings).collect()}
     for i, text, *_ in rows:
         words = [*text.split(), None]
         want = 0.0
