@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, WORD, text_of
 
 DIMS = ("source", "lang", "topic")
+SETTLED = 0.99
 #: Topics by the words (or signs) a text holds, first match; a parameter.
 TOPICS = (
     ("licence", ("license", "licence", "copyright", "rights reserved")),
@@ -69,27 +70,34 @@ def targets_of(cells: DataFrame, d: str, wanted: float, alpha: float, shares: Da
 
 def rake(cells: DataFrame, budget: float, alphas: dict[str, float], shares: dict[str, DataFrame], scratch: Scratch, rounds: int = 60, tolerance: float | None = 5e-4) -> DataFrame:
     """cells: source, lang, topic, tokens -> with `weight`, expected tokens, none above tokens. Ends after `rounds`, or
-    when no marginal is farther than `tolerance` of all tokens from its target; targets that contradict each other, or ask
-    for what the cells do not have, are met as nearly as the last round does."""
+    when no marginal is farther than `tolerance` of all tokens from its target, or three more rounds bring them no nearer (not
+    to SETTLED of the distance), which is so for targets that contradict each other or ask for what the cells do not have;
+    these are met as nearly as the last round does. A marginal is summed map-side and joined back, so that the cells of one
+    value need not meet in one task."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     out = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for d in DIMS:
         out = out.join(targets_of(cells, d, budget * total, alphas[d], shares.get(d), scratch), d)
-    out = scratch.save(out, "start")
+    out, before = scratch.save(out, "start"), float("inf")
     for i in range(rounds):
         for d in DIMS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(now > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col(f"target_{d}") / now))).otherwise(0.0))
-        if i % 3 == 2:
-            out = scratch.save(out, f"round{i}")
-            if tolerance is not None and all(_error(out, d) <= tolerance * total for d in DIMS):
+            now = F.col("now")
+            weight = F.when(now > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col(f"target_{d}") / now))).otherwise(0.0)
+            out = out.join(out.groupBy(d).agg(F.sum("weight").alias("now")), d).withColumn("weight", weight).drop("now")
+        out = scratch.save(out, f"round{i}")
+        scratch.drop(f"round{i - 1}" if i else "start")
+        if i % 3 == 2 and tolerance is not None:
+            error = _error(out)
+            if error <= tolerance * total or error > SETTLED * before:
                 break
+            before = error
     return out.select(*DIMS, "tokens", "weight")
 
 
-def _error(cells: DataFrame, d: str) -> float:
-    met = cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("e"))
-    return met.agg(F.coalesce(F.max("e"), F.lit(0.0))).first()[0]
+def _error(cells: DataFrame) -> float:
+    """The largest distance of a marginal from its target."""
+    far = (cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("e")).select("e") for d in DIMS)
+    return functools.reduce(DataFrame.unionByName, far).agg(F.coalesce(F.max("e"), F.lit(0.0))).first()[0]
 
 
 def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: str = "mix", rules: tuple = TOPICS, small: int = 100_000, **raking) -> DataFrame:
