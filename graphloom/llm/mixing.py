@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, WORD, text_of
@@ -68,24 +68,32 @@ def targets_of(cells: DataFrame, d: str, wanted: float, alpha: float, shares: Da
         factor = new
 
 
-def rake(cells: DataFrame, budget: float, alphas: dict[str, float], shares: dict[str, DataFrame], scratch: Scratch, rounds: int = 60, tolerance: float | None = 5e-4) -> DataFrame:
+def rake(cells: DataFrame, budget: float, alphas: dict[str, float], shares: dict[str, DataFrame], scratch: Scratch, rounds: int = 60, tolerance: float | None = 5e-4, small: int = 100_000) -> DataFrame:
     """cells: source, lang, topic, tokens -> with `weight`, expected tokens, none above tokens. Ends after `rounds`, or
     when no marginal is farther than `tolerance` of all tokens from its target, or three more rounds bring them no nearer (not
     to SETTLED of the distance), which is so for targets that contradict each other or ask for what the cells do not have;
     these are met as nearly as the last round does. A marginal is summed map-side and joined back, so that the cells of one
-    value need not meet in one task."""
+    value need not meet in one task; only cells that are at most `small` by count are summed by a window, which is the same
+    with fewer jobs."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     out = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for d in DIMS:
         out = out.join(targets_of(cells, d, budget * total, alphas[d], shares.get(d), scratch), d)
-    out, before = scratch.save(out, "start"), float("inf")
+    before, saved, few = float("inf"), "start", cells.count() <= small
+    out = scratch.save(out, saved)
     for i in range(rounds):
         for d in DIMS:
+            if few:
+                out = out.withColumn("now", F.sum("weight").over(Window.partitionBy(d)))
+            else:
+                out = out.join(out.groupBy(d).agg(F.sum("weight").alias("now")), d)
             now = F.col("now")
             weight = F.when(now > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col(f"target_{d}") / now))).otherwise(0.0)
-            out = out.join(out.groupBy(d).agg(F.sum("weight").alias("now")), d).withColumn("weight", weight).drop("now")
-        out = scratch.save(out, f"round{i}")
-        scratch.drop(f"round{i - 1}" if i else "start")
+            out = out.withColumn("weight", weight).drop("now")
+        if i % 3 == 2 or not few or i == rounds - 1:
+            out = scratch.save(out, f"round{i}")
+            scratch.drop(saved)
+            saved = f"round{i}"
         if i % 3 == 2 and tolerance is not None:
             error = _error(out)
             if error <= tolerance * total or error > SETTLED * before:
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, budget: float = 0.8, alphas: dict[str, float] | None =
     cells = named.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = scratch.save(cells, "cells")
     prob = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(float(budget)))
-    fitted = scratch.save(rake(cells, budget, alphas, targets or {}, scratch, **raking).withColumn("prob", prob), "fitted")
+    fitted = scratch.save(rake(cells, budget, alphas, targets or {}, scratch, small=small, **raking).withColumn("prob", prob), "fitted")
     probs = fitted.select(*(F.col(d).alias(f"mix_{d}") for d in DIMS), "prob")
     if fitted.count() <= small:
         probs = F.broadcast(probs)

@@ -263,6 +263,10 @@ def test_raking_meets_its_targets_within_what_cells_hold(spark):
     cells, total = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), sum(r[3] for r in rows)
     alphas = {"source": 0.5, "lang": 0.7, "topic": 0.9}
     got = mixing.rake(cells, 0.7, alphas, {}, Scratch(spark, "t")).collect()
+    joined = mixing.rake(cells, 0.7, alphas, {}, Scratch(spark, "t"), rounds=3, small=0).collect()
+    summed = mixing.rake(cells, 0.7, alphas, {}, Scratch(spark, "t"), rounds=3).collect()
+    key = lambda r: (r.source, r.lang, r.topic, r.tokens, round(r.weight, 6))
+    assert sorted(map(key, joined)) == sorted(map(key, summed))
     assert all(0 <= r.weight <= r.tokens for r in got)
     for d in mixing.DIMS:
         have, now = collections.Counter(), collections.Counter()
