@@ -10,7 +10,8 @@ A context needs `context_least` occurrences and a next word `least` after it, th
 beyond that only the test decides, so contexts and next words grow with the corpus. They are Spark tables, keyed by
 64-bit hashes of their words: what a run of words adds to a score is joined to the texts that hold it. Of fixed size are
 only the most frequent words and runs, which travel with the scorer and need no join, and bitmaps that let through every
-key of a table and few others.
+key of a table and few others. What is counted or joined by the token goes through the shuffle as arrays, a row for each
+range of keys that a task has met, and is added up by range; the number of ranges grows with the corpus.
 
 Nulls and odd rows: null text is empty and is scored as its end token; null doc_id counts as the empty text in the
 training rule; repeated rows count and are scored each; no training rows: every token is unknown; extra columns are
@@ -92,20 +93,17 @@ class _Shared:
 class Model(NamedTuple):
     words: Words  #: the words of the head
     counts: DataFrame  #: all training words (word, n)
-    deltas: DataFrame  #: what a run of words adds to the score of a text it stands in (key, w: its count, delta)
+    deltas: DataFrame  #: what a run of words adds to the score of a text it stands in (key, w: its count, delta), a row as entry and one as context
     runs: np.ndarray  #: bitmap of all frequent runs
     longest: int  #: words in the longest run
+    tables: list[str]  #: scratch tables that deltas reads
 
 
-def _floor(table: DataFrame, n: str, room: int) -> int | None:
-    """The least count such that at most `room` rows have it or more, by eighths of powers of two."""
-    floor = None
-    for r in table.groupBy(F.floor(F.log2(n) * 8).alias("octave")).agg(F.count("*").alias("k"), F.min(n).alias("low")).orderBy(F.desc("octave")).collect():  # at most 8 * 63 rows
-        room -= r.k
-        if room < 0:
-            break
-        floor = r.low
-    return floor
+def _floor(table: DataFrame, n: str, room: int) -> tuple[int, int]:
+    """The least count such that at most `room` rows have it or more, by eighths of powers of two, and the rows below it."""
+    octaves = table.groupBy(F.floor(F.log2(n) * 8).alias("octave")).agg(F.count("*").alias("k"), F.min(n).alias("low")).orderBy(F.desc("octave")).collect()  # at most 8 * 63 rows
+    fit = int(np.searchsorted(np.cumsum([r.k for r in octaves]), room, side="right")) if octaves else 0
+    return octaves[fit - 1].low if fit else 1 << 62, sum(r.k for r in octaves[fit:])
 
 
 def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFrame]:
@@ -113,14 +111,15 @@ def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFra
     bodies = docs.select(text_of().cast("binary").alias("body"))
     counts = scratch.save(bodies.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = docs.count()
-    floor = _floor(counts, "n", head)
-    frequent = counts.where(F.col("n") >= (floor if floor is not None else 1 << 62)).orderBy(F.desc("n"), "word").toArrow()  # at most `head` rows
+    floor, _ = _floor(counts, "n", head)
+    frequent = counts.where(F.col("n") >= floor).orderBy(F.desc("n"), "word").toArrow()  # at most `head` rows
     said = counts.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
     return Words(frequent["word"].to_pylist(), frequent["n"].to_numpy(), ends, said.s + ends, said.k + (ends > 0)), counts
 
 
 _BITS = 1 << 26
-_BATCH = 1 << 19
+_BATCH = 1 << 20
+_RANGE = 1 << 19  #: keys in a range, about
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -164,13 +163,18 @@ def _ids(shared: _Shared, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndar
     return np.fromiter(map(_IDS[shared.id].__getitem__, flat), np.int64, int(n.sum())), n
 
 
-def _grams(ids: np.ndarray, n: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length, the key of the words that end at each token, and whether they stand in one text."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    key = ids
-    for d in range(1, longest + 1):
-        yield key, place >= d - 1
-        key = _pair(np.concatenate((key[:1], key[:-1])), key)
+def _places(n: np.ndarray) -> np.ndarray:
+    """Of texts of n tokens one after the other, each token's place in its text."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _longer(key: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """From the keys of the words that end at each token, those of one word more; right at the places `at`, or at all."""
+    if at is None:
+        return _pair(np.concatenate((key[:1], key[:-1])), key)
+    out = np.zeros_like(key)
+    out[at] = _pair(key[at - 1], key[at])
+    return out
 
 
 def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -189,35 +193,75 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _followed(words: _Shared, sets: _Shared, levels: list[int]):
-    """Counts of (d, context of d words, the d words that end one token later) for each d of the levels. The sets know the
-    frequent runs of the first level; a longer run is a candidate if all of its runs of that length are frequent."""
+def _range_bits(keys: int) -> int:
+    """Leading bits of a key that tell its range."""
+    return max(3, (keys // _RANGE).bit_length())
+
+
+def _ranges(key: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Ranges that sorted unsigned keys fall in, and where each starts and ends."""
+    at = (key >> np.uint64(64 - bits)).astype(np.int32)
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    return at[starts], list(zip(starts.tolist(), [*starts[1:].tolist(), len(at)]))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones, which compresses better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel() for x in column.to_pylist()]
+
+
+def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, unsigned, the place of the first of each, and their sums of x."""
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], order[first], np.add.reduceat(x[order], first) if len(first) else x[:0]
+
+
+def _followed(words: _Shared, sets: _Shared, levels: list[int], bits: int):
+    """Counts of (d, context of d words, the d words that end one token later) for each d of the levels, as arrays by range. The
+    sets know the frequent runs of the first level; a longer run is a candidate if all of its runs of that length are frequent."""
 
     def out(held: list) -> pa.RecordBatch:
-        parts = []
+        rows = []
         for d, found in zip(levels, held):
             if found:
-                key, first, inverse = np.unique(np.concatenate([_pair(*x) for x in found]), return_index=True, return_inverse=True)
-                before, now = (np.concatenate(x)[first] for x in zip(*found))
-                parts.append((np.full(len(key), d, np.int32), before, now, np.bincount(inverse, minlength=len(key))))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["d", "s", "low", "n"])
+                before, now = (np.concatenate(x) for x in zip(*found))
+                key, first, n = _summed(_pair(before, now), np.ones(len(now), np.int64))
+                before, now, n = before[first], now[first], n.astype(np.int32)
+                at, cuts = _ranges(key, bits)
+                rows += [(d, r, *(_packed(x[lo:hi]) for x in (before, now, n))) for r, (lo, hi) in zip(at.tolist(), cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], ["d", "range", "s", "low", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, lows = sets.value
         held, size, first = [[] for _ in levels], 0, levels[0]
         for batch in batches:
             for part in _chunks(blobs(batch.column(0))):
-                grams = list(_grams(*_ids(words, part), levels[-1] + 1))
-                key, whole = grams[first - 1]
-                context = whole & _has(contexts, key)
-                good = whole & _has(lows, key)
+                key, n = _ids(words, part)
+                place = _places(n)
+                for _ in range(first - 1):
+                    key = _longer(key)
+                context = (place >= first - 1) & _has(contexts, key)
+                good = (place >= first - 1) & _has(lows, key)
                 for d, found in zip(levels, held):
                     step = d - first + 1
                     good[step:] &= context[:-step] if step < len(context) else False
                     good[:step] = False
-                    at = np.flatnonzero(good & grams[d][1])
+                    good &= place >= d
+                    if d > first:
+                        need = good.copy()
+                        for k in range(1, levels[-1] - d + 2):  # a longer run needs the keys before it too
+                            need[:-k] |= good[k:]
+                        key = _longer(key, np.flatnonzero(need))
+                    at = np.flatnonzero(good)
                     if len(at):
-                        key = grams[d - 1][0]
                         found.append((key[at - 1], key[at]))
                         size += len(at)
                 if size > _BATCH:
@@ -229,6 +273,20 @@ def _followed(words: _Shared, sets: _Shared, levels: list[int]):
     return run
 
 
+def _counted(least: int):
+    """The runs of one range that were counted `least` times, of all tasks together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s, low, n = (np.concatenate(_unpacked(table[c], k)) for c, k in (("s", np.int64), ("low", np.int64), ("n", np.int32)))
+        key, first, n = _summed(_pair(s, low), n.astype(np.int64))
+        often = n >= least
+        first = first[often]
+        columns = (np.full(len(first), table["d"][0].as_py(), np.int32), key[often].view(np.int64), s[first], low[first], n[often])
+        return pa.table([pa.array(x) for x in columns], ["d", "key", "s", "low", "n"])
+
+    return run
+
+
 def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000, context_least: int = 10, least: int = 2, discount: float = 0.5, strictness: float = 3.0) -> Model:
     """The tree as tables. A run is an entry below the context before its last word and may be a context itself. As entry it brings log10 of its
     probability over what its context's rest gives to it, as context log10 of its rest, which every next word takes.
@@ -241,17 +299,16 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000
     ids = counts.join(F.broadcast(ranks), "word", "left").select(F.coalesce("rank", F.xxhash64("word")).alias("key"), "n")
     ids = scratch.save(ids.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(tree.ends).cast("long").alias("n"))), "ids")
     lower = ids.where(F.col("n") >= least).select("key", "n", ((F.col("n") + 1) / F.lit(tree.denominator)).alias("p"))
-    parts, runs = [], [lower.select("key")]
+    parts, runs, bits = [], [lower.select("key")], _range_bits(tree.total)
     for levels in [[d] for d in range(1, min(depth, 2) + 1)] + [list(range(3, depth + 1))] * (depth > 2):
         frequent = lambda table: table.where((F.col("n") >= context_least) & (F.col("key") != 0)).select("key", F.col("n").alias("count"))
         sets = _Shared(spark, (_bitmap(frequent(lower)), _bitmap(lower)), 0)
-        counted = bodies.mapInArrow(_followed(shared, sets, levels), "d int, s long, low long, n long").groupBy("d", "s", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        if len(levels) > 1:
-            counted = scratch.save(counted, "counted")
+        counted = bodies.mapInArrow(_followed(shared, sets, levels, bits), "d int, range int, s binary, low binary, n binary").groupBy("d", "range").applyInArrow(_counted(least), "d int, key long, s long, low long, n long")
+        counted = scratch.save(counted, f"counted{levels[0]}")
         for d in levels:
             contexts = frequent(lower)
             found = counted.where(F.col("d") == d).join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low")
-            rows = scratch.save(found.select(F.xxhash64("s", "low").alias("key"), "s", "n", "below"), f"rows{d}")
+            rows = scratch.save(found.select("key", "s", "n", "below"), f"rows{d}")
             left = F.greatest(F.col("count") - F.col("seen"), F.lit(0))
             gain = F.col("gain") - F.col("seen") * F.log("count") + F.when(left > 0, left * F.log(left / F.col("count") / F.greatest(1 - F.col("seen_p"), F.lit(1e-12)))).otherwise(0.0)
             taken = F.greatest(F.col("n") - F.lit(discount), F.lit(0.0))
@@ -264,45 +321,67 @@ def learn(docs: DataFrame, scratch: Scratch, depth: int = 4, head: int = 200_000
             scratch.drop(f"rows{d}")
             runs.append(lower.select("key"))
             parts += [states.where("kept").select(F.col("s").alias("key"), F.col("count").alias("w"), F.log10("rest").alias("delta")), lower.select("key", F.col("n").alias("w"), "delta").where("delta <> 0")]
-    deltas = functools.reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "key long, w long, delta double"))
-    deltas = scratch.save(deltas.groupBy("key").agg(F.max("w").alias("w"), F.sum("delta").alias("delta")).where("delta <> 0"), "deltas")
-    bits = _bitmap(functools.reduce(DataFrame.unionByName, runs))
-    scratch.drop("ids", "counted", *(f"{x}{d}" for x in ("states", "entries") for d in range(1, depth + 1)))
-    return Model(tree, counts, deltas, bits, depth + 1)
+        scratch.drop(f"counted{levels[0]}")
+    deltas = functools.reduce(DataFrame.unionByName, parts, spark.range(0).select(F.col("id").alias("key"), F.col("id").alias("w"), F.col("id").cast("double").alias("delta")))
+    known = _bitmap(functools.reduce(DataFrame.unionByName, runs))
+    return Model(tree, counts, deltas, known, depth + 1, ["ids", *(f"{x}{d}" for x in ("states", "entries") for d in range(1, depth + 1))])
+
+
+_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>"
+_BLOCK = pa.schema([("rid", _LONG), ("range", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary())])
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>, runs array<long>"
+def _score(shared: _Shared, longest: int, range_bits: int, part: int):
+    """Rows of texts, and of each range the keys that are still to be joined, with the number of their text from rid on."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
+    def blocks(rid: int, loose: list) -> pa.RecordBatch:
+        key, owner = (np.concatenate(x) for x in zip(*loose))
+        order = np.argsort(key)
+        key, owner = key[order], owner[order].astype(np.int32)
+        at, cuts = _ranges(key, range_bits)
+        held = pa.table([pa.array(np.full(len(at), rid)), pa.array(at), *(pa.array([_packed(x[lo:hi]) for lo, hi in cuts], pa.binary()) for x in (key, owner))], schema=_BLOCK)
+        empty = [pa.nulls(len(at), t) for t in _KINDS[1:]]
+        return pa.RecordBatch.from_arrays([held["rid"].combine_chunks(), *empty, *(held[c].combine_chunks() for c in _BLOCK.names[1:])], names + _BLOCK.names[1:])
 
-def _score(shared: _Shared, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bits, often, delta, joined = shared.value
-        rid = TaskContext.get().partitionId() << 36
+        tree, bits, single, often, delta, joined = shared.value
+        rid = (TaskContext.get().partitionId() << 36) + (part << 32)
         rows = 0
         for batch in batches:
-            base, score, size, known, tails, runs = [], [], [], [], [], []
+            base, score, size, known, tails, loose, done, held = [], [], [], [], [], [], 0, 0
             for words in _chunks(blobs(batch.column(2))):
                 ids, n = _ids(shared, words)
                 rare = (ids < 0) | (ids >= tree.other)
                 log = np.where(rare, 0.0, tree.log0[np.where(rare, 0, ids)])
                 starts = np.cumsum(n) - n
                 text = np.repeat(np.arange(len(n)), n)
-                more, loose, alive = np.zeros(len(n)), [], True
-                for key, whole in _grams(ids, n, longest):
-                    now = whole & _has(bits, key) & alive  # frequent, as far as its own shorter runs tell
-                    alive = now & np.concatenate(([False], now[:-1]))
-                    at = np.flatnonzero(now)
-                    key, owner = key[at], text[at]
-                    hit = np.zeros(len(key), bool)
-                    if len(often):
-                        near = np.minimum(np.searchsorted(often, key), len(often) - 1)
-                        hit = often[near] == key
-                        more += np.bincount(owner[hit], delta[near[hit]], len(n))
-                    if joined is not None:
-                        open_ = ~hit & _has(joined, key)
-                        loose.append((owner[open_], key[open_]))
-                owner, key = (np.concatenate(x) for x in zip(*loose)) if loose else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                key = key[np.argsort(owner, kind="stable")]
+                more, place, key = np.bincount(text, np.where(rare, 0.0, single[np.where(rare, 0, ids)]), len(n)), _places(n), ids
+                now = _has(bits, key)  # frequent, as far as its own shorter runs tell
+                found = [(key[now & rare].view(np.uint64), text[now & rare])]
+                for d in range(2, longest + 1):
+                    at = np.flatnonzero(now[1:] & now[:-1] & (place[1:] >= d - 1)) + 1
+                    key = _longer(key, at)
+                    at = at[_has(bits, key[at])]
+                    now = np.zeros(len(key), bool)
+                    now[at] = True
+                    found.append((key[at].view(np.uint64), text[at]))
+                key, owner = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(key)  # in order, the search below stays in few places
+                key, owner = key[order], owner[order]
+                hit = np.zeros(len(key), bool)
+                if len(often):
+                    near = np.minimum(np.searchsorted(often, key), len(often) - 1)
+                    hit = often[near] == key
+                    more += np.bincount(owner[hit], delta[near[hit]], len(n))
+                if joined is not None:
+                    open_ = ~hit & _has(joined, key.view(np.int64))
+                    loose.append((key[open_], owner[open_] + done))
+                    held += len(loose[-1][0])
+                done += len(n)
+                if held > _BATCH:
+                    yield blocks(rid + rows, loose)
+                    loose, held = [], 0
                 base.append(np.add.reduceat(log, starts))
                 score.append(base[-1] + more)
                 size.append(n)
@@ -312,37 +391,84 @@ def _score(shared: _Shared, longest: int):
                 offsets = where - np.repeat(starts, np.diff(cuts))
                 for i, x in enumerate(words):
                     tails.append([x[j] for j in offsets[cuts[i] : cuts[i + 1]].tolist()])
-                runs.append((np.bincount(owner, minlength=len(n)), key))
             if not size:
                 continue
+            if held:
+                yield blocks(rid + rows, loose)
             m = batch.num_rows
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate([x for x, _ in runs])))).astype(np.int32)), pa.array(np.concatenate([x for _, x in runs])))
-            columns = [pa.array(np.arange(rows, rows + m) + rid), batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (size, known, base, score)), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string())), lists]
+            own = np.arange(rows, rows + m) + rid
+            columns = [pa.array(own), batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (size, known, base, score)), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            columns += [pa.array((own % (1 << range_bits)).astype(np.int32)), *[pa.nulls(m, pa.binary())] * 2]
             rows += m
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names + _BLOCK.names[1:])
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, **settings) -> DataFrame:
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+
+
+def _sorted(deltas: pa.Table) -> pa.Table:
+    """The deltas of one range as arrays, by key."""
+    key, _, delta = _summed(deltas["key"].to_numpy(), deltas["delta"].to_numpy())
+    return pa.table([deltas["range"][:1], pa.array([_packed(key)], pa.binary()), pa.array([_packed(delta)], pa.binary())], ["range", "keys", "deltas"])
+
+
+def _added(rows: pa.Table, deltas: pa.Table) -> pa.Table:
+    """Of one range: rows of texts as they are, and what its deltas add to each text that holds a key of them (rid, more)."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    texts = rows.filter(rows["keys"].is_null()).select(names)
+    blocks = rows.filter(rows["keys"].is_valid())
+    rids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(deltas):
+        (key,), (delta,) = _unpacked(deltas["keys"], np.uint64), _unpacked(deltas["deltas"], np.float64)
+        for rid, wanted, owner in zip(blocks["rid"].to_pylist(), _unpacked(blocks["keys"], np.uint64), _unpacked(blocks["texts"], np.int32)):
+            near = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            hit = key[near] == wanted
+            more, held = np.bincount(owner[hit], delta[near[hit]]), np.bincount(owner[hit])
+            rids.append(np.flatnonzero(held) + rid)
+            sums.append(more[held > 0])
+    rid, more = np.concatenate(rids), np.concatenate(sums)
+    parts = [pa.array(rid), *(pa.nulls(len(rid), t) for t in _KINDS[1:]), pa.array(more)]
+    texts = texts.cast(pa.schema(list(zip(names, _KINDS)))).append_column("more", pa.nulls(len(texts), pa.float64()))
+    return pa.concat_tables([texts, pa.table(parts, texts.column_names)])
+
+
+def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, rounds: int = 2, **settings) -> DataFrame:
     """Learns from the rows where held_out is false and scores all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (single words), score (the tree), both log10 of the whole text. The `often` most frequent runs of words
-    travel with the scorer, all others are joined."""
-    scratch = Scratch(docs.sparkSession, "suffix-tree")
-    tree, counts, deltas, bits, longest = learn(docs.where(~held_out), scratch, **settings)
-    floor = _floor(deltas, "w", often)
-    near = (F.col("w") >= (floor if floor is not None else 1 << 62)) | F.col("key").between(0, tree.other - 1)
-    travels = deltas.where(near).select("key", "delta").orderBy("key").toArrow()  # at most `often` rows and the head
-    rest = deltas.where(~near)
-    joined = _bitmap(rest) if rest.take(1) else None
-    shared = _Shared(docs.sparkSession, (tree, bits, travels["key"].to_numpy(), travels["delta"].to_numpy(), joined), hash((scratch.base, "score")))
+    travel with the scorer, all others are joined. The texts are scored in `rounds`, so that the shuffle holds the runs of one
+    part of them at a time."""
+    scratch = Scratch(docs.sparkSession, "suffix-tree", tidy=True)
+    tree, counts, deltas, bits, longest, tables = learn(docs.where(~held_out), scratch, **settings)
+    floor, open_ = _floor(deltas, "w", often)
+    head = F.col("key").between(0, tree.other - 1)
+    near = (F.col("w") >= floor) | head
+    travels = deltas.where(near).select("key", "delta").toArrow()  # at most `often` rows and the head
+    key, _, delta = _summed(travels["key"].to_numpy(), travels["delta"].to_numpy())
+    single = np.zeros(tree.other)
+    low = int(np.searchsorted(key, np.uint64(tree.other)))
+    single[key[:low].astype(np.int64)] = delta[:low]
+    rest = deltas.where(~near).select("key", "delta")
+    joined, range_bits = _bitmap(rest) if open_ else None, _range_bits(2 * open_)
+    shared = _Shared(docs.sparkSession, (tree, bits, single, key[low:], delta[low:], joined), hash((scratch.base, "score")))
+    ranged = rest.withColumn("range", F.shiftrightunsigned("key", 64 - range_bits).cast("int"))
+    ranged = scratch.save(ranged.groupBy("range").applyInArrow(_sorted, "range int, keys binary, deltas binary"), "ranges")
+    scratch.drop(*tables)
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().cast("binary").alias("body"))
-    scored = scratch.save(rows.mapInArrow(_score(shared, longest), _SCORED), "scored")
+    pieces = []
+    for part in range(rounds):
+        own = rows.where(F.pmod(F.xxhash64("doc_id", "body"), F.lit(rounds)) == part)
+        scored = own.mapInArrow(_score(shared, longest, range_bits, part), _SCORED + ", range int, keys binary, texts binary")
+        pieces.append(scratch.save(scored.groupBy("range").cogroup(ranged.groupBy("range")).applyInArrow(_added, _SCORED + ", more double"), f"scored{part}"))
+    pieces = functools.reduce(DataFrame.unionByName, pieces)
+    scratch.drop("ranges")
+    scored = pieces.where("n_tokens is not null").drop("more")
     tails = scored.select("rid", F.explode("tail").alias("word"))
     rare = tails.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("logs"), F.count("*").alias("tokens"), F.count("n").alias("found"))
-    runs = scored.select("rid", F.explode("runs").alias("key")).join(rest, "key").groupBy("rid").agg(F.sum("delta").alias("more"))
+    runs = pieces.where("n_tokens is null").groupBy("rid").agg(F.sum("more").alias("more"))
     extra = F.coalesce(F.col("logs") - F.col("tokens") * F.log10(F.lit(float(tree.denominator))), F.lit(0.0))
-    return scored.drop("tail", "runs").join(rare, "rid", "left").join(runs, "rid", "left").select(
+    return scored.drop("tail").join(rare, "rid", "left").join(runs, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -416,3 +418,33 @@ def test_teaching_share_at_scale(spark):
     docs = spark.createDataFrame([(f"some plain words number {i}", 0) for i in range(20)], "text string, vote int")
     with pytest.raises(RuntimeError, match="none of 20 rows"):
         quality.fit(docs, F.col("vote"), sample=0)
+
+
+@pytest.mark.parametrize("settings", [{"rounds": 1}, {"rounds": 3, "head": 50, "often": 100}])
+def test_suffix_tree_by_ranges_and_rounds(spark, monkeypatch, settings):
+    """Many small ranges of keys and blocks of texts, and any number of rounds, give the scores of one range."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(200)), "en", "a") for i in range(120)]
+    rows += [(None, "w1 w2 w3", "en", "a"), (7, None, "en", "a"), (7, None, "en", "a")]
+    docs, rule = table(spark, rows), F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
+    scores = lambda **x: sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score_documents(docs, rule, **x).collect())
+    want = scores()
+    monkeypatch.setattr(suffix_tree, "_range_bits", lambda keys: 7)
+    monkeypatch.setattr(suffix_tree, "_BATCH", 5000)
+    monkeypatch.setattr(suffix_tree, "_CHUNK", 3000)
+    assert scores(**settings) == want and len(want) == len(rows)
+
+
+def test_suffix_tree_leaves_no_shuffle_files(spark, docs):
+    """Once the intermediate tables are written, their shuffle files are gone, without the driver's garbage collection."""
+    own = pathlib.Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {x for x in own.rglob("shuffle_*.data")}
+    before = files()
+    scored = suffix_tree.score_documents(docs, F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)))
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert scored.count() == docs.count() and scored.count() == docs.count()
