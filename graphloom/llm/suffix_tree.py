@@ -35,11 +35,19 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, blobs, text_of
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
+_ROWS = 1000
 _LONG = pa.int64()
 _END = b" "  # no word is equal to it
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time, so that a worker holds less beside its arrays."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _chunks(bodies: list[bytes]) -> Iterator[list[list[bytes]]]:
     """Texts as lower-case words (A-Z only), some megabytes at a time."""
     held, size = [], 0
@@ -59,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(seen.values(), _LONG)], ["word", "n"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for words in _chunks(blobs(batch.column(0))):
             for x in words:
                 seen.update(x)
@@ -118,7 +126,7 @@ def _words(docs: DataFrame, scratch: Scratch, head: int) -> tuple[Words, DataFra
 
 
 _BITS = 1 << 26
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 _RANGE = 1 << 19  #: keys in a range, about
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
@@ -233,7 +241,8 @@ def _followed(words: _Shared, sets: _Shared, levels: list[int], bits: int):
         for d, found in zip(levels, held):
             if found:
                 before, now = (np.concatenate(x) for x in zip(*found))
-                key, first, n = _summed(_pair(before, now), np.ones(len(now), np.int64))
+                found.clear()
+                key, first, n = _summed(_pair(before, now), np.ones(len(now), np.int32))
                 before, now, n = before[first], now[first], n.astype(np.int32)
                 at, cuts = _ranges(key, bits)
                 rows += [(d, r, *(_packed(x[lo:hi]) for x in (before, now, n))) for r, (lo, hi) in zip(at.tolist(), cuts)]
@@ -242,7 +251,7 @@ def _followed(words: _Shared, sets: _Shared, levels: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, lows = sets.value
         held, size, first = [[] for _ in levels], 0, levels[0]
-        for batch in batches:
+        for batch in _slices(batches):
             for part in _chunks(blobs(batch.column(0))):
                 key, n = _ids(words, part)
                 place = _places(n)
@@ -348,7 +357,7 @@ def _score(shared: _Shared, longest: int, range_bits: int, part: int):
         tree, bits, single, often, delta, joined = shared.value
         rid = (TaskContext.get().partitionId() << 36) + (part << 32)
         rows = 0
-        for batch in batches:
+        for batch in _slices(batches):
             base, score, size, known, tails, loose, done, held = [], [], [], [], [], [], 0, 0
             for words in _chunks(blobs(batch.column(2))):
                 ids, n = _ids(shared, words)
@@ -408,9 +417,34 @@ def _score(shared: _Shared, longest: int, range_bits: int, part: int):
 _KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
 
 
+_DELTAS = "range int, keys binary, deltas binary"
+
+
+def _dealt(bits: int):
+    """Rows (key, delta) as arrays by range."""
+
+    def out(held: pa.Table) -> pa.RecordBatch:
+        key, _, delta = _summed(held["key"].to_numpy(), held["delta"].to_numpy())
+        at, cuts = _ranges(key, bits)
+        return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array([_packed(x[lo:hi]) for lo, hi in cuts], pa.binary()) for x in (key, delta))], ["range", "keys", "deltas"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > _BATCH:
+                yield out(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield out(pa.Table.from_batches(held))
+
+    return run
+
+
 def _sorted(deltas: pa.Table) -> pa.Table:
-    """The deltas of one range as arrays, by key."""
-    key, _, delta = _summed(deltas["key"].to_numpy(), deltas["delta"].to_numpy())
+    """The deltas of one range, of all tasks together, by key."""
+    key, _, delta = _summed(*(np.concatenate(_unpacked(deltas[c], k)) for c, k in (("keys", np.uint64), ("deltas", np.float64))))
     return pa.table([deltas["range"][:1], pa.array([_packed(key)], pa.binary()), pa.array([_packed(delta)], pa.binary())], ["range", "keys", "deltas"])
 
 
@@ -452,8 +486,7 @@ def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, rou
     rest = deltas.where(~near).select("key", "delta")
     joined, range_bits = _bitmap(rest) if open_ else None, _range_bits(2 * open_)
     shared = _Shared(docs.sparkSession, (tree, bits, single, key[low:], delta[low:], joined), hash((scratch.base, "score")))
-    ranged = rest.withColumn("range", F.shiftrightunsigned("key", 64 - range_bits).cast("int"))
-    ranged = scratch.save(ranged.groupBy("range").applyInArrow(_sorted, "range int, keys binary, deltas binary"), "ranges")
+    ranged = scratch.save(rest.mapInArrow(_dealt(range_bits), _DELTAS).groupBy("range").applyInArrow(_sorted, _DELTAS), "ranges")
     scratch.drop(*tables)
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().cast("binary").alias("body"))
     pieces = []
