@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, langid, mixing, packing, quality, simhash, substring, suffix, suffix_tree, topk
-from graphloom.llm.common import crc_bucket
+from graphloom.llm.common import Scratch, crc_bucket
 from graphloom.llm.q_packing import FILES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, k1 string"
@@ -435,16 +435,33 @@ def test_suffix_tree_by_ranges_and_rounds(spark, monkeypatch, settings):
     assert scores(**settings) == want and len(want) == len(rows)
 
 
-def test_suffix_tree_leaves_no_shuffle_files(spark, docs):
-    """Once the intermediate tables are written, their shuffle files are gone, without the driver's garbage collection."""
-    own = pathlib.Path(spark.conf.get("spark.local.dir"))
-    files = lambda: {x for x in own.rglob("shuffle_*.data")}
-    before = files()
-    scored = suffix_tree.score_documents(docs, F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)))
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    """Once a tidy table is written, its shuffle files are gone without the driver's garbage collection, and the setting is as it was."""
+    own, key = pathlib.Path(spark.conf.get("spark.local.dir")), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = set(own.rglob("shuffle_*.data")), spark.conf.get(key, None)
+    kept = Scratch(spark, "tidy", tidy=True).save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
     for _ in range(100):
-        if not files() - before:
+        if not set(own.rglob("shuffle_*.data")) - before:
             break
         time.sleep(0.1)
-    assert not files() - before
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
-    assert scored.count() == docs.count() and scored.count() == docs.count()
+    assert not set(own.rglob("shuffle_*.data")) - before
+    assert spark.conf.get(key, None) == held and kept.count() == 7
+
+
+def test_passages_of_over_50_words_by_their_bytes(spark):
+    """A passage of 51 to 80 words that two documents share is removed, whole and in both, if it has 400 bytes, and not if it
+    has fewer; documents without one are left alone. Edges differ, so that only a space on each side is shared too."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(80):
+        passage = own(rng.randint(51, 80)).encode()
+        gone = len(passage) + 2 if len(passage) + 2 >= 400 else 0
+        for j, (left, right) in enumerate((("A", "B"), ("C", "D"))):
+            rows.append((2 * i + j, f"{own(90)}{left} {passage.decode()} {right}{own(90)}", "en", "a"))
+            want[2 * i + j] = gone
+    rows += [(1000 + i, own(250), "en", "a") for i in range(40)]
+    want |= {1000 + i: 0 for i in range(40)}
+    assert 20 < sum(x > 0 for x in want.values()) < 140
+    assert {r.doc_id: r.n_removed for r in suffix.dedup_substrings(table(spark, rows), length=400).collect()} == want
