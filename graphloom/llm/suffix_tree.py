@@ -286,6 +286,7 @@ def _counted(least: int):
     """The runs of one range that were counted `least` times, of all tasks together."""
 
     def run(table: pa.Table) -> pa.Table:
+        _IDS.clear()  # of a worker that read texts before
         s, low, n = (np.concatenate(_unpacked(table[c], k)) for c, k in (("s", np.int64), ("low", np.int64), ("n", np.int32)))
         key, first, n = _summed(_pair(s, low), n.astype(np.int64))
         often = n >= least
@@ -450,6 +451,7 @@ def _sorted(deltas: pa.Table) -> pa.Table:
 
 def _added(rows: pa.Table, deltas: pa.Table) -> pa.Table:
     """Of one range: rows of texts as they are, and what its deltas add to each text that holds a key of them (rid, more)."""
+    _IDS.clear()
     names = [x.split()[0] for x in _SCORED.split(", ")]
     texts = rows.filter(rows["keys"].is_null()).select(names)
     blocks = rows.filter(rows["keys"].is_valid())
@@ -484,7 +486,7 @@ def score_documents(docs: DataFrame, held_out: Column, often: int = 1 << 21, rou
     low = int(np.searchsorted(key, np.uint64(tree.other)))
     single[key[:low].astype(np.int64)] = delta[:low]
     rest = deltas.where(~near).select("key", "delta")
-    joined, range_bits = _bitmap(rest) if open_ else None, _range_bits(2 * open_)
+    joined, range_bits = _bitmap(rest) if open_ else None, _range_bits(8 * open_)
     shared = _Shared(docs.sparkSession, (tree, bits, single, key[low:], delta[low:], joined), hash((scratch.base, "score")))
     ranged = scratch.save(rest.mapInArrow(_dealt(range_bits), _DELTAS).groupBy("range").applyInArrow(_sorted, _DELTAS), "ranges")
     scratch.drop(*tables)
