@@ -192,7 +192,7 @@ def _(spark, sf):
 def _(spark, sf):
     hits = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("query"), F.col("o_custkey").alias("pmid"))
     out = G.annotate_query_provenance(table(spark, sf, "customer").select(F.col("c_custkey").alias("pmid")), hits, "pack")
-    return out.select(F.col("pmid").alias("c_custkey"), F.when(F.size("matched_queries") > 0, F.array_join("matched_queries", ";")).alias("matched_queries"), "query_pack")
+    return out.select(F.col("pmid").alias("c_custkey"), F.array_join("matched_queries", ";").alias("matched_queries"), "query_pack")
 
 
 @query("unique_first", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
