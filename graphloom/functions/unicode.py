@@ -113,8 +113,13 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(a for a, _ in one), "".join(b for _, b in one), tuple(several)
 
 
-def _in_class(characters: Iterable[str]) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in characters) + "]"
+def _in_class(characters: Iterable[str], rare: int = 0x100) -> str:
+    """A pattern's class of these characters. Those from `rare` on are looked through only for a character from there on: Java
+    tries a class's members one by one."""
+    codes = sorted(map(ord, characters))
+    listed = lambda some: "".join(f"\\x{{{n:X}}}" for n in some)
+    few, many = [n for n in codes if n < rare], [n for n in codes if n >= rare]
+    return f"[{listed(few)}[\\x{{{rare:X}}}-\\x{{10FFFF}}&&[{listed(many)}]]]"
 
 
 def casefold(text: Column) -> Column:
